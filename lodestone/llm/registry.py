@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, simhash
 
 
 def queries() -> dict:
-    return {"op4_quality_rules": quality.query}
+    return {"op1_simhash_gray_index": simhash.query, "op4_quality_rules": quality.query}
 
 
 def oracle_sql() -> dict[str, str]:
