@@ -76,15 +76,12 @@ def fit_thresholds(counts: DataFrame, min_rows: int = MIN_ROWS, k: int = SKETCH_
     # kept sketches: they merge with those of later batches as they merge here upward
     groups = cut(sound.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(x, F.lit(k)).alias(x) for x in names]))
 
-    def up(df: DataFrame, key: str, tag: str) -> DataFrame:
-        return df.groupBy(F.col(key).alias(f"{tag}_key")).agg(F.sum("n").alias(f"{tag}_n"), *[F.kll_merge_agg_double(x).alias(f"{tag}_{x}") for x in names])
-
-    by_lang = up(groups, "lang", "l")
-    whole = up(groups.withColumn("one", F.lit(1)), "one", "a")
-    wide = groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["l_key"]), "left").join(whole, F.col("a_key") == F.lit(1), "left")
+    by_lang = groups.groupBy(F.col("lang").alias("l_key")).agg(F.sum("n").alias("l_n"), *[F.kll_merge_agg_double(x).alias(f"l_{x}") for x in names])
+    wide = groups.join(by_lang, groups["lang"].eqNullSafe(by_lang["l_key"]), "left")
+    whole = groups.agg(*[F.kll_merge_agg_double(x).alias(x) for x in names]).first()  # one row of sketches, bounded by k
     out = [F.col("lang"), F.col("source")]
     for x in names:
-        sketch = F.when(F.col("n") >= min_rows, F.col(x)).when(F.col("l_n") >= min_rows, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
+        sketch = F.when(F.col("n") >= min_rows, F.col(x)).when(F.col("l_n") >= min_rows, F.col(f"l_{x}")).otherwise(F.lit(whole[x]).cast("binary"))
         q = lambda p, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(p))
         out.append(F.struct(q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.75).alias("q3")).alias(x))
     fitted = wide.select(*out)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality, simhash
+from . import bpe, quality, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash_gray_index": simhash.query, "op4_quality_rules": quality.query}
+    return {
+        "op1_simhash_gray_index": simhash.query,
+        "op4_quality_rules": quality.query,
+        "op8_byte_bpe": bpe.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
