@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash
+from . import bpe, quality, simhash, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_simhash_gray_index": simhash.query,
         "op4_quality_rules": quality.query,
+        "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
     }
 
