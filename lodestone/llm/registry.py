@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, wavelet
+from . import bpe, quality, simhash, warc, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_simhash_gray_index": simhash.query,
+        "op3_warc_store": warc.query,
         "op4_quality_rules": quality.query,
         "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE_SQL}
+    return {"op3_warc_store": warc.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL}
