@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, warc, wavelet
+from . import bpe, quality, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_gray_index": simhash.query,
         "op3_warc_store": warc.query,
         "op4_quality_rules": quality.query,
+        "op5_toxicity_lexicon": toxicity.query,
         "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
     }
