@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, toxicity, warc, wavelet
+from . import bpe, chat, quality, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -13,8 +13,13 @@ def queries() -> dict:
         "op5_toxicity_lexicon": toxicity.query,
         "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
+        "op10_preference_chat": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_store": warc.ORACLE_SQL, "op4_quality_rules": quality.ORACLE_SQL}
+    return {
+        "op3_warc_store": warc.ORACLE_SQL,
+        "op4_quality_rules": quality.ORACLE_SQL,
+        "op10_preference_chat": chat.ORACLE_SQL,
+    }
