@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality, simhash, toxicity, warc, wavelet
+from . import bpe, chat, fingerprint, quality, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
     return {
         "op1_simhash_gray_index": simhash.query,
+        "op2_prefix_fingerprints": fingerprint.query,
         "op3_warc_store": warc.query,
         "op4_quality_rules": quality.query,
         "op5_toxicity_lexicon": toxicity.query,
