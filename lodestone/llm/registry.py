@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, quality, simhash, toxicity, warc, wavelet
+from . import bpe, chat, fingerprint, mixing, quality, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity_lexicon": toxicity.query,
         "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
+        "op9_soft_mixing": mixing.query,
         "op10_preference_chat": chat.query,
     }
 
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_store": warc.ORACLE_SQL,
         "op4_quality_rules": quality.ORACLE_SQL,
+        "op9_soft_mixing": mixing.query,
         "op10_preference_chat": chat.ORACLE_SQL,
     }
