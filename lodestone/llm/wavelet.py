@@ -22,7 +22,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,39 +32,74 @@ from .common import shared_path, shuffle_partitions
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: Encodings of words kept per worker.
-KEPT = 300_000
+#: Encodings of words kept per worker, and marks that may end a word of letters.
+KEPT = 500_000
+MARKS = ["", ".", ",", ";", ":", "!", "?"]
 MAGIC = b"WVMX1\n"
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------
 
-WORDS = re.compile(r"\S+").findall
 #: Separators that Python takes for white space and the tokenizer may not: such texts are encoded as they are.
-ODD = re.compile("[\x1c-\x1f\x85᠎]").search
+ODD = re.compile("[\x1c-\x1f\x85\u180e]").search
 
 
 class WordEncoder:
     """A `tokenizers` file whose pre-tokenizer drops white space, so that the words of a text are encoded by themselves
-    and those seen before come from a bounded table."""
+    and those seen before come from a bounded table. New words of letters alone are encoded many to a call and told apart
+    by their end-of-word tokens; a word with one mark at its end is its letters and that mark."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.kept: dict[str, tuple[int, ...]] = {}
+        ends = [t.endswith("</w>") for t, _ in sorted(self.lib.get_vocab().items(), key=lambda x: x[1])]
+        self.ends = np.array(ends)
+        self.kept: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> None:
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            ids = np.array(self.lib.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) != len(part):  # not one run of letters each after all
+                self.letters.update(zip(part, self._encode(part)))
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(part, cuts):
+                self.letters[w] = raw[4 * a : 4 * b]
+                a = b
+
+    def _learn(self, new: set[str]) -> None:
+        plain, other = [], []
+        for w in new:
+            core, mark = (w, "") if w.isalpha() else (w[:-1], w[-1])
+            if mark in MARKS and core.isalpha():
+                plain.append((w, core.lower() if core.isascii() else core, mark))
+            else:
+                other.append(w)
+        self._encode_letters(list({c for _, c, _ in plain if c not in self.letters}))
+        marks = dict(zip(MARKS, self._encode(MARKS)))
+        for w, core, mark in plain:
+            self.kept[w] = self.letters[core] + marks[mark]
+        self.kept.update(zip(other, self._encode(other)))
 
     def encode_all(self, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
-        split = [[t] if ODD(t) else WORDS(t) for t in (x or "" for x in texts)]
-        new = list({w for words in split for w in words if w not in self.kept})
+        split = [[t] if ODD(t) else t.split() for t in (x or "" for x in texts)]
+        seen = set().union(*split)
+        new = seen.difference(self.kept)
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
-            new = list({w for words in split for w in words})
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-            self.kept[w] = tuple(e.ids)
-        get = self.kept.__getitem__
-        return [np.fromiter(chain(chain.from_iterable(map(get, words)), (end_id,)), np.uint32) for words in split]
+            self.letters.clear()
+            new = seen
+        self._learn(new)
+        get, end = self.kept.__getitem__, np.array([end_id], np.uint32).tobytes()
+        return [np.frombuffer(b"".join(map(get, words)) + end, np.uint32) for words in split]
 
 
 @lru_cache(maxsize=2)
