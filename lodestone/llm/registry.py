@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, mixing, quality, simhash, toxicity, warc, wavelet
+from . import bpe, chat, fingerprint, html, mixing, quality, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_warc_store": warc.query,
         "op4_quality_rules": quality.query,
         "op5_toxicity_lexicon": toxicity.query,
+        "op6_wrapper_html": html.query,
         "op7_wavelet_tokens": wavelet.query,
         "op8_byte_bpe": bpe.query,
         "op9_soft_mixing": mixing.query,
