@@ -69,7 +69,8 @@ def features() -> dict[str, Column]:
 
 
 def fit_thresholds(counts: DataFrame, min_rows: int = MIN_ROWS, k: int = SKETCH_K) -> DataFrame:
-    """One row per (lang, source): lo_<feature> and hi_<feature>. `counts` has the columns of with_counts()."""
+    """One row per (lang, source): lo_<feature> and hi_<feature>. `counts` has the columns of with_counts(), cut or
+    stored: a filter must not reach into the projections that make them."""
     names = list(SLACK)
     f = features()
     sound = counts.filter(~base_failed()).select("lang", "source", *[f[x].alias(x) for x in names])
@@ -105,13 +106,16 @@ def judge(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
     inside = F.lit(True)
     for x in names:
         inside = inside & (f[x] <= F.col(f"_hi_{x}")) & (f[x] >= F.col(f"_lo_{x}"))
-    return joined.select(*own, base_failed().alias("base_failed"), (~base_failed() & F.coalesce(inside, F.lit(False))).alias("kept"))
+    # not a conjunction: a filter on it would be split, and its base part pushed into the projections that make the counts,
+    # where each array would be made again for every reference
+    kept = F.least(~base_failed(), F.coalesce(inside, F.lit(False)))
+    return joined.select(*own, base_failed().alias("base_failed"), kept.alias("kept"))
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of `docs`. Texts aren't shuffled: the thresholds come from a
     narrow first pass and are joined to the rows of a second."""
-    thresholds = fit_thresholds(with_counts(docs.select("text", "lang", "source")).drop("text"))
+    thresholds = fit_thresholds(cut(with_counts(docs.select("text", "lang", "source")).drop("text")))
     return judge(with_counts(docs), thresholds).filter("kept").select(*docs.columns)
 
 
