@@ -29,12 +29,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Pages of a chain on average, in hosts with more.
 CHAIN = 256
 #: Least votes and share of constant votes, and share of link characters, that make a slot template.
 LEAST_VOTES, CONSTANT_SHARE, LINK_SHARE = 3, 0.8, 0.5
 #: Pairs with at least this share of equal leaves are copies and don't vote.
 COPY_SHARE = 0.9
+#: Template slots over all hosts up to which they are broadcast (a few MB); beyond, hosts are split over so many tasks.
+BROADCAST_SLOTS, SALTS = 20_000, 64
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -316,9 +320,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [Page(h).main_text(frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [id_col, url_col, "text", "n_chars"])
 
-    wrappers = induce(pages, id_col, url_col, html_col).select(F.col("host").alias("_host"), "template")
+    wrappers = cut(induce(pages, id_col, url_col, html_col).select(F.col("host").alias("_host"), "template"))
     page = pages.select(F.col(id_col), F.col(url_col), F.col(html_col), host_of(F.col(url_col)).alias("_h"))
-    joined = page.join(wrappers, F.col("_h") == F.col("_host"), "left").select(id_col, url_col, html_col, "template")
+    if wrappers.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0] <= BROADCAST_SLOTS:
+        joined = page.join(F.broadcast(wrappers), F.col("_h") == F.col("_host"), "left")
+    else:  # a host's pages are dealt over SALTS tasks, each with a copy of its slots
+        dealt = page.withColumn("_s", F.pmod(F.xxhash64(id_col, html_col), F.lit(SALTS)))
+        copies = wrappers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.join(copies, (F.col("_h") == F.col("_host")) & (F.col("_s") == F.col("_salt")), "left")
+    joined = joined.select(id_col, url_col, html_col, "template")
     return joined.mapInArrow(run, f"{id_col} {kind[id_col]}, {url_col} {kind[url_col]}, text string, n_chars long")
 
 

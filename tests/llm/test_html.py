@@ -73,7 +73,9 @@ def page(i, body):
     return f"<html><body><div class=top>Welcome to the site</div><div class=links><a href=1>x{i}</a> <a href=2>y{i}</a></div><div class=story><p>{body}</p></div><div class=end>All rights reserved</div></body></html>"
 
 
-def test_wrapper_induction(spark):
+@pytest.mark.parametrize("broadcast", [20_000, 0])
+def test_wrapper_induction(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(h, "BROADCAST_SLOTS", broadcast)
     rows = [(i, f"http://h.example/{i}", page(i, f"body {i} &eacute;")) for i in range(40)]
     rows += [(100 + i, f"http://single{i}.example/", page(i, f"alone {i}")) for i in range(2)]
     rows += [(200, None, "<p>no url</p>"), (201, "nonsense", None), (None, "http://h.example/x", page(7, "no id")), (3, "http://h.example/3", page(3, "body 3 &eacute;"))]
