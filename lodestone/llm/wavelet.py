@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,9 @@ from .common import shared_path, shuffle_partitions
 
 END_ID = 1
 SHARD_TOKENS = 1 << 20
-#: Encodings of words kept per worker, and marks that may end a word of letters.
-KEPT = 500_000
-MARKS = ["", ".", ",", ";", ":", "!", "?"]
+#: Encodings of words and of their letters kept per worker, and marks that may end a word of letters.
+KEPT, KEPT_LETTERS = 400_000, 1_200_000
+MARKS = ".,;:!?#$%&*|()[]{}<>/+=~^@\""
 MAGIC = b"WVMX1\n"
 
 
@@ -47,7 +48,7 @@ ODD = re.compile("[\x1c-\x1f\x85\u180e]").search
 class WordEncoder:
     """A `tokenizers` file whose pre-tokenizer drops white space, so that the words of a text are encoded by themselves
     and those seen before come from a bounded table. New words of letters alone are encoded many to a call and told apart
-    by their end-of-word tokens; a word with one mark at its end is its letters and that mark."""
+    by their end-of-word tokens; a word of letters with marks at its end is its letters and these marks."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -58,6 +59,7 @@ class WordEncoder:
         self.ends = np.array(ends)
         self.kept: dict[str, bytes] = {}
         self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
@@ -76,18 +78,30 @@ class WordEncoder:
                 a = b
 
     def _learn(self, new: set[str]) -> None:
-        plain, other = [], []
+        if len(self.letters) > KEPT_LETTERS:
+            self.letters.clear()
+        if len(self.marks) > KEPT_LETTERS // 10:
+            self.marks.clear()
+        letters, marks, kept = self.letters, self.marks, self.kept
+        wait, other = [], []
         for w in new:
-            core, mark = (w, "") if w.isalpha() else (w[:-1], w[-1])
-            if mark in MARKS and core.isalpha():
-                plain.append((w, core.lower() if core.isascii() else core, mark))
+            core = w.rstrip(MARKS)
+            if core.isalpha():
+                if core.isascii():
+                    core = core.lower()
+                mark = w[len(core) :]
+                if core in letters and mark in marks:
+                    kept[w] = letters[core] + marks[mark]
+                else:
+                    wait.append((w, core, mark))
             else:
                 other.append(w)
-        self._encode_letters(list({c for _, c, _ in plain if c not in self.letters}))
-        marks = dict(zip(MARKS, self._encode(MARKS)))
-        for w, core, mark in plain:
-            self.kept[w] = self.letters[core] + marks[mark]
-        self.kept.update(zip(other, self._encode(other)))
+        self._encode_letters([c for c in {c for _, c, _ in wait} if c not in letters])
+        tails = [m for m in {m for _, _, m in wait} if m not in marks]
+        marks.update(zip(tails, self._encode(tails)))
+        for w, core, mark in wait:
+            kept[w] = letters[core] + marks[mark]
+        kept.update(zip(other, self._encode(other)))
 
     def encode_all(self, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
         split = [[t] if ODD(t) else t.split() for t in (x or "" for x in texts)]
@@ -95,11 +109,10 @@ class WordEncoder:
         new = seen.difference(self.kept)
         if len(self.kept) + len(new) > KEPT:
             self.kept.clear()
-            self.letters.clear()
             new = seen
         self._learn(new)
         get, end = self.kept.__getitem__, np.array([end_id], np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(get, words)) + end, np.uint32) for words in split]
+        return [np.frombuffer(b"".join([*map(get, words), end]), np.uint32) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -222,7 +235,7 @@ class Shard:
     def to_bytes(self) -> bytes:
         ids = np.array([i or 0 for i in self.doc_ids], "<i8").tobytes()
         null = np.packbits([i is None for i in self.doc_ids]).tobytes()
-        body = zlib.compress(b"".join([ids, null, self.ends.astype("<i8").tobytes(), *(p.astype("<u8").tobytes() for p in self.matrix.planes)]), 1)
+        body = zstandard.compress(b"".join([ids, null, self.ends.astype("<i8").tobytes(), *(p.astype("<u8").tobytes() for p in self.matrix.planes)]), 1)
         return MAGIC + struct.pack("<qqqI", len(self.doc_ids), self.matrix.n, len(self.matrix.planes), zlib.crc32(body)) + body
 
     @classmethod
@@ -233,7 +246,7 @@ class Shard:
         body = data[len(MAGIC) + 28 :]
         if zlib.crc32(body) != crc:
             raise ValueError("damaged token shard")
-        raw, at = zlib.decompress(body), 0
+        raw, at = zstandard.decompress(body), 0
 
         def take(size: int, kind: str) -> np.ndarray:
             nonlocal at
