@@ -1,11 +1,264 @@
-"""All queries of the audit engine by name."""
+"""Queries of the audit engine: each exercises an operator on the star-schema and text tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import text as T
+from lodestone.operators import graph, host
+
+from .oracles import ORACLES
+
+COL = F.col
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, i, t): lines with their number from 1."""
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t")).withColumn("i", COL("i") + 1)
+
+
+def finding_validate(s, d):
+    words = ["zero", "no", "none", "missing", "the", "0"]
+    ascii_trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
+    return table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.arrays_overlap(ascii_trimmed, F.array(*map(F.lit, words)))).alias("claims"))
+
+
+def waive_range_join(s, d):
+    e = s.createDataFrame([(1, "error", "f", None, 0, 40, "a"), (2, "click", "f", None, 10, 20, "b"), (3, "error", "f", None, 30, 50, "c")], "entry_no int, check string, file string, symbol string, lo int, hi int, reason string")
+    f = table(s, d, "events").select("event_id", COL("event_type").alias("check_id"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("subject"), (COL("event_id") % 100).cast("int").alias("line"))
+    return host.waive(f, e, F.struct("event_id")).filter("reason IS NOT NULL").select("event_id", COL("reason").alias("rs"))
+
+
+def stale_entries(s, d):
+    e = s.createDataFrame([("error", 1), ("click", 999999), ("nosuch", 1)], "ck string, u long")
+    seen = table(s, d, "events").select(COL("event_type").alias("ck"), COL("user_id").alias("u"))
+    return e.join(seen, ["ck", "u"], "left_anti")
+
+
+def top_n(s, d):
+    return table(s, d, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value")
+
+
+def rule_summary(s, d):
+    v = COL("value")
+    return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(v >= 50).alias("high"), F.count_if((v < 50) & (v >= 10)).alias("med"), F.count_if(v < 10).alias("low"))
+
+
+def omitted_by_severity(s, d):
+    e = table(s, d, "events")
+    kept = top_n(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("k"))
+    c = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("c")).join(kept, "event_type", "left")
+    return c.select("event_type", (COL("c") - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
+
+
+def mode_tiebreak_outliers(s, d):
+    o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    counts = o.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    # mode with its tie-break as one combined maximum
+    modal = counts.groupBy("o_custkey").agg(F.max(F.struct("n", "o_orderpriority")).alias("m")).select("o_custkey", COL("m.o_orderpriority").alias("modal"))
+    return o.join(modal, "o_custkey").filter("o_orderpriority <> modal").select("o_orderkey", "o_orderpriority", "modal")
+
+
+def distinct_over_limit(s, d):
+    return table(s, d, "lineitem").groupBy("l_partkey").agg(F.countDistinct("l_suppkey").alias("n")).filter("n > 30")
+
+
+def nation_edges(s, d, share):
+    """Edges between nations of customers and suppliers with the most lines."""
+    g = (
+        table(s, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(s, d, "orders").select("o_orderkey", "o_custkey"), COL("l_orderkey") == COL("o_orderkey"))
+        .join(table(s, d, "customer").select("c_custkey", COL("c_nationkey").alias("a")), COL("o_custkey") == COL("c_custkey"))
+        .join(table(s, d, "supplier").select("s_suppkey", COL("s_nationkey").alias("b")), COL("l_suppkey") == COL("s_suppkey"))
+        .filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    )
+    # at most nations x nations rows
+    return g.withColumn("pr", F.percent_rank().over(Window.orderBy(F.desc("n"), "a", "b"))).filter(COL("pr") < share).select("a", "b")
+
+
+def instability(s, d):
+    return graph.unstable_dependencies(nation_edges(s, d, 0.15), 0.1)
+
+
+def reachability_closure(s, d):
+    return graph.closure(nation_edges(s, d, 0.08))
+
+
+def cochange_share(s, d):
+    t = table(s, d, "lineitem").select("l_orderkey", "l_partkey").join(table(s, d, "part").select("p_partkey", "p_brand"), COL("l_partkey") == COL("p_partkey"))
+    return graph.cochange(t.select(COL("l_orderkey").alias("o"), COL("p_brand").alias("f")), 25, 3, 9)
+
+
+def percentile_outliers(s, d):
+    docs = table(s, d, "documents").select("doc_id", "n_chars")
+    q = docs.select(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)").alias("p95"), F.expr("percentile_disc(0.99) WITHIN GROUP (ORDER BY n_chars)").alias("p99")).first()
+    return docs.filter(COL("n_chars") >= q.p95).select("doc_id", "n_chars", F.when(COL("n_chars") >= q.p99, "low").otherwise("info").alias("sev"))
+
+
+def repeated_literals(s, d):
+    return lines_of(table(s, d, "documents")).select("doc_id", F.trim("t").alias("ln")).filter(F.length("ln") >= 2).groupBy("doc_id", "ln").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+
+
+def islands(s, d):
+    order = ["ts", "event_id"]
+    g = F.row_number().over(Window.partitionBy("user_id").orderBy(*order)) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(*order))
+    return table(s, d, "events").withColumn("g", g).groupBy("user_id", "event_type", "g").agg(F.min("event_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n >= 3").select("user_id", "event_type", "first_id", "n")
+
+
+def lookahead(s, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(s, d, "events").select("event_id", "event_type", F.lead("event_type", 1).over(w).alias("n1"), F.lead("event_type", 2).over(w).alias("n2"))
+    return e.filter("event_type = 'error' AND coalesce(n1, '') <> 'purchase' AND coalesce(n2, '') <> 'purchase'").select("event_id")
+
+
+def secret_scan(s, d):
+    return table(s, d, "documents").select("doc_id", T.secret_count(COL("text")).cast("long").alias("n")).filter("n > 0")
+
+
+def redact_text(s, d):
+    return table(s, d, "documents").filter(COL("text").rlike(r'token\s*=\s*"')).select("doc_id", F.md5(T.redact_keyed(COL("text"))).alias("h"))
+
+
+def licence_lines(s, d):
+    return table(s, d, "documents").filter(COL("text").rlike("(?i)licen[sc]ed? |MIT License")).select("doc_id", T.licence_of(COL("text")).alias("lic"))
+
+
+def hrefs(s, d, pattern):
+    return table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(pattern), F.lit(1))).alias("href"))
+
+
+def link_extract(s, d):
+    return hrefs(s, d, 'href="([^"]*)"')
+
+
+def dead_local_links(s, d):
+    known = table(s, d, "pages").select(F.regexp_replace("url", "^https?://[^/]*", "").alias("href"))
+    return hrefs(s, d, 'href="(/[^"]*)"').join(known, "href", "left_anti").groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
+
+
+def two_snapshot_growth(s, d):
+    li = table(s, d, "lineitem").select(COL("l_partkey").alias("k"), F.year("l_shipdate").alias("y"))
+    first = li.agg(F.min("y")).first()[0]
+    both = li.filter(COL("y").isin(first, first + 1)).groupBy("k").agg(F.count_if(COL("y") == first).alias("base"), F.count_if(COL("y") == first + 1).alias("head"))
+    return both.filter("head - base >= 3 AND (head - base) * 100 > base * 25")
+
+
+def coverage_join(s, d):
+    j = table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels").select(COL("doc_id").alias("l")), COL("doc_id") == COL("l"), "left")
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count("l").alias("covered")).withColumn("gap", COL("total") - COL("covered"))
+
+
+def pass_rate(s, d):
+    j = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id")
+    return j.groupBy("source").agg(F.round(host.pass_rate(F.sum("quality"), F.count(F.lit(1)) - F.sum("quality")), 4).alias("pct"))
+
+
+def outcome_combine(s, d):
+    o = table(s, d, "orders")
+    rank = F.when(COL("o_orderstatus") == "F", 3).when(COL("o_orderstatus") == "O", 2).otherwise(1)
+    return o.groupBy("o_custkey").agg(F.max(rank).alias("prec"), F.count_if(COL("o_orderstatus") == "O").alias("n"))
+
+
+def undocumented_words(s, d):
+    words = lambda df, *keep: df.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0)))).alias("w"))
+    known = words(table(s, d, "documents").filter("lang = 'de'"))
+    return words(table(s, d, "benchmark"), "item_id").join(known, "w", "left_anti").groupBy("w").agg(F.min("item_id").alias("first_item"))
+
+
+def duplicate_definition(s, d):
+    t = lines_of(table(s, d, "documents")).filter(F.trim("t") != "")
+    rn = F.row_number().over(Window.partitionBy("doc_id", F.lower(F.trim("t"))).orderBy("i"))
+    return t.withColumn("rn", rn).filter("rn > 1").select("doc_id", "i")
+
+
+def advisory_range(s, d):
+    a = s.createDataFrame([("1", 1, 10, 9.5), ("2", 5, 30, 7.1), ("3", 1, 50, 4.0)], "tail string, lo int, hi int, score double")
+    p = table(s, d, "part").select("p_partkey", "p_size", F.right("p_brand", F.lit(1)).alias("tail"))
+    sev = F.when(COL("score") >= 9, "critical").when(COL("score") >= 7, "high").when(COL("score") >= 4, "medium").otherwise("low")
+    return p.join(F.broadcast(a), "tail").filter(COL("p_size").between(COL("lo"), COL("hi"))).select("p_partkey", "score", sev.alias("sev"))
+
+
+def settings_unpivot(s, d):
+    flags = F.explode(F.array(F.struct(F.lit("negative").alias("flag"), (COL("s_acctbal") < 0).alias("hit")), F.struct(F.lit("high").alias("flag"), (COL("s_acctbal") > 9000).alias("hit"))))
+    return table(s, d, "supplier").select("s_suppkey", flags.alias("f")).select("s_suppkey", "f.flag", "f.hit")
+
+
+def ignored_vs_total(s, d):
+    li = table(s, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_returnflag").distinct()
+    return li.groupBy("l_suppkey").agg(F.count_if(COL("l_returnflag") == "R").alias("ignored"), F.count(F.lit(1)).alias("total")).filter("ignored > 0")
+
+
+def scope_rollup(s, d):
+    j = table(s, d, "customer").join(table(s, d, "nation"), COL("c_nationkey") == COL("n_nationkey")).join(table(s, d, "region"), COL("n_regionkey") == COL("r_regionkey"))
+    return j.rollup("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def position_join(s, d):
+    at = table(s, d, "orders").filter("o_orderstatus = 'F'").select(COL("o_orderkey").alias("l_orderkey"), (1 + COL("o_orderkey") % 4).cast("int").alias("l_linenumber"))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber").join(at, ["l_orderkey", "l_linenumber"], "left_semi")
+
+
+def nearest_scope(s, d):
+    # the last view at or before each error, as one running value per user: no join of all views with all errors
+    w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    e = table(s, d, "events").withColumn("scope", F.max(F.when(COL("event_type") == "view", F.struct("ts", "event_id"))).over(w)["event_id"])
+    return e.filter("event_type = 'error' AND scope IS NOT NULL").select("event_id", "scope")
+
+
+def same_block_order(s, d):
+    # for every view: the first error after it, then whether a purchase follows within six hours of the view
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    after = Window.partitionBy("user_id").orderBy(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))")).rangeBetween(1, Window.unboundedFollowing)
+    err = e.withColumn("err", F.min(F.when(COL("event_type") == "error", COL("ts"))).over(after))
+    last = Window.partitionBy("user_id").orderBy(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST(ts AS TIMESTAMP_NTZ))")).rangeBetween(1, 6 * 3600 * 1_000_000 - 1)
+    p = err.withColumn("bought", F.max(F.when(COL("event_type") == "purchase", COL("ts"))).over(last))
+    return p.filter("event_type = 'view' AND err IS NOT NULL AND bought > err").select("event_id")
+
+
+def name_convention(s, d):
+    return table(s, d, "part").filter(~COL("p_name").rlike("^[a-z]+ [a-z]{4}$")).select("p_partkey", "p_name")
+
+
+def json_props(s, d):
+    k, owner = F.get_json_object("props", "$.k"), F.get_json_object("props", "$.owner")
+    return table(s, d, "events").groupBy("event_type").agg(F.max(k.cast("int")).alias("mk"), F.count_if(owner.isNull()).alias("no_owner"))
+
+
+def adjacent_comment(s, d):
+    w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-3, 0)
+    c = table(s, d, "conversations").withColumn("near", F.max(F.coalesce(COL("text").contains("?"), F.lit(False))).over(w))
+    return c.filter("role = 'assistant' AND NOT near").select("conv_id", "turn")
+
+
+def reciprocal_link(s, d):
+    p = table(s, d, "lineitem").filter("l_quantity >= 49").select((COL("l_partkey") % 50).alias("a"), (COL("l_suppkey") % 50).alias("b")).distinct()
+    return p.filter("a <> b").join(p.toDF("b", "a"), ["a", "b"], "left_anti")
+
+
+def member_dedup(s, d):
+    return table(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_summary(spark, sf_dir)
+
+
+#: In the order of the oracles.
+QUERIES = [
+    finding_validate, waive_range_join, stale_entries, top_n, rule_summary, omitted_by_severity, mode_tiebreak_outliers, distinct_over_limit, instability, reachability_closure,
+    cochange_share, percentile_outliers, repeated_literals, islands, lookahead, secret_scan, redact_text, licence_lines, link_extract, dead_local_links, two_snapshot_growth,
+    coverage_join, pass_rate, outcome_combine, undocumented_words, duplicate_definition, advisory_range, settings_unpivot, ignored_vs_total, scope_rollup, position_join,
+    nearest_scope, same_block_order, name_convention, json_props, adjacent_comment, reciprocal_link, member_dedup,
+]
+
 
 def queries() -> dict:
-    return {}
+    return {f"t{k:02d}_{f.__name__}": f for k, f in enumerate(QUERIES, 1)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in ORACLES.items() if k in queries()}
