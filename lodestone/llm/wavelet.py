@@ -34,7 +34,7 @@ from .common import shared_path, shuffle_partitions
 END_ID = 1
 SHARD_TOKENS = 1 << 20
 #: Encodings of words and of their letters kept per worker, and marks that may end a word of letters.
-KEPT, KEPT_LETTERS = 400_000, 1_200_000
+KEPT, KEPT_LETTERS = 700_000, 1_000_000
 MARKS = ".,;:!?#$%&*|()[]{}<>/+=~^@\""
 MAGIC = b"WVMX1\n"
 
@@ -87,8 +87,6 @@ class WordEncoder:
         for w in new:
             core = w.rstrip(MARKS)
             if core.isalpha():
-                if core.isascii():
-                    core = core.lower()
                 mark = w[len(core) :]
                 if core in letters and mark in marks:
                     kept[w] = letters[core] + marks[mark]
@@ -103,8 +101,13 @@ class WordEncoder:
             kept[w] = letters[core] + marks[mark]
         kept.update(zip(other, self._encode(other)))
 
+    @staticmethod
+    def _plain(text: str) -> str:
+        """A-Z in lower case, as the tokenizer's own normalizer makes them, unless that could spell a special token."""
+        return text if "<|" in text else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
     def encode_all(self, texts: list[str | None], end_id: int = END_ID) -> list[np.ndarray]:
-        split = [[t] if ODD(t) else t.split() for t in (x or "" for x in texts)]
+        split = [[t] if ODD(t) else self._plain(t).split() for t in (x or "" for x in texts)]
         seen = set().union(*split)
         new = seen.difference(self.kept)
         if len(self.kept) + len(new) > KEPT:
@@ -142,9 +145,9 @@ class WaveletMatrix:
     @classmethod
     def of(cls, values: np.ndarray) -> WaveletMatrix:
         n, bits = len(values), max(1, int(values.max()).bit_length()) if len(values) else 1
-        planes, v = [], values.astype(np.uint32)
+        planes, v = [], values.astype(np.uint16 if bits <= 16 else np.uint32)
         for k in range(bits - 1, -1, -1):
-            one = (v >> np.uint32(k) & np.uint32(1)).astype(bool)
+            one = (v & v.dtype.type(1 << k)) != 0
             packed = np.zeros(-(-n // 64) * 8, np.uint8)
             packed[: -(-n // 8)] = np.packbits(one, bitorder="little")
             planes.append(packed.view(np.uint64))
@@ -210,13 +213,13 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up."""
-        v = np.zeros(self.n, np.uint32)
+        v = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for k in range(len(self.planes) - 1, -1, -1):
-            one = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").astype(bool)
-            up = np.empty(self.n, np.uint32)
-            up[~one], up[one] = v[: self.zeros[k]], v[self.zeros[k] :] | np.uint32(1 << (len(self.planes) - 1 - k))
+            one = np.unpackbits(self.planes[k].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            up = np.empty(self.n, v.dtype)
+            up[~one], up[one] = v[: self.zeros[k]], v[self.zeros[k] :] | v.dtype.type(1 << (len(self.planes) - 1 - k))
             v = up
-        return v
+        return v.astype(np.uint32)
 
 
 # --- the file ---------------------------------------------------------------------------------------------------
