@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encodings kept per worker, and the longest chunk (characters) worth keeping.
-KEPT, KEPT_CHARS = 400_000, 24
+KEPT, KEPT_CHARS = 120_000, 24
 #: Spans up to LEAF bytes are leaves of the tree, merged directly by rank; spans up to KEPT_PART bytes are kept.
 LEAF, KEPT_PART = 4, 8
 #: The pattern whose matches never cross from visible characters into white space, so that texts may be cut there.
