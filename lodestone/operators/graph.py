@@ -74,3 +74,35 @@ def cochange(touched: DataFrame, max_files: int, least: int, share: int) -> Data
     s1, s2 = single.toDF("f1", "n1"), single.toDF("f2", "n2")
     j = both.join(s1, F.col("a") == F.col("f1")).join(s2, F.col("b") == F.col("f2")).withColumn("ne", F.col("n1") + F.col("n2") - F.col("nb"))
     return j.filter(F.col("nb") * 100 >= F.col("ne") * share).select("a", "b", "nb", "ne")
+
+
+#: Extensions of code, names of registries that everything edits, and what isn't judged.
+CODE = r"\.(rs|py|ts|tsx|js|jsx|go|java|kt|c|cc|cpp|h|hpp|cs)$"
+REGISTRY = r"(^|/)(lib\.rs|main\.rs|mod\.rs|__init__\.py|index\.ts|index\.js)$"
+UNJUDGED = r"(^|/)(tests|test|benches|examples|node_modules)/|(^|/)(build\.rs|(index|tests)\.[^/.]*|[^/]*_test[^/]*|test_[^/]*|[^/]*\.(test|spec)[^/]*)$"
+
+
+def divergent_changes(touched: DataFrame, least: int = 3, max_files: int = 25) -> DataFrame:
+    """(f, groups, commits): judged files whose commits (o) fall into two or more groups of at least `least` commits that
+    share no partner file. Commits of more than max_files files don't count, nor partners that over a fifth of the kept
+    commits (five at least) touch, nor registries and files other than code."""
+    t = touched.select("o", "f").distinct()
+    small = t.groupBy("o").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= max_files).select("o")
+    kept = _cut(t.join(small, "o", "left_semi"))
+    n = kept.agg(F.countDistinct("o")).first()[0]
+    common = kept.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") >= 5) & (F.col("c") * 5 > n)).select("f")
+    partner = kept.filter(F.col("f").rlike(CODE) & ~F.col("f").rlike(REGISTRY)).join(common, "f", "left_anti").select("o", F.col("f").alias("p"))
+    judged = kept.filter(F.col("f").rlike(CODE) & ~F.col("f").rlike(REGISTRY) & ~F.col("f").rlike(UNJUDGED))
+    # a commit has at most max_files files, so the pairs of a commit are bounded
+    links = _cut(judged.join(partner, "o").filter("f <> p").select("f", "o", "p"))
+    label = links.select("f", "o", F.col("o").alias("g")).distinct()
+    before = None
+    while True:
+        by_partner = links.join(label, ["f", "o"]).groupBy("f", "p").agg(F.min("g").alias("g"))
+        label = _cut(links.join(by_partner, ["f", "p"]).groupBy("f", "o").agg(F.min("g").alias("g")))
+        state = label.agg(F.sum(F.xxhash64("f", "o", "g").cast("decimal(20,0)"))).first()[0]
+        if state == before:
+            break
+        before = state
+    groups = label.groupBy("f", "g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
+    return groups.groupBy("f").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("commits")).filter("groups >= 2")

@@ -134,7 +134,86 @@ def unowned_todos(files: DataFrame) -> DataFrame:
     return finding(bad, "RDB-008", "low", "medium", F.col("path"), F.col("line"), F.col("path"), F.col("c"))
 
 
-RULES = {"GOV-011": conflict_markers, "SUP-005": many_versions, "DOC-009": glossary, "WSP-001": code_owners, "SUP-009": release_sbom, "SUP-010": release_signing, "SEC-007": threat_model, "RDB-008": unowned_todos}
+#: The text that opens a named read of the environment, by extension.
+ENV_READS = {
+    "rs": r"env::var(?:_os)?\(", "py": r"os\.(?:environ\[|environ\.get\(|getenv\()", "js|jsx|mjs|cjs|ts|tsx": r"process\.env(?:\.|\[)", "go": r"os\.(?:Getenv|LookupEnv)\(",
+    "java|kt|scala": r"System\.getenv\(", "rb": r"ENV(?:\[|\.fetch\()", "cs": r"Environment\.GetEnvironmentVariable\(", "php": r"(?:getenv\(|\$_ENV\[)",
+}
+#: Variables of the platform; directories and names of tooling and tests.
+PLATFORM = "PATH PATHEXT HOME USER USERNAME USERPROFILE LOCALAPPDATA APPDATA PROGRAMDATA ProgramData ProgramFiles ProgramFiles(x86) PROGRAMFILES SystemRoot SYSTEMROOT TEMP TMP TMPDIR PWD SHELL TERM LANG CI CARGO_MANIFEST_DIR OUT_DIR PYTHONPATH PYTHONIOENCODING LD_LIBRARY_PATH".split()
+DEV_DIRS = "tools|scripts|script|probe|probes|spike|spikes|xtask|docs|e2e|bench|benches|examples|\\.github|tests|test|__tests__|spec"
+DEV_NAMES = r"(^|/)(build\.rs|tests\.rs|tests_[^/]*|[^/]*_tests\.rs|[^/]*_test\.(go|py)|test_[^/]*|[^/]*\.(test|spec)\.[^/]*|[^/]*\.config\.(js|ts|mjs|cjs))$"
+ANALYSIS_CONFIGS = ["codecov.yml", ".codecov.yml", "codecov.yaml", ".codacy.yml", ".codacy.yaml", "sonar-project.properties", ".eslintignore", ".deepsource.toml"]
+VENDOR = "vendor|vendors|third_party|third-party|node_modules|bower_components"
+ENV_FILES = 3
+
+
+def env_reads(files: DataFrame) -> DataFrame:
+    """(repo, path, line, name): named reads of environment variables in product code, platform variables left out."""
+    found = None
+    source = files.filter(~_in_dir(SKIPPED) & ~_in_dir(DEV_DIRS) & ~F.col("path").rlike(DEV_NAMES))
+    for ext, opens in ENV_READS.items():
+        of = lines(source.filter(F.col("path").rlike(rf"(?i)\.({ext})$") & F.col("text").rlike(opens)))
+        names = F.explode(F.regexp_extract_all("text", F.lit(opens + r"""\s*["']?([A-Za-z_][A-Za-z0-9_()]*)"""), F.lit(1))).alias("name")
+        rows = of.select("repo", "path", "line", names)
+        found = rows if found is None else found.unionByName(rows)
+    return found.filter(~F.col("name").isin(*PLATFORM))
+
+
+def scattered_env(files: DataFrame) -> DataFrame:
+    """EFX-003: environment variables are read in three or more files of a repository; one finding at the first."""
+    per = env_reads(files).groupBy("repo").agg(F.countDistinct("path").alias("n"), F.min(F.struct("path", "line")).alias("first")).filter(F.col("n") >= ENV_FILES)
+    return finding(per, "EFX-003", "low", "high", F.col("first.path"), F.col("first.line"), F.col("repo"), F.concat(F.lit("environment read in files: "), F.col("n").cast("string")))
+
+
+def undocumented_env(files: DataFrame) -> DataFrame:
+    """OPS-002: a variable that code reads and no documentation file names as a whole word; at its first read."""
+    reads = env_reads(files).groupBy("repo", "name").agg(F.min(F.struct("path", "line")).alias("first"))
+    docs = files.filter(F.col("path").rlike(r"(?i)(\.(md|markdown|rst|txt|adoc)|(^|/)\.env[^/]*)$"))
+    words = docs.select("repo", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("name"))
+    bare = reads.join(words, ["repo", "name"], "left_anti")
+    return finding(bare, "OPS-002", "low", "medium", F.col("first.path"), F.col("first.line"), F.col("name"), F.concat(F.lit("in no documentation: "), F.col("name")), "every documentation file was searched for the name")
+
+
+def failure_model(files: DataFrame) -> DataFrame:
+    """REL-007: a project without a failure model, as a file or as a heading of an architecture document."""
+    name = F.lower(F.regexp_extract("path", "[^/]*$", 0))
+    docs = F.lower("path").rlike("^docs?/|/docs/")
+    design = name.rlike(r"^architecture.*\.md$") | (docs & name.rlike(r"^(design|architecture).*\.md$"))
+    titled = F.coalesce(F.col("text").rlike(r"(?im)^\s*#.*failure mode"), F.lit(False))
+    return _lacks(files, "REL-007", "failure model", name.rlike("^failure[-_]?mode") | (design & titled))
+
+
+def vendored_unexcluded(files: DataFrame) -> DataFrame:
+    """SUP-011: an analysis configuration that doesn't name a vendored directory."""
+    top = F.regexp_extract("path", f"^((?:[^/]+/)*?(?:{VENDOR}))/", 1)
+    dirs = files.select("repo", top.alias("dir")).filter("dir <> ''").groupBy("repo", "dir").agg(F.count(F.lit(1)).alias("n"))
+    configs = files.filter(F.col("path").isin(*ANALYSIS_CONFIGS) & F.col("text").isNotNull()).select(F.col("repo").alias("_r"), "path", "text")
+    bad = dirs.join(configs, F.col("repo") == F.col("_r")).filter(~F.col("text").contains(F.regexp_extract("dir", "[^/]*$", 0)))
+    return finding(bad, "SUP-011", "low", "medium", F.col("path"), None, F.col("dir"), "a vendored directory isn't excluded", F.concat(F.lit("tracked files there: "), F.col("n").cast("string")))
+
+
+def dead_links(files: DataFrame) -> DataFrame:
+    """DOC-010, local part: links of Markdown documents to files that aren't tracked. Targets resolve against the
+    document's directory, or the root where they begin with a slash; remote links need a status table."""
+    docs = _unfenced(lines(files.filter(F.col("path").rlike(r"\.(md|markdown)$"))))
+    raw = docs.select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\]\(\s*<?([^)>\s]+)"), F.lit(1))).alias("link"))
+    target = F.regexp_replace("link", r"[#?].*$", "")
+    local = raw.withColumn("target", target).filter((F.col("target") != "") & ~F.col("link").rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:|^//"))
+    base = F.when(F.col("target").startswith("/"), "").otherwise(F.regexp_extract("path", r"^(.*/)?", 0))
+    steps = F.split(F.concat(base, F.col("target")), "/")
+    fold = F.aggregate(steps, F.array().cast("array<string>"), lambda a, x: F.when((x == "") | (x == "."), a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x))))
+    resolved = local.withColumn("to", F.array_join(fold, "/")).filter("to <> ''")
+    deep = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))).alias("to")
+    known = files.select("repo", deep).distinct()  # files and the directories above them
+    dead = resolved.join(known, ["repo", "to"], "left_anti")
+    return finding(dead, "DOC-010", "low", "high", F.col("path"), F.col("line"), F.col("link"), F.concat(F.lit("links to an untracked file: "), F.col("to")))
+
+
+RULES = {
+    "GOV-011": conflict_markers, "SUP-005": many_versions, "DOC-009": glossary, "WSP-001": code_owners, "SUP-009": release_sbom, "SUP-010": release_signing, "SEC-007": threat_model, "RDB-008": unowned_todos,
+    "EFX-003": scattered_env, "OPS-002": undocumented_env, "REL-007": failure_model, "SUP-011": vendored_unexcluded, "DOC-010": dead_links,
+}
 
 
 def audit(files: DataFrame, only: list[str] | None = None) -> DataFrame:

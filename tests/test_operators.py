@@ -64,3 +64,14 @@ def test_semver(spark):
     order = ["junk", "1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0", "v1.2", "1.10.0+build"]
     df = spark.createDataFrame([(v,) for v in reversed(order)], "v string")
     assert [r.v for r in df.orderBy(T.semver_key(F.col("v"))).collect()] == order
+
+
+def test_divergent_changes(spark):
+    rows = []
+    for k in range(3):
+        rows += [(f"a{k}", "src/x.rs"), (f"a{k}", "src/p.rs"), (f"b{k}", "src/x.rs"), (f"b{k}", "src/q.rs"), (f"c{k}", "src/y.rs"), (f"c{k}", "src/r.rs")]
+    rows += [("bulk", f"src/f{i}.rs") for i in range(26)] + [("bulk", "src/x.rs"), ("lone", "src/x.rs"), ("doc", "src/x.rs"), ("doc", "README.md")]
+    # commits enough that no partner is in over a fifth of them
+    rows += [(f"o{i}", f"other/{i}.py") for i in range(30)]
+    got = graph.divergent_changes(spark.createDataFrame(rows, "o string, f string")).collect()
+    assert [(r.f, r.groups, r.commits) for r in got] == [("src/x.rs", 2, 6)]
