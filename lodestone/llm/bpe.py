@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Encodings kept per worker, and the longest chunk (characters) worth keeping.
-KEPT, KEPT_CHARS = 120_000, 24
+#: Encodings kept per worker and generation, the longest chunk (characters) worth keeping, and spans and token pairs kept.
+KEPT, KEPT_CHARS, KEPT_SPANS = 120_000, 24, 200_000
 #: Spans up to LEAF bytes are leaves of the tree, merged directly by rank; spans up to KEPT_PART bytes are kept.
 LEAF, KEPT_PART = 4, 8
 #: The pattern whose matches never cross from visible characters into white space, so that texts may be cut there.
@@ -48,6 +48,7 @@ class ByteBPE:
         self.bytes_of = self.vocab.__getitem__
         self.decimal = {r: str(r) for r in self.vocab}.__getitem__
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[bytes, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], tuple[int, ...]] = {}
 
@@ -79,7 +80,7 @@ class ByteBPE:
         found = self.parts.get(piece)
         if found is None:
             found = self._merge(piece) if n <= LEAF else self.join(self._part(piece[: n // 2]), self._part(piece[n // 2 :]))
-            if len(self.parts) >= KEPT:
+            if len(self.parts) >= KEPT_SPANS:
                 self.parts.clear()
             self.parts[piece] = found
         return found
@@ -88,7 +89,7 @@ class ByteBPE:
         """Encoding of the bytes of two tokens; the pair is stable if it is (a, b)."""
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) >= KEPT:
+            if len(self.pairs) >= KEPT_SPANS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._merge(self.bytes_of(a) + self.bytes_of(b))
         return found
@@ -118,16 +119,17 @@ class ByteBPE:
 
     def encode_chunk(self, chunk: str) -> tuple[int, ...]:
         """Tokens of a run of white space and the run of other characters after it, each match of the pattern by itself."""
-        found = self.kept.get(chunk)
+        found = self.kept.get(chunk) or self.older.get(chunk)
         if found is None:
             ids: list[int] = []
             for piece in self.split.findall(chunk):
                 ids += self.encode_bytes(piece.encode("utf-8", "surrogatepass"))
             found = tuple(ids)
-            if len(chunk) <= KEPT_CHARS:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[chunk] = found
+        if len(chunk) <= KEPT_CHARS:
+            # two generations: what was used since the last turn stays
+            if len(self.kept) >= KEPT:
+                self.older, self.kept = self.kept, {}
+            self.kept[chunk] = found
         return found
 
     def encode(self, text: str | None) -> list[int]:
@@ -135,10 +137,10 @@ class ByteBPE:
         text may be cut where white space starts, and the pattern runs only over chunks not seen before."""
         text = text or ""
         ids: list[int] = []
-        kept, extend = self.kept.get, ids.extend
+        extend = ids.extend
         # Python's \s also holds the separators 1C to 1F, which the pattern takes for visible: no cuts there
         for chunk in CHUNKS(text) if self.cuts and not SEPARATORS(text) else (text,):
-            extend(kept(chunk) or self.encode_chunk(chunk))
+            extend(self.kept.get(chunk) or self.encode_chunk(chunk))
         return ids
 
     def decode(self, ids: list[int]) -> bytes:
