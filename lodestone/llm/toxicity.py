@@ -11,7 +11,8 @@ exceptions: they are patterns of weight 0, and the longest match at a place wins
 length, and the scale is set so that the cut-off with the best F1 on the training rows scores 0.3.
 
 Only the labels and the texts enter; lang, source and doc_id are never inputs. At most about MAX_TRAIN labelled rows, picked
-by a hash of the id, train the lexicon (a documented bound); every document is scored over its whole text.
+by a hash of the id, train the lexicon (a documented bound); every document is scored over its whole text. Terms and exceptions
+have no bound of their own: all that pass are in the lexicon, whose size follows from the training rows.
 
 Cases: null and empty texts score 0; label rows with a null id or label are ignored, of several for one id the largest
 counts; without any toxic training row the lexicon is empty and every score 0; repeated rows score alike; an empty table
@@ -31,8 +32,6 @@ from pyspark.sql import functions as F
 
 #: Expected number of labelled training rows at most.
 MAX_TRAIN = 50_000
-#: Terms of the lexicon at most, exceptions at most.
-MAX_TERMS, MAX_EXCEPTIONS = 20_000, 5_000
 #: Least toxic surroundings of a word and of a stem, words of a stem, and pseudo-documents of smoothing.
 LEAST_WORD, LEAST_STEM, STEM_WORDS, SMOOTH = 5, 8, 4, 4.0
 #: Least weight of a candidate, and of a term once its exceptions are known; share of clean documents that makes a phrase an exception, and its least clean documents.
@@ -121,17 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bad = within.join(spread, "word").select("word", F.least("docs", "places").alias("tox"))
     stem_of = F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEM_LENGTHS])).alias("term")
     bad_stems = bad.select(stem_of, "tox").filter("term IS NOT NULL").groupBy("term").agg(F.sum("tox").alias("tox"), F.count(F.lit(1)).alias("many"))
-    bad_words = bad.filter(F.col("tox") >= LEAST_WORD).orderBy(F.desc("tox"), "word").limit(MAX_TERMS).select(F.col("word").alias("term"), "tox", F.lit(False).alias("stem"))
-    bad_stems = bad_stems.filter((F.col("tox") >= LEAST_STEM) & (F.col("many") >= STEM_WORDS)).orderBy(F.desc("tox"), "term").limit(MAX_TERMS).select("term", "tox", F.lit(True).alias("stem"))
-    bounded = train.sparkSession.createDataFrame(bad_words.unionByName(bad_stems).collect(), "term string, tox long, stem boolean")
-    # clean side: documents with the candidate, candidates are few enough to broadcast
-    clean_words = train.filter("toxic = 0").select(F.explode(F.array_distinct(F.array_remove(F.split("text", " "), ""))).alias("word"))
+    bad_words = bad.filter(F.col("tox") >= LEAST_WORD).select(F.col("word").alias("term"), "tox", F.lit(False).alias("stem"))
+    bad_stems = bad_stems.filter((F.col("tox") >= LEAST_STEM) & (F.col("many") >= STEM_WORDS)).select("term", "tox", F.lit(True).alias("stem"))
+    # clean side: documents of a word, summed for a stem over its words
+    clean_words = train.filter("toxic = 0").select(F.explode(F.array_distinct(F.array_remove(F.split("text", " "), ""))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
     shapes = F.explode(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("stem")), *[F.struct(F.when(F.length("word") > k, F.substring("word", 1, k)).alias("term"), F.lit(True).alias("stem")) for k in STEM_LENGTHS])).alias("s")
-    clean = clean_words.select(shapes).select("s.*").join(F.broadcast(bounded), ["term", "stem"], "left_semi").groupBy("term", "stem").agg(F.count(F.lit(1)).alias("clean"))
-    weighed = bounded.join(clean, ["term", "stem"], "left").select("term", "stem", "tox", F.coalesce("clean", F.lit(0)).alias("clean"))
+    clean = clean_words.select(shapes, "clean").select("s.*", "clean").filter("term IS NOT NULL").groupBy("term", "stem").agg(F.sum("clean").alias("clean"))
+    weighed = bad_words.unionByName(bad_stems).join(clean, ["term", "stem"], "left").select("term", "stem", "tox", F.coalesce("clean", F.lit(0)).alias("clean"))
     weighed = weighed.filter(~F.col("stem") | (F.col("clean") * 50 <= F.col("tox")))
     tox, clean = F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)
-    terms = [r for r in weighed.collect() if _log_odds(r.tox, r.clean, n_tox, n_clean) >= LEAST_CANDIDATE]
+    # every candidate is weighed; only those that pass reach the driver, so ordinary words take nobody's place
+    odds = F.log((F.col("tox") + 0.5) / (n_tox + 1.0)) - F.log((F.col("clean") + SMOOTH) / (n_clean + 1.0))
+    terms = weighed.filter(odds >= LEAST_CANDIDATE).collect()
     short = {r.term for r in terms if r.stem}
     # a word under a stem is covered by it, and so is a longer stem
     free = [r for r in terms if not any(r.term[:k] in short for k in STEM_LENGTHS if k < len(r.term))]
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Lexicon()
     seen = train.select("text", F.col("toxic").cast("int")).mapInArrow(phrases, "phrase string, term string, toxic int").groupBy("phrase", "term").agg(tox.alias("tox"), clean.alias("clean"))
     safe = seen.filter((F.col("clean") >= LEAST_EXCEPTION) & (F.col("clean") >= EXCEPTION_SHARE * (F.col("clean") + F.col("tox"))))
-    exceptions = safe.orderBy(F.desc("clean"), "phrase", "term").limit(MAX_EXCEPTIONS).collect()
+    exceptions = safe.orderBy(F.desc("clean"), "phrase", "term").collect()
     # what an exception explains no longer counts against its term; a phrase before and one after may share documents
     excused = dict.fromkeys(counts, 0)
     for r in exceptions:

@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 
@@ -74,3 +75,24 @@ def test_no_labels(spark, frames):
     docs, labels = frames
     assert {r.score for r in x.score(docs, x.fit(docs, labels.limit(0))).collect()} == {0.0}
     assert x.score(docs.limit(0), x.Lexicon()).count() == 0
+
+
+def test_every_candidate_is_weighed(spark):
+    """More ordinary words than any former bound, each in more toxic documents than the word that tells; more exceptions too."""
+    plain = ["".join(w) for w in itertools.product("abcdefgh", repeat=5)][:20_500]
+    r, rows = random.Random(3), []
+    for i in range(72):
+        words, toxic = plain[:], int(i < 12)
+        if toxic:
+            r.shuffle(words)
+            words += ["blighter", plain[i]]
+            if i < 6:
+                words += ["scoundrel", plain[i]]
+        elif i < 18:
+            words = [x for w in plain[:5_200] for x in (w, "blighter")] + plain[5_200:]
+        rows.append((i, " ".join(words), toxic))
+    docs = spark.createDataFrame([row[:2] for row in rows], "doc_id long, text string")
+    lex = x.fit(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    assert lex.weights[" scoundrei "] > 0 and lex.weights[" biighter "] > 0
+    assert all(lex.weights[f" {w}  biighter "] == 0 for w in plain[:5_200])
+    assert not any(w in lex.weights for w in (f" {p} " for p in plain))
