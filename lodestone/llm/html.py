@@ -3,10 +3,12 @@
 1. A page becomes a tree of block elements (inline markup is transparent), with a leaf per block of text.
 2. Pages of a host are aligned in a chain, each with the next, by simple tree matching: the largest order-preserving match
    of equal labels from the root down; runs of siblings with one label match member by member. Aligned leaves with equal
-   text vote their slot (the path of labels) constant, others vote it varying. Pairs of (near) equal pages don't vote.
-3. Votes, text and link characters are summed per host and slot over all pages. Constant and link-dense slots are template.
+   text vote their slot (the path of labels) constant, others vote it varying. Pairs of pages with (near) equal content don't vote.
+3. Votes, text and link characters are summed per host and slot over all pages. Constant and link-dense slots are template,
+   but for those in an article or main element.
 4. A page's text is its blocks outside template slots and outside elements that are no content by tag, role or class name;
-   where the page marks an article or main element, the blocks inside it.
+   where the page marks an article or main element, the blocks inside it. A class name or form above a main element doesn't
+   drop it, nor above an article, unless the name is of other people's or other pages' texts (comments, related).
 
 Only page skeletons (labels and checksums) meet in groups; a host with many pages is split into chains of about CHAIN
 pages by a hash of the page id. The html itself moves at most once, to meet its host's template slots.
@@ -35,7 +37,7 @@ from .common import cut
 CHAIN = 256
 #: Least votes and share of constant votes, and share of link characters, that make a slot template.
 LEAST_VOTES, CONSTANT_SHARE, LINK_SHARE = 3, 0.8, 0.5
-#: Pairs with at least this share of equal leaves are copies and don't vote.
+#: Pairs with at least this share of equal leaves of content are copies and don't vote.
 COPY_SHARE = 0.9
 #: Template slots over all hosts up to which they are broadcast (a few MB); beyond, hosts are split over so many tasks.
 BROADCAST_SLOTS, SALTS = 20_000, 64
@@ -47,29 +49,53 @@ CLOSE_P = frozenset("address article aside blockquote details dialog div dl fiel
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_CONTENT = frozenset("nav footer aside form script style noscript iframe svg button select textarea template head title dialog menu object canvas audio video".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Parts of class names and ids of elements that hold no article text.
+#: What <head> may hold; any other element, or text, closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
+#: Class names and ids of elements that hold no article text, alone or with words of PLACES only.
 NO_NAME = frozenset(
     "ad ads adv advert advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice notices popup modal overlay sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar comment comments respond reply replies disqus share sharing social related recommended newsletter subscribe login signup "
     "search widget pagination pager toolbar".split()
 )
+PLACES = frozenset(
+    "site main global top bottom left right upper lower primary secondary tertiary first last header head foot list items item links link box block bar area section region panel "
+    "container wrapper wrap inner outer row col column columns group form buttons button icons post entry mobile desktop sticky widgets".split()
+)
+#: Of those, the names under which articles are not the page's own.
+OTHERS = frozenset("ad ads adv advert advertisement adsense sponsor sponsored promo comment comments respond reply replies disqus related recommended widget".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S | re.I)
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAME_PARTS = re.compile(r"[A-Za-z]+").findall
 
 
+def named(names: tuple[str, ...]) -> int:
+    """What class and id say of an element: 0 nothing, 1 no content, 2 no content, nor the articles in it."""
+    found = 0
+    for token in " ".join(names).split():
+        parts = {p.lower() for p in NAME_PARTS(token)}
+        if parts & NO_NAME and parts <= NO_NAME | PLACES:
+            found = max(found, 2 if parts & OTHERS else 1)
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "label", "path", "kids", "out", "main")
+    """hard: out by tag, role or hiding, for good; soft: out by a name or a form (see named()), which an article may lift."""
+
+    __slots__ = ("tag", "label", "path", "kids", "hard", "soft", "main")
+
+    def __init__(self, tag: str, label: str, path: str, hard: bool, soft: int, main: bool):
+        self.tag, self.label, self.path, self.hard, self.soft, self.main, self.kids = tag, label, path, hard, soft, main, []
 
-    def __init__(self, tag: str, label: str, path: str, out: bool, main: bool):
-        self.tag, self.label, self.path, self.out, self.main, self.kids = tag, label, path, out, main, []
+    @property
+    def out(self) -> bool:
+        return self.hard or self.soft > 0
 
 
 class Page:
     """Blocks of a page in order, (node, text, link characters), and the root of its tree."""
 
     def __init__(self, source: str | None):
-        self.root = Node("", "", "", False, False)
+        self.root = Node("", "", "", False, 0, False)
         self.blocks: list[tuple[Node, str, int]] = []
         self._stack, self._text, self._links, self._in_link = [self.root], [], 0, False
         source, at = source or "", 0
@@ -86,7 +112,13 @@ class Page:
             self._add(source[at:])
         self._flush()
 
+    def _close_head(self) -> None:
+        if self._stack[-1].tag == "head":
+            self._pop_to(len(self._stack) - 1)
+
     def _add(self, text: str) -> None:
+        if self._stack[-1].tag == "head" and text.strip():  # as browsers do, where </head> is left out
+            self._close_head()
         self._text.append(text)
         if self._in_link:
             self._links += len(text)
@@ -97,7 +129,8 @@ class Page:
             if text:
                 node = self._stack[-1]
                 self.blocks.append((node, text, min(self._links, len(text))))
-                node.kids.append((zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), min(self._links, len(text))))
+                kind = () if not (node.out or node.main) else ("out" if node.out else "main",)
+                node.kids.append((zlib.crc32(text.encode("utf-8", "surrogatepass")), len(text), min(self._links, len(text)), *kind))
             self._text, self._links = [], 0
 
     def _pop_to(self, k: int) -> None:
@@ -114,6 +147,10 @@ class Page:
         return None
 
     def _start(self, tag: str, raw: str) -> None:
+        if tag == "body" and (k := self._open({"head"}, {"body", "template"})) is not None:
+            self._pop_to(k)
+        elif tag not in IN_HEAD:
+            self._close_head()
         if tag in INLINE:
             self._in_link = self._in_link or tag == "a"
             return
@@ -133,14 +170,21 @@ class Page:
         attributes = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(raw)} if raw and raw.strip() else {}
         names = attributes.get("class", ""), attributes.get("id", "")
         label = tag + "".join(mark + " ".join(n.split()) for mark, n in zip(".#", names) if n and not any(c.isdigit() for c in n))
-        parts = {p.lower() for n in names for p in NAME_PARTS(n)}
         role = attributes.get("role", "").lower()
-        main = up.main or tag in ("article", "main") or role in ("main", "article")
-        head = not up.main and (tag == "header" or "header" in parts)
+        whole, article = tag == "main" or role == "main", tag == "article" or role == "article"
         hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
-        structural = tag in ("html", "body")
-        out = up.out or tag in NO_CONTENT or role in NO_ROLE or head or hidden or (not structural and bool(parts & NO_NAME))
-        node = Node(tag, label, f"{up.path}/{label}", out, main)
+        header = not up.main and any("header" in p and p <= PLACES for p in ({x.lower() for x in NAME_PARTS(t)} for n in names for t in n.split()))
+        hard = up.hard or (tag in NO_CONTENT and tag != "form") or role in NO_ROLE or (tag == "header" and not up.main) or hidden
+        own = 0 if tag in ("html", "body") else max(named(names), int(header or tag == "form"))
+        if whole:
+            soft = 0
+        elif article:
+            soft = 2 if max(own, up.soft) == 2 else 0
+        else:
+            soft = max(own, up.soft)
+        if (whole or article) and tag not in ("main", "article"):
+            label = "main:" + label  # slots tell what is marked by role, too
+        node = Node(tag, label, f"{up.path}/{label}", hard, soft, up.main or whole or article)
         up.kids.append(node)
         self._stack.append(node)
 
@@ -154,7 +198,7 @@ class Page:
             self._in_link = False
 
     def skeleton(self) -> tuple:
-        """The tree as (label, kids) with leaves (checksum, characters, link characters), runs of equal siblings merged."""
+        """The tree as (label, kids) with leaves (checksum, characters, link characters and, for some, "out" or "main")."""
 
         def down(root: Node) -> tuple:
             # without recursion: a page may nest deeply
@@ -214,10 +258,11 @@ def _weigh_run(a: tuple, b: tuple, memo: dict) -> int:
     return sum(_weigh(p, q, memo) for p, q in zip(a[1], b[1]))
 
 
-def aligned(a: tuple, b: tuple) -> list[tuple[str, bool]]:
-    """(slot, equal text) of the aligned leaves of two skeletons, by simple tree matching."""
+def aligned(a: tuple, b: tuple) -> list[tuple[str, bool, str]]:
+    """(slot, equal text, kind) of the aligned leaves of two skeletons, by simple tree matching. Kind: "out" if either leaf
+    is no content, "main" if both are in an article or main element, else empty."""
     memo: dict = {}
-    found: list[tuple[str, bool]] = []
+    found: list[tuple[str, bool, str]] = []
     todo = [(a, b, "")]
     while todo:
         a, b, path = todo.pop()
@@ -239,12 +284,19 @@ def aligned(a: tuple, b: tuple) -> list[tuple[str, bool]]:
                 i, j = i - 1, j - 1
                 for p, q in zip(x[i][1], y[j][1]):
                     if x[i][0] == "#":
-                        found.append((path, p[0] == q[0]))
+                        kinds = p[3:] + q[3:]
+                        found.append((path, p[0] == q[0], "out" if "out" in kinds else "main" if kinds == ("main", "main") else ""))
                     else:
                         todo.append((p, q, f"{path}/{p[0]}"))
     return found
 
 
+def copies(pairs: list[tuple[str, bool, str]]) -> bool:
+    """Whether two pages hold the same content: in what they mark as article or main, else in all but what is out."""
+    content = [same for _, same, kind in pairs if kind == "main"] or [same for _, same, kind in pairs if kind != "out"]
+    return sum(content) >= COPY_SHARE * max(1, len(content))
+
+
 def _leaves(tree: tuple) -> Iterator[tuple[str, int, int]]:
     """(slot, characters, link characters) of every leaf."""
     todo = [(tree, "")]
@@ -286,8 +338,8 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 s[2], s[3] = s[2] + n, s[3] + links
             if last is not None and last[:2] == (host, salt) and last[2] != raw:
                 pairs = aligned(last[2 + 1], tree)
-                if sum(same for _, same in pairs) < COPY_SHARE * max(1, len(pairs)):
-                    for slot, same in pairs:
+                if not copies(pairs):
+                    for slot, same, _ in pairs:
                         s = sums[host, slot]
                         s[0], s[1] = s[0] + same, s[1] + 1
             last = (host, salt, raw, tree)
@@ -305,8 +357,9 @@ def induce(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     votes = chains.mapInArrow(_votes, "host string, slot string, constant long, votes long, chars long, links long")
     slots = votes.groupBy("host", "slot").agg(*[F.sum(c).alias(c) for c in ("constant", "votes", "chars", "links")])
     constant = (F.col("votes") >= LEAST_VOTES) & (F.col("constant") >= CONSTANT_SHARE * F.col("votes"))
-    linked = (F.col("links") > LINK_SHARE * F.col("chars")) & ~F.col("slot").rlike("/(article|main)\\b")
-    return slots.filter(constant | linked).groupBy("host").agg(F.collect_set("slot").alias("template"))
+    linked = F.col("links") > LINK_SHARE * F.col("chars")
+    # what a page marks as its article isn't template, however few of its leaves vary
+    return slots.filter((constant | linked) & ~F.col("slot").rlike("/(article|main)\\b")).groupBy("host").agg(F.collect_set("slot").alias("template"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -92,3 +92,41 @@ def test_copies_do_not_make_content_template(spark):
     rows = [(i, "http://c.example/", page(0, "same everywhere")) for i in range(30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert all("same everywhere" in r.text for r in h.extract(pages).collect())
+
+
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<html><head><title>T</title><body><p>text</p></body></html>", "text"),
+        ("<html><head><title>T</title><meta charset=x><div>text</div>", "text"),
+        ("<html><head><title>T</title><script>s</script>bare <b>text</b><p>more", "bare text more"),
+        ("<head><noscript><p>no</p></noscript><title>T</title></head><body><p>text</p>", "text"),
+        ("<div class='has-sidebar'><p>text</p><div class='left-sidebar'>s</div></div>", "text"),
+        ("<div class='content-sidebar-wrap'><article><p>text</p></article></div>", "text"),
+        ("<div id='page-with-nav'><div class='main-nav'>n</div><p>text</p><div class='site-footer'>f</div></div>", "text"),
+        ("<div class='has-header wide'><p>text</p><div class='site-header'>h</div></div>", "text"),
+        ("<div class='sidebar'><div><article><p>text</p><div class='share'>s</div></article></div>side</div>", "text"),
+        ("<div class='widget'><main><p>text</p></main></div>", "text"),
+        ("<form><div role='main'><p>text</p></div>button</form>", "text"),
+        ("<div class='story'>text</div><div class='comments-area'><article class='comment'>nice</article></div>", "text"),
+        ("<nav><article>no</article></nav><div class='related'><article>no</article></div><article>text</article>", "text"),
+    ],
+)
+def test_no_article_is_lost(source, want):
+    assert text(source) == want
+
+
+def chrome(i, content):
+    menu = "".join(f"<li>m{i} {k}</li>" for k in range(12))
+    return f"<html><body><nav><ul>{menu}</ul></nav>{content}<footer>f{i}</footer></body></html>"
+
+
+def test_article_is_not_template(spark):
+    same = "<div class=story>" + "".join(f"<div>part {k}</div>" for k in range(6)) + "</div>"  # copies of one article, other menus
+    rows = [(i, "http://copies.example/", chrome(i, same)) for i in range(20)]
+    notes = "".join(f"<p>note {k}</p>" for k in range(9))  # one paragraph of ten varies
+    rows += [(100 + i, "http://notes.example/", chrome(i, f"<article><p>body {i}</p><p>more {i}</p>{notes}</article>")) for i in range(20)]
+    rows += [(200 + i, "http://role.example/", chrome(i, f"<div role=main><p>body {i}</p><p>more {i}</p>{notes}</div>")) for i in range(20)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "part 0 part 1 part 2 part 3 part 4 part 5" for i in range(20))
+    assert all(got[k + i].startswith(f"body {i} more {i}") for k in (100, 200) for i in range(20))
