@@ -2,7 +2,8 @@
 
 Per (lang, source) a mergeable KLL quantile sketch of each feature gives the quartile and the median of the group's
 base-passing documents. A fence stands at median + SPREADS x (median - first quartile) + slack (mirrored for the lower
-fence), so the cut-off follows the group and no share of it is dropped by design. Groups with fewer than `min_rows`
+fence), so the cut-off follows the group and no share of it is dropped by design; where the median is 0 the fence is the slack, a
+constant. Groups with fewer than `min_rows`
 documents use the sketch merged over their language, and languages with fewer use the sketch merged over all.
 
 Cases: null text has no words and fails the base rule; null lang or source form groups of their own; repeated rows are
