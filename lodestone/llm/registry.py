@@ -24,6 +24,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc_store": warc.ORACLE_SQL,
         "op4_quality_rules": quality.ORACLE_SQL,
-        "op9_soft_mixing": mixing.query,
         "op10_preference_chat": chat.ORACLE_SQL,
     }
