@@ -91,16 +91,16 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
 
 
 def with_posteriors(docs: DataFrame, model: DataFrame) -> DataFrame:
-    """(_key, _tokens, _p) per document key: number of words and posteriors in the order of DOMAINS. `docs`: _key, text.. HEAT keeps the posteriors soft, since
+    """(_key, _tokens, _p) per row, also of rows that repeat a key: number of words and posteriors in the order of DOMAINS. `docs`: _key, text.. HEAT keeps the posteriors soft, since
     neighbouring words aren't independent."""
     # the count comes before the explode, or else it would be made again for every word
-    listed = docs.select("_key", words_of(F.col("text")).alias("_w")).select("_key", F.size("_w").alias("_tokens"), _features("_w").alias("_w"))
-    words = listed.select("_key", "_tokens", F.explode_outer("_w").alias("w"))
+    listed = docs.select("_key", F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_w")).select("_key", "_row", F.size("_w").alias("_tokens"), _features("_w").alias("_w"))
+    words = listed.select("_key", "_row", "_tokens", F.explode_outer("_w").alias("w"))
     prior = model.filter("bucket IS NULL").first()
     table = F.broadcast(model.filter("bucket IS NOT NULL"))  # at most MAX_TELLING rows
-    scored = words.select("_key", "_tokens", _bucket(F.col("w")).alias("bucket")).join(table, "bucket", "left")
-    # a key's words are made in one task, so the partial sums before the shuffle are its whole sums
-    sums = scored.groupBy("_key").agg(F.max("_tokens").cast("double").alias("_tokens"), *[F.sum(d).alias(d) for d in DOMAINS])
+    scored = words.select("_key", "_row", "_tokens", _bucket(F.col("w")).alias("bucket")).join(table, "bucket", "left")
+    # a row's words are made in one task, so the partial sums before the shuffle are its whole sums
+    sums = scored.groupBy("_key", "_row").agg(F.max("_tokens").cast("double").alias("_tokens"), *[F.sum(d).alias(d) for d in DOMAINS])
     logit = [F.lit(prior[d]) + F.coalesce(F.col(d), F.lit(0.0)) / HEAT for d in DOMAINS]
     top = F.greatest(*logit)
     e = F.array(*[F.exp(x - top) for x in logit])
@@ -166,7 +166,7 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, max_rate: float | None = None) -> DataFrame:
-    """doc_id, tokens, p_<domain> and rate of every row of `docs` (rows that repeat an id and text share a rate)."""
+    """doc_id, tokens, p_<domain> and rate of every row of `docs` (rows that repeat an id and text have equal rates, and each counts)."""
     model = fit_domains(docs, labels)
     key = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
     narrow = cut(with_posteriors(docs.select(key.alias("_key"), "text"), model))
@@ -179,6 +179,7 @@ def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
     own = docs.columns
     rates = mix_rates(docs, labels, targets, total, max_rate)
     n = rates.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), copies_of(F.col("rate"), F.col("doc_id")).alias("_n")).filter("_n > 0")
+    n = n.groupBy("_id", "_hh").agg(F.max("_n").alias("_n"))  # rows that repeat an id and text meet one
     joined = docs.withColumn("_h", F.xxhash64("text")).join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hh")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*own)
 

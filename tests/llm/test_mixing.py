@@ -73,6 +73,22 @@ def test_apply_keeps_clean_rows_and_columns(spark, frames):
     assert {i for i in range(600) if i % 4 < 2} <= left and len(left) < 400
 
 
+def test_repeated_rows_count_and_score_once_each(spark, frames):
+    docs, labels = frames
+    docs = docs.cache()
+    more = docs.unionByName(docs.filter("doc_id < 90")).unionByName(docs.filter("doc_id < 90"))
+    got = m.mix_rates(more, labels, {"clean": 0.8, "junk": 0.15, "toxic": 0.05}).collect()
+    assert len(got) == 780
+    alone = {r.doc_id: r for r in m.with_posteriors(docs.selectExpr("struct(doc_id AS id) AS _key", "text"), m.fit_domains(more, labels)).selectExpr("_key.id AS doc_id", "_tokens", "_p").collect()}
+    for r in got:
+        assert [r.p_clean, r.p_junk, r.p_toxic] == pytest.approx(alone[r.doc_id]._p) and r.tokens == alone[r.doc_id]._tokens
+    assert all(len({round(r.rate, 9) for r in got if r.doc_id == i}) == 1 for i in range(90))
+    mix = [sum(r.rate * r.tokens * r[f"p_{d}"] for r in got) for d in m.DOMAINS]
+    assert [round(x / sum(mix), 3) for x in mix] == [0.8, 0.15, 0.05]
+    out = m.apply_mix(more, labels).groupBy("doc_id").count().collect()
+    assert all(r["count"] == (3 if r.doc_id < 90 else 1) for r in out)
+
+
 def test_edges(spark, frames):
     docs, labels = frames
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "river"), (3, "river " * 50000), (4, "x"), (4, "x"), (4, "y")], "doc_id long, text string")
