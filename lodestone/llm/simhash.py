@@ -213,25 +213,31 @@ def links(fingerprints: DataFrame, radius: int = RADIUS, block: int = BLOCK) ->
     return spread.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linker(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """One row per row of `docs`: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links."""
-    marked = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
-    distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("low")))
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, h, fp) per row, with h a hash of the text; (fp, root) per fingerprint; and (r, least) per component: the least
+    (id, h) of its rows with an id."""
+    marked = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+    distinct = cut(marked.groupBy("fp").agg(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("low")))
     roots = connected_components(links(distinct.select("fp"), radius, block))
     rooted = distinct.join(roots, distinct["fp"] == roots["u"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
+    return marked, rooted, rooted.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
+    """One row per row of `docs`: id, fingerprint (16 hex digits) and component_id, the smallest id reachable over links."""
+    marked, rooted, least = _components(docs, id_col, text_col, radius, shingle, block)
+    named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), F.col("least.id").alias("component_id"))
     return marked.join(named, F.col("fp") == F.col("f")).select(F.col("id").alias(id_col), as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """One document of each group of near-duplicates stays: the one with the smallest id (of rows that repeat an id and
     text, one). Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    first = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(first, F.col(id_col) == F.col("_keep"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *[c for c, t in docs.dtypes if c not in (id_col, text_col) and t in ("string", "bigint", "int")])
-    one = kept.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn")
+    # by id and text: unlike texts under one id are rows of their own groups
+    first = _components(docs, id_col, text_col, **how)[2].filter("least IS NOT NULL").select(F.col("least.id").alias("_keep"), F.col("least.h").alias("_kh"))
+    kept = docs.withColumn("_h", F.xxhash64(text_col)).join(first, (F.col(id_col) == F.col("_keep")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    order = Window.partitionBy(id_col, "_h").orderBy("_h", *[c for c, t in docs.dtypes if c not in (id_col, text_col) and t in ("string", "bigint", "int")])
+    one = kept.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").drop("_rn", "_h")
     return one.unionByName(docs.filter(F.col(id_col).isNull()))
 
 

@@ -64,6 +64,14 @@ def test_components(spark):
     assert connected_components(e.limit(0)).count() == 0
 
 
+def test_keep_one_per_group_where_ids_repeat(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(rng.choice(["v%d" % i for i in range(900)], 80)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (2, c), (3, b), (None, a)]
+    kept = s.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, a), (1, a), (1, b), (2, c)])
+
+
 def test_near_duplicates_small_blocks(spark):
     rng = np.random.default_rng(5)
     words = ["w%d" % i for i in range(500)]
