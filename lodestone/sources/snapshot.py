@@ -28,6 +28,7 @@ def lines(files: DataFrame) -> DataFrame:
 
 def commits(spark: SparkSession, path: str, repo: str) -> DataFrame:
     """(repo, o, f): commit and touched file from a log of `\\x01<id>` lines, each followed by one path per line."""
-    whole = spark.read.text(path, wholetext=True)
-    entry = whole.select(F.explode(F.split("value", "\x01")).alias("e")).filter("e <> ''").select(F.split("e", r"\r?\n").alias("l"))
+    # a row per commit, so that a large log is split over tasks
+    each = spark.read.text(path, lineSep="\x01")
+    entry = each.filter("value <> ''").select(F.split("value", r"\r?\n").alias("l"))
     return entry.select(F.lit(repo).alias("repo"), F.get("l", F.lit(0)).alias("o"), F.explode(F.filter(F.slice("l", 2, F.size("l")), lambda x: x != "")).alias("f")).distinct()

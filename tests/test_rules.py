@@ -57,3 +57,19 @@ def test_snapshot(spark, tmp_path):
     assert [(r.line, r.text) for r in snapshot.lines(f).orderBy("line").collect()] == [(1, "é"), (2, "b")]
     (tmp_path / "log").write_text("\x01c1\n\na.rs\nb.rs\n\x01c2\na.rs\n")
     assert {(r.o, r.f) for r in snapshot.commits(spark, str(tmp_path / "log"), "r").collect()} == {("c1", "a.rs"), ("c1", "b.rs"), ("c2", "a.rs")}
+
+
+def test_log_is_read_in_parts(spark, tmp_path):
+    (tmp_path / "log").write_text("".join(f"\x01c{i}\na{i}.rs\r\n\nb é.rs\n" for i in range(3000)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "4096")
+        got = snapshot.commits(spark, str(tmp_path / "log"), "r")
+        parts = got._jdf.queryExecution().sparkPlan().collectLeaves().head().execute().getNumPartitions()
+        rows = sorted((r.o, r.f) for r in got.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert parts > 1
+    assert rows == sorted((f"c{i}", f) for i in range(3000) for f in (f"a{i}.rs", "b é.rs"))
