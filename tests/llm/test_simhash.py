@@ -37,7 +37,9 @@ def brute_components(fps, radius=4):
 
 def test_fingerprint():
     for t in (None, "", " \t", "a", "One two", "A b C d e ÀÉ f", "x " * 5000, "tab\x0bsep\x0cok nb sp a b c"):
-        assert s.simhash(t) == brute_fingerprint(t)
+        assert s.simhash(t).tolist() == [brute_fingerprint(t)]
+        wide = s.simhash(t, 4, 4).tolist()
+        assert wide[0] == brute_fingerprint(t) and len(wide) == 4
 
 
 @pytest.mark.parametrize("n,kind", [(1, "far"), (40, "far"), (700, "ball"), (900, "mixed")])
@@ -50,11 +52,26 @@ def test_index_finds_all_components(n, kind):
         codes = centres[rng.integers(0, len(centres), n)]
         for _ in range(5):
             codes = codes ^ (np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64))
-    codes = np.unique(codes)
-    index = s.GrayIndex(codes)
-    got = index.components()
-    want = brute_components([int(x) for x in index.codes])
-    assert got.tolist() == want
+    codes = np.unique(codes)[:, None]
+    for wide in (codes, np.hstack([codes ^ np.uint64(5), codes, codes // np.uint64(3)])):
+        index = s.GrayIndex(wide)
+        assert (wide[index.order] == index.codes).all()
+        whole = [sum(int(x) << (64 * (wide.shape[1] - 1 - k)) for k, x in enumerate(r)) for r in index.codes]
+        rank = lambda c: c ^ rank(c >> 1) if c else 0
+        assert [rank(c) for c in whole] == sorted(rank(c) for c in whole)
+        assert index.components().tolist() == brute_components(whole)
+
+
+def test_keys():
+    masks = s.exact_keys(4)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        flip = sum(1 << int(b) for b in rng.choice(64, 4, replace=False))
+        assert any(int(m[0]) & flip == 0 for m in masks)
+    for n in (2, 10**6, 10**10):
+        masks = s.drawn_keys(n, 4)
+        bits = [sum(int(x).bit_count() for x in m) for m in masks]
+        assert min(bits) == max(bits) and n / 2 ** bits[0] <= s.BUCKET and (1 - s.SIMILAR ** bits[0]) ** len(masks) <= 1 - s.RECALL
 
 
 def test_components(spark):
@@ -87,6 +104,42 @@ def test_near_duplicates_small_blocks(spark):
             low[x] = min(low.get(x, i), i)
     want = sorted((i if i is not None else -1, "%016x" % f, low[x]) for (i, _), f, x in zip(rows, fps, lab))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in got) == want
-    kept = s.keep_one(docs.select("doc_id", "text"), block=8).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(low.values()))
     assert s.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_finds_near_copies(spark):
+    """Texts that share 0.8 of their five-word shingles: of each group one stays; unlike texts all stay."""
+    rng = np.random.default_rng(11)
+    vocabulary = ["w%d" % i for i in range(2000)]
+    rows, group, sets = [], {}, {}
+
+    def shingles(t):
+        return {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+
+    for g in range(150):
+        base = list(rng.choice(vocabulary, 150))
+        for k in range(4):
+            t = list(base)
+            for p in rng.choice(150, 3, replace=False) if k else ():
+                t[p] = "new%d" % rng.integers(10**6)
+            i = 4 * g + k
+            rows.append((i, " ".join(t)))
+            group[i], sets[i] = g, shingles(t)
+    rows += [(1000 + i, " ".join(rng.choice(vocabulary, 150))) for i in range(50)]
+    docs = spark.createDataFrame(rows + [(None, rows[0][1]), (2000, None), (2001, "")], "doc_id long, text string").withColumn("_i", F.lit("x")).withColumn("fp", F.lit(1))
+    got = s.keep_one(docs, block=64)
+    kept = {r.doc_id for r in got.collect()}
+    assert got.columns == docs.columns
+    assert {1000 + i for i in range(50)} <= kept and {None, 2000} <= kept and 2001 not in kept
+    assert {4 * g for g in range(150)} <= kept
+    close = [4 * g + k for g in range(150) for k in (1, 2, 3) if len(sets[4 * g] & sets[4 * g + k]) >= 0.8 * len(sets[4 * g] | sets[4 * g + k])]
+    assert len(close) > 400 and sum(i in kept for i in close) <= 0.03 * len(close)
+
+
+def test_hot_fingerprints_are_spread(spark, monkeypatch):
+    from lodestone.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    rows = [(i, "one text") for i in range(60)] + [(100 + i, f"other text {i}") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in s.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 80 and all(got[i] == 0 for i in range(60))
