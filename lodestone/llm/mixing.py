@@ -10,22 +10,25 @@ that the expected token totals of the domains come near `total` x target weight:
 (t_d: tokens, p_d: posteriors). The gradient is scaled by 1 / t_d per document, so that rates follow posteriors and not
 lengths; in this scale the step 1 is safe (no eigenvalue of the curvature is above 1) and reaches totals that need no
 projection at once. An iteration is one aggregation over the documents to one number per domain. A rate is a fold of its document's
-own numbers over the gradients so far, so no rates are stored between iterations. They end when the totals stop changing
-or at MAX_STEPS.
+own numbers over the gradients so far, so no rates are stored between iterations. They end when the totals stop changing;
+if that takes more than MAX_STEPS, a warning says so. Where rates are capped, no domain is aimed at more than all its tokens at
+that rate, and totals come as near as the caps allow, which `totals` reports.
 
-At most about MAX_TRAIN labelled documents, picked by a hash of the id, train the classifier (a documented bound); posteriors,
-totals and rates cover every document and whole texts.
+At most about MAX_TRAIN labelled documents, picked by a hash of the id, train the classifier (a documented bound). Of
+labelled documents of one domain whose five-word windows share their least hash (exact and most near copies) one trains, so
+that a text with many copies teaches once. Posteriors, totals and rates cover every document and whole texts.
 
 Cases: null and empty texts have no tokens and the prior as posterior; labels with a null
 id are ignored, a null quality counts as 1 and a null toxic as 0, of several labels of an id the worst counts; without
-labels every document is `clean`; repeated rows get equal rates; an empty table gives an empty result; `_` prefixed column
-names are reserved, other extra columns are kept.
+labels every document is `clean`; repeated rows get a row each with equal rates, and each counts in the totals; an empty table
+gives an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +38,15 @@ from .common import cut, words_of
 DOMAINS = ("clean", "junk", "toxic")
 TARGETS = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
 MAX_TRAIN = 50_000
-#: Hash buckets of features, usual hits added to each, and the least log-odds and standard deviations that count.
-BUCKETS, SMOOTH, LEAST_ODDS, SIGMAS = 1 << 24, 20.0, 2.0, 6.0
-#: Buckets that tell, at most: the size of the broadcast model.
-MAX_TELLING = 100_000
-MAX_STEPS, TOLERANCE = 60, 1e-6
+#: Hash buckets of features, hits added to those of a bucket and to its usual ones, and the least log-odds and standard deviations
+#: that count.
+BUCKETS, SMOOTH, LEAST_ODDS, SIGMAS = 1 << 24, 2.0, 1.2, 5.0
+#: Rows up to which the model, and the rows whose copies differ from one, are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+MAX_STEPS, TOLERANCE = 200, 1e-6
+#: Where rates have no cap: how much more than the tokens that are there the leading domain is aimed at.
 LEAD = 1.02
-HEAT = 1.5
+HEAT = 2.0
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -58,8 +63,8 @@ def _features(words: str) -> Column:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The classifier as a table of MAX_TELLING rows at most: bucket and, per domain, the log-odds of its features against
-    `clean`; and in a row with bucket null the log-odds of a document without any of them."""
+    """The classifier as a table: bucket and, per domain, the log-odds of its features against
+    `clean` (only buckets that tell; a bucket that does has several hits); and in a row with bucket null the domains' constants."""
     flat = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(1))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     n = max(1, flat.count())
     picked = flat.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < max_train).select(F.col("doc_id").alias("_id"), domain_of(F.col("q"), F.col("t")).alias("_domain"))
@@ -73,23 +78,49 @@ def fit_domains(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     total = counts.agg(*[F.coalesce(F.sum(d), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
     size = train.agg(*hits).first()
     share = {d: (total[d] + 1e-9) / (sum(total) + 3e-9) for d in DOMAINS}
-    # log-odds of a bucket, drawn towards 0 as if SMOOTH more hits had come in the usual shares
-    odds = {d: F.log((F.col(d) + SMOOTH * share[d]) / (F.col("clean") + SMOOTH * share["clean"])) - math.log(share[d] / share["clean"]) for d in DOMAINS}
-    # a bucket tells only where its hits are far from the usual number, else rare domains collect chance
+    # how much more often than usual a domain hits a bucket, against clean; SMOOTH hits at the usual rate draw it towards 0, so
+    # what the few documents of a rare domain have in common by chance (their language, say) stays weak
     usual = {d: sum((F.col(x) for x in DOMAINS), F.lit(0.0)) * share[d] for d in DOMAINS}
+    more = {d: F.log((F.col(d) + SMOOTH) / (usual[d] + SMOOTH)) for d in DOMAINS}
+    odds = {d: more[d] - more["clean"] for d in DOMAINS}
+    # a bucket tells only where its hits are far from the usual number, else rare domains collect chance
     far = {d: F.pow(F.col(d) - usual[d], 2) > SIGMAS**2 * (usual[d] + 1) for d in DOMAINS}
     telling = [F.when((F.abs(x) >= LEAST_ODDS) & far[d], x).otherwise(0.0).alias(d) for d, x in odds.items()]
     strength = F.greatest(*[F.abs(F.col(d)) for d in DOMAINS])
-    table = counts.select("bucket", *telling).filter(strength > 0).orderBy(F.desc(strength), "bucket").limit(MAX_TELLING)
-    table = cut(table)
-    # what absence of any telling feature says: the shares among training documents without one
-    quiet = train.select("_doc", "_domain", F.explode("_f").alias("w")).select("_doc", "_domain", _bucket(F.col("w")).alias("bucket"))
-    loud = quiet.join(F.broadcast(table), "bucket", "left_semi").select("_doc", "_domain").distinct().agg(*hits).first()
-    left = {d: size[d] - loud[d] + 0.5 for d in DOMAINS}
-    prior = docs.sparkSession.createDataFrame([(None, *[math.log(left[d] / left["clean"]) if sum(size) else (0.0 if d == "clean" else -99.0) for d in DOMAINS])], "bucket int, " + ", ".join(f"{d} double" for d in DOMAINS))
+    table = cut(counts.select("bucket", *telling).filter(strength > 0))
+    # words aren't independent, so sums of log-odds exaggerate; each domain's constant is set so that the posteriors of the
+    # training documents add up to its documents
+    each = train.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode_outer("_f").alias("w")).select("_row", _bucket(F.col("w")).alias("bucket"))
+    sums = each.join(_small(table), "bucket", "left").groupBy("_row").agg(*[F.round(F.coalesce(F.sum(d), F.lit(0.0)), 2).alias(d) for d in DOMAINS])
+    groups = sums.groupBy(*DOMAINS).agg(F.count(F.lit(1)).alias("n")).collect()  # MAX_TRAIN rows at most, far fewer as a rule
+    constants = calibrated([(tuple(r[d] / HEAT for d in DOMAINS), r.n) for r in groups], [size[d] or 0.0 for d in DOMAINS])
+    prior = docs.sparkSession.createDataFrame([(None, *(constants if groups else [0.0 if d == "clean" else -99.0 for d in DOMAINS]))], "bucket int, " + ", ".join(f"{d} double" for d in DOMAINS))
     return cut(table.unionByName(prior))
 
 
+def calibrated(groups: list[tuple[tuple[float, ...], int]], sizes: list[float], steps: int = 500) -> list[float]:
+    """A constant per domain (0 for the first) that makes the posteriors of (scores, documents) groups add up to the domains'
+    documents, half a document added to each."""
+    b = [math.log((n + 0.5) / (sizes[0] + 0.5)) for n in sizes]
+    for _ in range(steps):
+        got = [0.5] * len(b)
+        for scores, n in groups:
+            logit = [x + y for x, y in zip(b, scores)]
+            e = [math.exp(x - max(logit)) for x in logit]
+            for k, x in enumerate(e):
+                got[k] += n * x / sum(e)
+        move = [math.log((n + 0.5) / g) for n, g in zip(sizes, got)]
+        b = [x + y - move[0] for x, y in zip(b, move)]
+        if max(map(abs, move)) < 1e-4:
+            break
+    return b
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast, if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def with_posteriors(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(_key, _tokens, _p) per row, also of rows that repeat a key: number of words and posteriors in the order of DOMAINS. `docs`: _key, text.. HEAT keeps the posteriors soft, since
     neighbouring words aren't independent."""
@@ -97,7 +128,7 @@ def with_posteriors(docs: DataFrame, model: DataFrame) -> DataFrame:
     listed = docs.select("_key", F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_w")).select("_key", "_row", F.size("_w").alias("_tokens"), _features("_w").alias("_w"))
     words = listed.select("_key", "_row", "_tokens", F.explode_outer("_w").alias("w"))
     prior = model.filter("bucket IS NULL").first()
-    table = F.broadcast(model.filter("bucket IS NOT NULL"))  # at most MAX_TELLING rows
+    table = _small(model.filter("bucket IS NOT NULL"))
     scored = words.select("_key", "_row", "_tokens", _bucket(F.col("w")).alias("bucket")).join(table, "bucket", "left")
     # a row's words are made in one task, so the partial sums before the shuffle are its whole sums
     sums = scored.groupBy("_key", "_row").agg(F.max("_tokens").cast("double").alias("_tokens"), *[F.sum(d).alias(d) for d in DOMAINS])
@@ -123,8 +154,8 @@ def _solved(g: list[list[float]], b: list[float]) -> list[float]:
 
 
 def fit_rates(shares: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float | None = None) -> DataFrame:
-    """Append `rate` to (_key, _tokens, _p). total: expected tokens of the mix; None: LEAD times as many as let every
-    token of the domain with the largest target stay, so that its documents aren't thinned."""
+    """Append `rate` to (_key, _tokens, _p). total: expected tokens of the mix; None: as many as let every token of the
+    domain with the largest target stay, so that its documents aren't thinned (LEAD times as many where rates have no cap)."""
     k = range(len(DOMAINS))
     part = [F.col("_tokens") * F.col("_p")[i] for i in k]
     sums = shares.agg(*[F.coalesce(F.sum(x), F.lit(0.0)) for x in part], *[F.coalesce(F.sum(part[i] * F.col("_p")[j]), F.lit(0.0)) for i in k for j in k]).first()
@@ -133,8 +164,9 @@ def fit_rates(shares: DataFrame, targets: dict[str, float], total: float | None
     share = [targets.get(d, 0.0) / weight_sum for d in DOMAINS]
     if total is None:
         lead = max(k, key=lambda i: share[i])
-        total = LEAD * have[lead] / share[lead]
-    goal = [total * s for s in share]
+        total = (LEAD if max_rate is None else 1.0) * have[lead] / share[lead]
+    # a capped domain can't give more than it has: its goal is no more, or its lack would weigh on the others
+    goal = [total * s if max_rate is None else min(total * s, max_rate * h) for s, h in zip(share, have)]
     cap = F.lit(float("inf") if max_rate is None else float(max_rate))
     ridge = 1e-9 * max(gram[i][i] for i in k) or 1.0
     weighted = [[gram[i][j] + (ridge if i == j else 0.0) for j in k] for i in k]
@@ -156,11 +188,21 @@ def fit_rates(shares: DataFrame, targets: dict[str, float], total: float | None
             break
         last = got
         gradients.append(_solved(weighted, [got[i] - goal[i] for i in k]))
+    else:
+        warnings.warn(f"rates still change after {MAX_STEPS} steps: totals {list(got)}, targets {goal}", stacklevel=2)
     return shares.withColumn("rate", rate())
 
 
+def totals(rates: DataFrame) -> DataFrame:
+    """Expected tokens per domain of a mix: what mix_rates() gave, summed."""
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("domain"), (F.col("tokens") * F.col(f"p_{d}")).alias("t")) for d in DOMAINS])).alias("d")
+    return rates.select("rate", each).groupBy("d.domain").agg(F.sum("d.t").alias("tokens"), F.sum(F.col("rate") * F.col("d.t")).alias("mixed"))
+
+
 def copies_of(rate: Column, key: Column) -> Column:
-    """Whole copies for a rate: the integer part, and one more with the fraction as probability, by a hash of the key."""
+    """Whole copies for a rate (to hundredths, so that rates which end just short of their cap lose nothing): the integer part,
+    and one more with the fraction as probability, by a hash of the key."""
+    rate = F.round(rate, 2)
     u = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
 
@@ -176,12 +218,13 @@ def mix_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TA
 
 def apply_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, max_rate: float | None = 1.0) -> DataFrame:
     """`docs` with each row as often as its rate says."""
-    own = docs.columns
     rates = mix_rates(docs, labels, targets, total, max_rate)
-    n = rates.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), copies_of(F.col("rate"), F.col("doc_id")).alias("_n")).filter("_n > 0")
-    n = n.groupBy("_id", "_hh").agg(F.max("_n").alias("_n"))  # rows that repeat an id and text meet one
-    joined = docs.withColumn("_h", F.xxhash64("text")).join(n, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hh")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*own)
+    n = rates.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_hh"), copies_of(F.col("rate"), F.col("doc_id")).alias("_n")).filter("_n <> 1")
+    n = cut(n.groupBy("_id", "_hh").agg(F.max("_n").alias("_n")))  # rows that repeat an id and text meet one
+    whole = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id").alias("_i"), F.xxhash64("text").alias("_h"))
+    # most documents stay once, so texts meet only the others
+    joined = whole.join(_small(n), F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hh")), "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return joined.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import math
 import random
+import re
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import mixing as m
@@ -28,7 +31,7 @@ def brute_rates(rows, share, total, cap, steps=400):
     """Plain projected gradient over Python lists."""
     k = range(len(m.DOMAINS))
     gram = [[sum(t * p[i] * p[j] for t, p in rows) for j in k] for i in k]
-    goal, rate = [total * s for s in share], [min(1.0, cap)] * len(rows)
+    goal, rate = [min(total * s, cap * sum(t * p[i] for t, p in rows)) for i, s in enumerate(share)], [min(1.0, cap)] * len(rows)
     for _ in range(steps):
         got = [sum(r * t * p[i] for r, (t, p) in zip(rate, rows)) for i in k]
         g = m._solved(gram, [a - b for a, b in zip(got, goal)])
@@ -42,10 +45,12 @@ def test_rates_against_brute_force(spark, frames, cap):
     got = m.mix_rates(docs, labels, {"clean": 0.8, "junk": 0.15, "toxic": 0.05}, max_rate=cap).collect()
     rows = [(r.tokens, [r.p_clean, r.p_junk, r.p_toxic]) for r in got]
     have = sum(t * p[0] for t, p in rows)
-    want = brute_rates(rows, [0.8, 0.15, 0.05], m.LEAD * have / 0.8, float("inf") if cap is None else cap)
+    lead = m.LEAD if cap is None else 1.0
+    want = brute_rates(rows, [0.8, 0.15, 0.05], lead * have / 0.8, float("inf") if cap is None else cap)
 
     def misfit(rates):
-        goal = [m.LEAD * have / 0.8 * s for s in (0.8, 0.15, 0.05)]
+        goal = [lead * have / 0.8 * s for s in (0.8, 0.15, 0.05)]
+        goal = goal if cap is None else [min(g, sum(t * p[i] for t, p in rows)) for i, g in enumerate(goal)]
         e = [sum(r * t * p[i] for r, (t, p) in zip(rates, rows)) - goal[i] for i in range(3)]
         gram = [[sum(t * p[i] * p[j] for t, p in rows) for j in range(3)] for i in range(3)]
         return sum(a * b for a, b in zip(e, m._solved(gram, e)))
@@ -57,6 +62,102 @@ def test_rates_against_brute_force(spark, frames, cap):
         assert [round(x / sum(mix), 3) for x in mix] == [0.8, 0.15, 0.05]
 
 
+def h64(values, seed=42):
+    """Spark's xxhash64 of strings: each is hashed with the hash of those before as seed."""
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def words(text):
+    return re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+
+
+def features(text):
+    return [h64([f]) % m.BUCKETS for f in {*words(text), *("\0" + w[-2:] for w in words(text))}]
+
+
+def brute_posteriors(docs, labels):
+    """The classifier in plain Python: [(id, tokens, posteriors)]."""
+    worst = {}
+    for i, q, t in labels:
+        if i is not None:
+            a, b = worst.get(i, (1, 0))
+            worst[i] = min(a, 1 if q is None else q), max(b, t or 0)
+    kind = {i: "toxic" if t == 1 else "junk" if q == 0 else "clean" for i, (q, t) in worst.items()}
+    train = {}
+    for i, text in docs:
+        if i in kind:
+            w = words(text)
+            least = min(h64(w[k : k + 5], ) for k in range(len(w) - 4)) if len(w) >= 5 else h64(w)
+            train[kind[i], least] = features(text)
+    hits = {}
+    for (d, _), fs in train.items():
+        for f in fs:
+            hits.setdefault(f, dict.fromkeys(m.DOMAINS, 0))[d] += 1
+    total = {d: sum(h[d] for h in hits.values()) for d in m.DOMAINS}
+    share = {d: (total[d] + 1e-9) / (sum(total.values()) + 3e-9) for d in m.DOMAINS}
+    model = {}
+    for f, h in hits.items():
+        usual = {d: sum(h.values()) * share[d] for d in m.DOMAINS}
+        more = {d: math.log((h[d] + m.SMOOTH) / (usual[d] + m.SMOOTH)) for d in m.DOMAINS}
+        odds = [more[d] - more["clean"] if abs(more[d] - more["clean"]) >= m.LEAST_ODDS and (h[d] - usual[d]) ** 2 > m.SIGMAS**2 * (usual[d] + 1) else 0.0 for d in m.DOMAINS]
+        if any(odds):
+            model[f] = odds
+    score = lambda fs: tuple(sum(model[f][k] for f in fs if f in model) / m.HEAT for k in range(len(m.DOMAINS)))
+    prior = m.calibrated([(score(fs), 1) for fs in train.values()], [sum(d == x for d, _ in train) for x in m.DOMAINS])
+    out = []
+    for i, text in docs:
+        logit = [p + x for p, x in zip(prior, score(features(text)))]
+        e = [math.exp(x - max(logit)) for x in logit]
+        out.append((i, len(words(text)), [x / sum(e) for x in e]))
+    return out
+
+
+def test_classifier_and_rates_against_plain_python(spark, frames):
+    docs, labels = frames
+    extra = [(5000, None), (5001, ""), (5002, "river win$$$ scum"), (5003, "river " * 9)]
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + extra + extra[2:]
+    want = brute_posteriors(rows, [tuple(r) for r in labels.collect()])
+    got = m.mix_rates(spark.createDataFrame(rows, "doc_id long, text string"), labels, {"clean": 0.8, "junk": 0.15, "toxic": 0.05}).collect()
+    have = sum(t * p[0] for _, t, p in want)
+    rates = brute_rates([(t, p) for _, t, p in want], [0.8, 0.15, 0.05], m.LEAD * have / 0.8, float("inf"))
+    key = lambda r: (r[0], r[1], r[2])
+    flat = sorted([(i, t, *p, r) for (i, t, p), r in zip(want, rates)], key=key)
+    for x, y in zip(sorted([(r.doc_id, r.tokens, *(r[f"p_{d}"] for d in m.DOMAINS), r.rate) for r in got], key=key), flat, strict=True):
+        assert x == pytest.approx(y, abs=5e-3)
+    near = {r.domain: r for r in m.totals(spark.createDataFrame(got)).collect()}
+    assert abs(near["clean"].mixed - m.LEAD * have) < 1e-3 * have
+
+
+def test_chance_of_few_documents_stays_weak(spark):
+    """Ten toxic documents in a language of a tenth of the clean ones must not make its clean documents toxic."""
+    r = random.Random(9)
+    tongue = [[f"{c}{i}" for i in range(300)] for c in "ab"]
+    rows = [(i, " ".join(r.choice(tongue[i % 10 == 0]) for _ in range(150))) for i in range(1500)]
+    labels = [(i, 1, int(i % 10 == 0 and i < 100)) for i in range(1500)]
+    got = m.mix_rates(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), max_rate=1.0).collect()
+    same = [x.p_toxic for x in got if x.doc_id >= 100 and x.doc_id % 10 == 0]
+    assert sum(same) / len(same) < 0.1 and sum(p > 0.5 for p in same) <= 3
+    assert all(x.p_clean > 0.95 for x in got if x.doc_id % 10)
+
+
+def test_constants_against_their_meaning():
+    groups = [((0.0, 5.0, 0.0), 300), ((0.0, -3.0, 9.0), 40), ((0.0, 0.0, 0.0), 660)]
+    b = m.calibrated(groups, [900, 80, 20])
+    got = [0.0] * 3
+    for s, n in groups:
+        e = [math.exp(x + y) for x, y in zip(b, s)]
+        got = [g + n * x / sum(e) for g, x in zip(got, e)]
+    assert got == pytest.approx([900, 80, 20], rel=2e-2)
+
+
+def test_warns_where_rates_do_not_settle(spark, frames, monkeypatch):
+    monkeypatch.setattr(m, "MAX_STEPS", 1)
+    with pytest.warns(UserWarning, match="after 1 steps"):
+        m.mix_rates(*frames, {"clean": 0.8, "junk": 0.15, "toxic": 0.05}, max_rate=1.0)
+
+
 def test_held_out_posteriors(spark, frames):
     docs, labels = frames
     unseen = m.mix_rates(docs, labels).filter("doc_id % 3 = 0").collect()
@@ -67,8 +168,9 @@ def test_held_out_posteriors(spark, frames):
 
 def test_apply_keeps_clean_rows_and_columns(spark, frames):
     docs, labels = frames
-    out = m.apply_mix(docs.withColumn("rate", F.lit("clash")), labels)
-    assert out.columns == ["doc_id", "text", "rate"]
+    names = ["rate", "_copy", "_h", "_n", "_id", "_i", "_all"]
+    out = m.apply_mix(docs.select("*", *[F.lit("clash").alias(c) for c in names]), labels)
+    assert out.columns == ["doc_id", "text", *names] and out.filter("_h = 'clash' AND _n = 'clash'").count() == out.count()
     left = {r.doc_id for r in out.collect()}
     assert {i for i in range(600) if i % 4 < 2} <= left and len(left) < 400
 
@@ -93,7 +195,7 @@ def test_edges(spark, frames):
     docs, labels = frames
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "river"), (3, "river " * 50000), (4, "x"), (4, "x"), (4, "y")], "doc_id long, text string")
     got = m.mix_rates(odd, labels.limit(0)).collect()
-    assert len(got) == 7 or len(got) == 6  # rows that repeat an id and text share one
+    assert len(got) == 7
     assert all(r.p_clean > 0.99 for r in got) and {r.tokens for r in got if r.doc_id in (1, 2)} == {0}
     assert m.apply_mix(odd, labels.limit(0)).count() == 7
     assert m.apply_mix(odd.limit(0), labels).count() == 0
