@@ -1,10 +1,10 @@
 """Preference formatting of chosen and rejected conversations, in DataFrame functions only.
 
-Turns of a pair meet by an equi-join on (pair, place); the first place where role or text differ, or where one side ends,
-comes from a map-side combined minimum, so the longest common turn prefix needs no comparison of whole conversations.
-Turns before it are rendered once as the prompt, the rest of either side as its completion. Completions carry masks: spans
-of characters that count for training, the text of assistant turns with their end mark. What is gathered per pair is one
-conversation of either side.
+Each side's turns are gathered per pair into one array in the order of their places; what a task holds is one conversation of
+either side. A fold over both arrays counts the leading turns whose role and text are equal: the longest common turn prefix.
+It is rendered once as the prompt, the rest of either side as its completion. Completions carry masks: spans of characters that
+count for training, the text of assistant turns with their end mark. Texts are rendered as they are: one that itself spells a
+mark of the format isn't escaped, since the masks say where turns begin and end.
 
 Cases: turns with a null conversation or place are no turns; null roles and texts are rendered empty, and two nulls are
 equal; of turns that repeat a place, the smallest (role, text) counts; identical conversations give a whole prompt and empty
@@ -14,9 +14,11 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
 
@@ -67,15 +69,28 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     )
 
 
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(id, next): each different id with the next larger one (null for the largest). Ids are dealt by ranges; each range
+    takes the smallest id of the ranges after it, which are as many as there are shuffle partitions."""
+    ranged = ids.distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id())
+    ranged = cut(ranged)
+    heads = ranged.groupBy("_part").agg(F.min("id").alias("_head"))
+    after = heads.select("_part", F.min("_head").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inside = F.lead("id").over(Window.partitionBy("_part").orderBy("id"))
+    return ranged.withColumn("_in", inside).join(F.broadcast(after), "_part").select("id", F.coalesce("_in", "_after").alias("next"))
+
+
 def branched(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected sides for a table of plain conversations: a conversation is chosen; its rejected side has
-    the last assistant turn replaced by the last assistant turn of the conversation with the next id (of the last id, by
-    none) and ends there. Conversations without an assistant turn are pairs of equals."""
+    the last assistant turn replaced by the last assistant turn of the conversation that has one with the next larger id (of the
+    last id, by none) and ends there. Conversations without an assistant turn are pairs of equals."""
     turns = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
     turns = turns.filter(F.col("pair_id").isNotNull() & F.col("turn").isNotNull())
     last = turns.filter(F.col("role") == TRAINED_ROLE).groupBy("pair_id").agg(F.max("turn").alias("at"), F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("m"))
     ends = last.select(F.col("pair_id").alias("l_id"), "at")
-    other = last.select((F.col("pair_id") - 1).alias("o_id"), F.col("m.text").alias("other"))
+    follows = next_ids(last.select(F.col("pair_id").alias("id")))
+    theirs = last.select(F.col("pair_id").alias("t_id"), F.col("m.text").alias("other"))
+    other = follows.join(theirs, F.col("next") == F.col("t_id")).select(F.col("id").alias("o_id"), "other")
     kept = turns.join(ends, F.col("pair_id") == F.col("l_id"), "left").filter(F.col("at").isNull() | (F.col("turn") < F.col("at")))
     swapped = ends.join(other, F.col("l_id") == F.col("o_id")).select(F.col("l_id").alias("pair_id"), F.col("at").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("other").alias("text"))
     return turns, kept.select(*turns.columns).unionByName(swapped)
@@ -91,7 +106,7 @@ ORACLE_SQL = r"""
 WITH t AS (SELECT conv_id AS pair_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 l AS (SELECT pair_id, max(turn) AS at_turn, arg_max(text, (turn, text)) AS last_text FROM t WHERE role = 'assistant' GROUP BY 1),
 rj AS (SELECT t.* FROM t LEFT JOIN l USING (pair_id) WHERE at_turn IS NULL OR turn < at_turn
-  UNION ALL SELECT l.pair_id, l.at_turn, 'assistant', o.last_text FROM l JOIN l o ON o.pair_id = l.pair_id + 1),
+  UNION ALL SELECT l.pair_id, l.at_turn, 'assistant', o.last_text FROM (SELECT *, lead(pair_id) OVER (ORDER BY pair_id) AS next_id FROM l) l JOIN l o ON o.pair_id = l.next_id),
 c1 AS (SELECT pair_id, turn, m.role AS role, m.text AS text FROM (SELECT pair_id, turn, min({'role': role, 'text': text}) AS m FROM t GROUP BY ALL)),
 r1 AS (SELECT pair_id, turn, m.role AS role, m.text AS text FROM (SELECT pair_id, turn, min({'role': role, 'text': text}) AS m FROM rj GROUP BY ALL)),
 c AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turn) AS k FROM c1),

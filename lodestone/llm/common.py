@@ -50,7 +50,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows of a key above which it is spread, at least, and over how many tasks.
-HOT, SPREAD = 10_000, 64
+HOT, SPREAD = 256, 64
 
 
 def join_spread(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: str, n: str) -> DataFrame:

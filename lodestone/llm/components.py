@@ -1,7 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Each step is one aggregation and one join; nothing is gathered per vertex, so a hub with any number of links stays spread:
-its minimum comes from a map-side combined aggregate and AQE splits its skewed join partition.
+its minimum comes from a map-side combined aggregate, and its links are dealt over several tasks to meet it.
 """
 
 from __future__ import annotations
@@ -9,21 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_spread
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a vertex to the smallest vertex of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-    joined = both.join(low, F.col("u") == F.col("x"))
+    low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_spread(both, "u", "v", low, "x", "n")
     return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a vertex and its smaller neighbours to the smallest of them. Edges have u > v."""
-    low = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
-    joined = edges.join(low, F.col("u") == F.col("x"))
+    low = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_spread(edges, "u", "v", low, "x", "n")
     moved = joined.filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
 

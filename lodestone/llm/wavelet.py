@@ -61,6 +61,11 @@ class WordEncoder:
         self.letters: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
+    def _normal(self, word: str) -> str:
+        """The word as the tokenizer takes it: a capital may become a letter and a combining mark, which isn't one of the letters."""
+        n = self.lib.normalizer
+        return word if n is None else n.normalize_str(word)
+
     def _encode(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -86,7 +91,7 @@ class WordEncoder:
         wait, other = [], []
         for w in new:
             core = w.rstrip(MARKS)
-            if core.isalpha():
+            if core.isascii() and core.isalpha() or not core.isascii() and self._normal(core).isalpha():
                 mark = w[len(core) :]
                 if core in letters and mark in marks:
                     kept[w] = letters[core] + marks[mark]
