@@ -5,10 +5,12 @@ the residues of any span come from two entries, spans at different places are co
 and the prefix array of a concatenation follows from those of its parts. Longest common extensions are found by binary
 search over span equality.
 
-A fingerprint keeps the residues at a grid: n, the step g (the least power of two with n / g <= GRID) and the prefix
-residues at every multiple of g from the front, and the residues of the suffixes of every multiple of g. Two fingerprints
-are compared on the coarser grid: common prefix and common suffix by binary search, and equal blocks aligned to either
-end. Likeness is the largest share of the longer text that one of these covers; 1 exactly for equal texts.
+A fingerprint keeps n, and the prefix residues at anchors: places where the residue of the next WINDOW code points, mixed, ends in
+enough zero bits (its level). Levels nest, and the lowest level with at most ANCHORS places is kept, so anchors follow the text
+wherever it is shifted. Two texts are compared at the higher of their levels: blocks between anchors match where their residues
+do, and runs of matched blocks are grown to either side by common extensions over the prefix arrays (as are the two
+beginnings and the two ends), up to the next matched block. Likeness is the share of the longer text that is covered; 1 exactly for
+equal texts. From two stored fingerprints alone, blocks can be matched but not grown.
 
 Cases: null and empty texts are one text (two of them have likeness 1, one and another text 0); repeated rows each return
 a row; rows are ordered by descending doc_id, then text, nulls last; a single row follows itself; an empty table gives an
@@ -20,6 +22,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,8 +34,9 @@ from .common import shuffle_partitions
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-#: Grid points of a fingerprint from either end, at most.
-GRID = 32
+#: Code points that make an anchor, the least level (a block has two to its power code points on average), and most anchors of
+#: a fingerprint. The likeness covers the whole text whatever their number: they only start extensions.
+WINDOW, LEAST_LEVEL, ANCHORS = 16, 5, 128
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -69,22 +73,24 @@ class PrefixHash:
             self.sums.append(s % np.uint64(p))
 
     def span(self, i: int, j: int) -> tuple[int, ...]:
-        """Residues of text[i:j], the same wherever the span stands."""
-        return tuple((int(s[j]) - int(s[i])) * int(down[i]) % p for p, s, (_, down) in zip(PRIMES, self.sums, powers(self.n)))
+        return span(self, i, j)
 
     def extension(self, i: int, other: PrefixHash, j: int, back: bool = False) -> int:
-        """Length of the longest common extension of text[i:] and other[j:] (back: of text[:i] and other[:j])."""
-        low, high = 0, min(i, j) if back else min(self.n - i, other.n - j)
-        while low < high:
-            m = (low + high + 1) // 2
-            same = self.span(i - m, i) == other.span(j - m, j) if back else self.span(i, i + m) == other.span(j, j + m)
-            low, high = (m, high) if same else (low, m - 1)
-        return low
+        return extension(self, i, other, j, min(i, j) if back else min(self.n - i, other.n - j), back)
 
     def at(self, places: np.ndarray) -> list[np.ndarray]:
         """Prefix residues at some places."""
         return [s[places] for s in self.sums]
 
+    def one(self, k: int, i: int) -> int:
+        """Prefix residue modulo the k-th prime."""
+        return int(self.sums[k][i])
+
+    @cached_property
+    def levels(self) -> np.ndarray:
+        """Level of each place where a window starts."""
+        return _levels(self, 0, self.n - WINDOW + 1)
+
 
 @dataclass
 class Joined:
@@ -105,72 +111,141 @@ class Joined:
             out.append((a[inside] + up[self.cut] * b[np.maximum(places - self.cut, 0)] % np.uint64(p)) % np.uint64(p))
         return out
 
+    def one(self, k: int, i: int) -> int:
+        if i <= self.cut:
+            return self.left.one(k, i)
+        return (self.left.one(k, self.cut) + int(powers(self.n)[k][0][self.cut]) * self.right.one(k, i - self.cut)) % PRIMES[k]
+
+    @property
+    def levels(self) -> np.ndarray:
+        a = max(0, min(self.cut, self.cut - WINDOW + 1))
+        b = max(a, min(self.cut, self.n - WINDOW + 1))
+        return np.concatenate([self.left.levels[:a], _levels(self, a, b), self.right.levels[: max(0, self.take - WINDOW + 1)]])
+
+
+def span(text: PrefixHash | Joined, i: int, j: int) -> tuple[int, ...]:
+    """Residues of text[i:j], the same wherever the span stands."""
+    return tuple((text.one(k, j) - text.one(k, i)) * int(down[i]) % p for k, (p, (_, down)) in enumerate(zip(PRIMES, powers(text.n))))
+
+
+def extension(a: PrefixHash | Joined, i: int, b: PrefixHash | Joined, j: int, most: int, back: bool = False) -> int:
+    """Length of the longest common extension of a[i:] and b[j:] (back: of a[:i] and b[:j]), `most` at most."""
+    low, high = 0, most
+    while low < high:
+        m = (low + high + 1) // 2
+        same = span(a, i - m, i) == span(b, j - m, j) if back else span(a, i, i + m) == span(b, j, j + m)
+        low, high = (m, high) if same else (low, m - 1)
+    return low
+
+
+def _levels(text: PrefixHash | Joined, start: int, stop: int) -> np.ndarray:
+    """Zero bits at the end of the mixed residue of the window at each place."""
+    if stop <= start:
+        return np.zeros(0, np.uint8)
+    at = np.arange(start, stop)
+    p, (_, down) = np.uint64(PRIMES[0]), powers(text.n)[0]
+    low, high = text.at(at)[0], text.at(at + WINDOW)[0]
+    x = (high + p - low) % p * down[start:stop] % p
+    x = (x ^ (x >> np.uint64(15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(31)
+    return np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.uint8)
+
 
 @dataclass
 class Fingerprint:
+    """places, levels and (both residues in one number) prefixes of the anchors, and the prefix at n."""
+
     n: int
-    step: int
-    front: np.ndarray
-    back: np.ndarray
+    level: int
+    places: np.ndarray
+    levels: np.ndarray
+    prefixes: np.ndarray
 
     @classmethod
     def of(cls, text: PrefixHash | Joined) -> Fingerprint:
-        n, step = text.n, 1
-        while n > GRID * step:
-            step *= 2
-        k = np.arange(1, n // step + 1, dtype=np.int64) * step
-        places = np.concatenate([k, n - k, [n]])
-        front, back = [], []
-        for r, p, (_, down) in zip(text.at(places), PRIMES, powers(n)):
-            whole = r[-1]
-            front.append(np.concatenate([r[: len(k)], [whole]]))
-            # a suffix residue as if it stood at the front
-            back.append((whole + np.uint64(p) - r[len(k) : -1]) % np.uint64(p) * down[n - k] % np.uint64(p))
-        return cls(n, step, front[0] << np.uint64(31) | front[1], back[0] << np.uint64(31) | back[1])
+        all_levels = text.levels
+        places = np.flatnonzero(all_levels >= LEAST_LEVEL)
+        levels, level = all_levels[places], LEAST_LEVEL
+        while len(places) > ANCHORS:
+            level += 1
+            keep = levels >= level
+            places, levels = places[keep], levels[keep]
+        r = text.at(np.append(places, text.n))
+        return cls(text.n, level, places, levels, r[0] << np.uint64(31) | r[1])
 
     def __str__(self) -> str:
-        return f"{self.n:x}.{self.step:x}." + np.concatenate([self.front, self.back]).astype(">u8").tobytes().hex()
+        return f"{self.n:x}.{self.level:x}.{self.places.astype('>u4').tobytes().hex()}.{self.levels.tobytes().hex()}.{self.prefixes.astype('>u8').tobytes().hex()}"
 
     @classmethod
     def parse(cls, text: str) -> Fingerprint:
-        n, step, rest = text.split(".")
-        n, step = int(n, 16), int(step, 16)
-        both = np.frombuffer(bytes.fromhex(rest), ">u8").astype(np.uint64)
-        return cls(n, step, both[: n // step + 1], both[n // step + 1 :])
-
-    def likeness(self, other: Fingerprint) -> float:
-        if self.n == other.n and self.front[-1] == other.front[-1]:
+        n, level, places, levels, prefixes = text.split(".")
+        read = lambda x, kind: np.frombuffer(bytes.fromhex(x), kind)
+        return cls(int(n, 16), int(level, 16), read(places, ">u4").astype(np.int64), read(levels, "u1"), read(prefixes, ">u8").astype(np.uint64))
+
+    def blocks(self, level: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Ends of the blocks between the anchors of a level, and length and residues of each."""
+        keep = np.append(self.levels >= level, True)
+        ends = np.append(self.places, self.n)[keep]
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        names = [(ends - starts).tolist()]
+        for shift, p, (_, down) in zip((31, 0), PRIMES, powers(self.n)):
+            r, p = self.prefixes[keep] >> np.uint64(shift) & np.uint64((1 << 31) - 1), np.uint64(p)
+            before = np.concatenate([[np.uint64(0)], r[:-1]])
+            names.append(((r + p - before) % p * down[starts] % p).tolist())
+        return ends, list(zip(*names))
+
+    def likeness(self, other: Fingerprint, text: PrefixHash | Joined | None = None, other_text: PrefixHash | Joined | None = None) -> float:
+        """Share of the longer text covered by matched blocks, grown by extensions where the prefix arrays are given."""
+        if self.n == other.n and self.prefixes[-1] == other.prefixes[-1]:
             return 1.0
-        g = max(self.step, other.step)
-        k = min(self.n, other.n) // g
-        if not k:
+        if not self.n or not other.n:
             return 0.0
-        (fa, ba), (fb, bb) = ((x.front[g // x.step - 1 : -1 : g // x.step][:k], x.back[g // x.step - 1 :: g // x.step][:k]) for x in (self, other))
-        run = _common(fa, fb) + _common(ba, bb)
-        aligned = max(_blocks(fa, fb, g, self.n), _blocks(ba, bb, g, self.n, ends=True))
-        return min(max(run, aligned) * g, max(self.n, other.n) - 1) / max(self.n, other.n)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Equal leading grid points, by binary search: prefixes that differ once differ ever after."""
-    low, high = 0, len(a)
-    while low < high:
-        m = (low + high + 1) // 2
-        low, high = (m, high) if a[m - 1] == b[m - 1] else (low, m - 1)
-    return low
-
-
-def _blocks(a: np.ndarray, b: np.ndarray, g: int, n: int, ends: bool = False) -> int:
-    """Equal blocks of g code points between neighbouring grid points."""
-    same = np.ones(len(a), bool)
-    for shift, p, (up, _) in zip((31, 0), PRIMES, powers(n)):
-        p = np.uint64(p)
-        x, y = (v >> np.uint64(shift) & np.uint64((1 << 31) - 1) for v in (a, b))
-        px, py = (np.concatenate([[np.uint64(0)], v[:-1]]) for v in (x, y))
-        if ends:  # a longer suffix is its first block and then the shorter one, g places on
-            px, py = px * up[g] % p, py * up[g] % p
-        same &= (x + p - px) % p == (y + p - py) % p
-    return int(same.sum())
+        level = max(self.level, other.level)
+        (ends, mine), (theirs_at, theirs) = self.blocks(level), other.blocks(level)
+        free: dict[tuple, list[int]] = {}
+        for k in range(len(theirs) - 1, -1, -1):
+            free.setdefault(theirs[k], []).append(k)
+        # matched spans (start and end in either text), in the order of the first
+        spans, next_k = [], None
+        for name, end in zip(mine, ends.tolist()):
+            at = free.get(name)
+            if not name[0] or not at:
+                next_k = None
+                continue
+            k = next_k if next_k in at else at[-1]
+            at.remove(k)
+            e, n = int(theirs_at[k]), name[0]
+            if next_k == k:
+                spans[-1][1], spans[-1][3] = end, e
+            else:
+                spans.append([end - n, end, e - n, e])
+            next_k = k + 1
+        if text is not None and other_text is not None:
+            spans = _grown(spans, text, other_text)
+        whole = max(self.n, other.n)
+        return min(sum(b - a for a, b, _, _ in spans), whole - 1) / whole
+
+
+def _grown(spans: list[list[int]], x: PrefixHash | Joined, y: PrefixHash | Joined) -> list[list[int]]:
+    """Spans grown to the right, then to the left, as far as the texts agree and no other span is. The two beginnings and the
+    two ends are spans without length to begin with."""
+    spans = sorted([*spans, [0, 0, 0, 0], [x.n, x.n, y.n, y.n]])
+    other = sorted(range(len(spans)), key=lambda k: (spans[k][2], spans[k][3]))
+    place = {k: i for i, k in enumerate(other)}
+    for back in (False, True):
+        for k in range(len(spans)) if not back else range(len(spans) - 1, -1, -1):
+            s = spans[k]
+            if back:
+                gap = s[0] - (spans[k - 1][1] if k else 0), s[2] - (spans[other[place[k] - 1]][3] if place[k] else 0)
+            else:
+                gap = (spans[k + 1][0] if k + 1 < len(spans) else x.n) - s[1], (spans[other[place[k] + 1]][2] if place[k] + 1 < len(other) else y.n) - s[3]
+            if min(gap) > 0:
+                n = extension(x, s[0 if back else 1], y, s[2 if back else 3], min(gap), back)
+                if back:
+                    s[0], s[2] = s[0] - n, s[2] - n
+                else:
+                    s[1], s[3] = s[1] + n, s[3] + n
+    return spans
 
 
 # --- Spark ------------------------------------------------------------------------------------------------------
@@ -231,9 +306,10 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                         _, di, dt, dh, df = held
                         half = dh.n // 2
                         take = min(half, h.n)
-                        ef = Fingerprint.of(Joined(dh, dh.n - half, h, take))
+                        eh = Joined(dh, dh.n - half, h, take)
+                        ef = Fingerprint.of(eh)
                         edited = (dt[: dh.n - half] + text[:take]).encode("utf-8", "surrogatepass")
-                        out.append((di, dh.n, hashlib.sha256(edited).hexdigest(), str(df), str(ef), df.likeness(ef), df.likeness(f)))
+                        out.append((di, dh.n, hashlib.sha256(edited).hexdigest(), str(df), str(ef), df.likeness(ef, dh, eh), df.likeness(f, dh, h)))
                     held = None if flag else (b, i, text, h, f)
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], kinds[c]) for c in range(7)], names)
 
