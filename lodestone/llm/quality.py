@@ -1,14 +1,14 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Per (lang, source) a mergeable KLL quantile sketch of each feature gives the quartile and the median of the group's
-base-passing documents. A fence stands at median + SPREADS x (median - first quartile) + slack (mirrored for the lower
-fence), so the cut-off follows the group and no share of it is dropped by design; where the median is 0 the fence is the slack, a
-constant. Groups with fewer than `min_rows`
+base-passing documents. The upper fence stands at third quartile + SPREADS x (third quartile - median) + slack and the lower
+one is its mirror, so the cut-off follows the group and no share of it is dropped by design: a group in which a quarter
+of the documents has many symbols keeps them, and one that has none meets the slack. Groups with fewer than `min_rows`
 documents use the sketch merged over their language, and languages with fewer use the sketch merged over all.
 
 Cases: null text has no words and fails the base rule; null lang or source form groups of their own; repeated rows are
-judged alike; an empty table gives an empty result; extra columns are kept, but a column named like one that is added
-here is replaced.
+judged alike; an empty table gives an empty result; filter_quality() keeps the rows as they are, whatever the names of extra
+columns; with_counts() and judge() replace columns named like those they add.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, cut, words_of
+from .common import WHITE, cut, stored, words_of
 
 SYMBOLS = "#*$%&|<>"
-#: Spread multiples, and per feature the least distance of a fence from the median.
+#: Spread multiples, and per feature the least distance of a fence from the quartile.
 SPREADS = 6.0
-SLACK = {"mean_word": 1.0, "symbol_ratio": 0.1, "dup_line_ratio": 0.5, "repeat_ratio": 0.5}
+SLACK = {"mean_word": 1.0, "symbol_ratio": 0.1, "dup_line_ratio": 0.4, "repeat_ratio": 0.3}
 #: Features that also have a lower fence.
 TWO_SIDED = ("mean_word",)
 MIN_ROWS = 200
@@ -89,8 +89,8 @@ def fit_thresholds(counts: DataFrame, min_rows: int = MIN_ROWS, k: int = SKETCH_
     fitted = wide.select(*out)
     cols = [F.col("lang"), F.col("source")]
     for x in names:
-        hi = F.col(f"{x}.q2") + SPREADS * (F.col(f"{x}.q2") - F.col(f"{x}.q1")) + SLACK[x]
-        lo = F.col(f"{x}.q2") - SPREADS * (F.col(f"{x}.q3") - F.col(f"{x}.q2")) - SLACK[x] if x in TWO_SIDED else F.lit(float("-inf"))
+        hi = F.col(f"{x}.q3") + SPREADS * (F.col(f"{x}.q3") - F.col(f"{x}.q2")) + SLACK[x]
+        lo = F.col(f"{x}.q1") - SPREADS * (F.col(f"{x}.q2") - F.col(f"{x}.q1")) - SLACK[x] if x in TWO_SIDED else F.lit(float("-inf"))
         cols += [lo.alias(f"lo_{x}"), hi.alias(f"hi_{x}")]
     return cut(fitted.select(*cols))
 
@@ -114,10 +114,11 @@ def judge(counts: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns of `docs`. Texts aren't shuffled: the thresholds come from a
-    narrow first pass and are joined to the rows of a second."""
-    thresholds = fit_thresholds(cut(with_counts(docs.select("text", "lang", "source")).drop("text")))
-    return judge(with_counts(docs), thresholds).filter("kept").select(*docs.columns)
+    """The documents that the rules keep, with the columns of `docs`. Counts are made once and stored beside the rows, since the
+    thresholds come from all of them; texts aren't shuffled."""
+    counted = stored(with_counts(docs.select(F.struct(*docs.columns).alias("_all"), "text", "lang", "source")).drop("text"), "counted")
+    thresholds = fit_thresholds(counted.drop("_all"))
+    return judge(counted, thresholds).filter("kept").select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -153,8 +154,8 @@ t AS (SELECT ga.lang AS tl, ga.source AS ts,
     CASE WHEN ga.n >= 200 THEN ga.q3 WHEN la.n >= 200 THEN la.q3 ELSE wa.q3 END AS c, CASE WHEN ga.n >= 200 THEN ga.q4 WHEN la.n >= 200 THEN la.q4 ELSE wa.q4 END AS e
   FROM ga JOIN la ON ga.lang IS NOT DISTINCT FROM la.lang, wa)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(f1 <= a[2] + 6.0 * (a[2] - a[1]) + 1.0 AND f1 >= a[2] - 6.0 * (a[3] - a[2]) - 1.0
-    AND f2 <= b[2] + 6.0 * (b[2] - b[1]) + 0.1 AND f3 <= c[2] + 6.0 * (c[2] - c[1]) + 0.5 AND f4 <= e[2] + 6.0 * (e[2] - e[1]) + 0.5, false) AS kept,
+  NOT base_failed AND coalesce(f1 <= a[3] + 6.0 * (a[3] - a[2]) + 1.0 AND f1 >= a[1] - 6.0 * (a[2] - a[1]) - 1.0
+    AND f2 <= b[3] + 6.0 * (b[3] - b[2]) + 0.1 AND f3 <= c[3] + 6.0 * (c[3] - c[2]) + 0.4 AND f4 <= e[3] + 6.0 * (e[3] - e[2]) + 0.3, false) AS kept,
   lang, source
 FROM f LEFT JOIN t ON f.lang IS NOT DISTINCT FROM tl AND f.source IS NOT DISTINCT FROM ts
 """

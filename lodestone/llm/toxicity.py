@@ -170,18 +170,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     weights = {t: _log_odds(a, max(0, b - excused[t]), n_tox, n_clean) for t, (a, b) in counts.items()}
     lexicon.weights = {t: w for t, w in weights.items() if w >= LEAST_WEIGHT}
     lexicon.weights |= {r.phrase: 0.0 for r in exceptions if r.term in lexicon.weights}
-    lexicon.scale = _best_cut(train.select(_raw(lexicon)(F.col("text")).alias("x"), "toxic").toPandas())
+    sums = train.select(_raw(lexicon)(F.col("text")).alias("x"), "toxic").groupBy("x").agg(F.sum("toxic").alias("sum"), F.count(F.lit(1)).alias("count"))
+    lexicon.scale = _best_cut(sums.filter("x > 0").toPandas(), n_tox)  # a row per different sum, MAX_TRAIN at most
     return lexicon
 
 
-def _best_cut(rows: pd.DataFrame) -> float:
-    """The cut-off between two neighbouring raw sums (over at most about MAX_TRAIN rows) with the best F1."""
-    by = rows.groupby("x")["toxic"].agg(["sum", "count"]).sort_index(ascending=False)
-    by = by[by.index > 0]
-    if not len(by):
+def _best_cut(sums: pd.DataFrame, n_tox: int) -> float:
+    """The cut-off between two neighbouring raw sums (columns x, sum of toxic and count of training rows) with the best F1."""
+    if not len(sums):
         return 1.0
+    by = sums.set_index("x").sort_index(ascending=False)
     hit, said = by["sum"].cumsum(), by["count"].cumsum()
-    f1 = 2 * hit / (said + rows["toxic"].sum())
+    f1 = 2 * hit / (said + n_tox)
     k = int(f1.to_numpy().argmax())
     low = by.index[k + 1] if k + 1 < len(by) else 0.0
     return float((by.index[k] + low) / 2)
@@ -213,7 +213,7 @@ def held_out(doc_id: Column) -> Column:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with the columns of `docs`."""
     lexicon = fit(docs, labels.filter(~held_out(F.col("doc_id"))))
-    return score(docs.withColumn("_all", F.struct(*docs.columns)), lexicon).filter("predicted = 0").select("_all.*")
+    return score(docs.select(F.struct(*docs.columns).alias("_all"), "text"), lexicon).filter("predicted = 0").select("_all.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,14 @@
              smallest id, and one per page with a smaller payload. Payload bytes are stored once per strong digest.
   revisits/  WARC files: a revisit record without payload for every other page, referring to that response.
   headers/   Parquet: the exact header block of the plain response record of every page, with its payload digest.
+A revisit's header states the length of the payload it stands for, so that it is read without a join. Payload files are written
+by size class, so that none holds more than about FILE_BYTES of payloads, or one record.
 `read_archive` parses the WARC files by Content-Length, verifies every stored payload against its digest and returns the
 rows; `reconstruct` joins headers to payloads and gives the original records byte for byte.
 
 Payloads never move with the decision: the owner of a digest comes from an aggregate over ids and digests alone, revisits
-carry no payload, and payload copies collapse map-side, so a payload that a third of all pages share is no hot key.
+carry no payload, and payload copies collapse map-side. Rows of a payload that many pages share are dealt over several tasks to
+meet its owner, so it is no hot key.
 
 Cases: a null payload is empty; null urls give no target header; page ids are unique keys: of rows that repeat an id and
 a payload the first is the response, the rest revisit it like any other page; a null page_id is written as `null` and
@@ -27,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import join_spread, shared_path
 
 MIN_REVISIT = 100
-#: Records of a WARC file at most, so that a reader task holds a bounded file.
-FILE_RECORDS = 2000
+#: Records of a WARC file at most, and about how many bytes of payloads, so that a reader task holds a bounded file.
+FILE_RECORDS, FILE_BYTES = 2000, 128 << 20
 DATE = "2020-01-01T00:00:00Z"
 END = "\r\n"
+#: Field of revisits for the length of the payload they stand for.
+LENGTH = "WARC-Payload-Length"
 
 
 def _header(kind: str, *fields) -> F.Column:
@@ -58,9 +63,14 @@ def _response(page: F.Column, url: F.Column, digest: F.Column, n: F.Column) -> F
     )
 
 
-def _save(records: DataFrame, path: str) -> None:
+def _save(records: DataFrame, path: str, most: int = FILE_RECORDS) -> None:
     """Write a column of whole records; the line separator of the text format is the end of a WARC record."""
-    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _size_class(n: F.Column) -> F.Column:
+    """0 for payloads of which FILE_RECORDS make a file, and one more for each factor of 8."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)) / (FILE_BYTES / FILE_RECORDS)) / 3)).cast("int")
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -74,15 +84,19 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     narrow = marked.select("page_id", "url", "digest", "n")
     narrow.select("page_id", "digest", "n", _response(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n")).alias("header")).write.parquet(f"{path}/headers")
 
-    # payload store: copies of a payload collapse on the map side
-    large = marked.filter(~small)
-    stored = large.groupBy("digest").agg(F.min(F.struct(last.alias("o"), "page_id", "url", "n", "body")).alias("r")).select("digest", "r.page_id", "r.url", "r.n", "r.body")
-    whole = stored.unionByName(marked.filter(small).select(*stored.columns))
-    _save(whole.select(F.concat(_response(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n")), "body").alias("value")), f"{path}/payloads")
+    # payload store: copies of a payload collapse on the map side; as a rule there is one size class
+    classes = sorted(r[0] for r in marked.select(_size_class(F.col("n")).alias("c")).distinct().collect()) or [0]
+    for c in classes:
+        part = marked.filter(_size_class(F.col("n")) == c)
+        large = part.filter(~small)
+        stored = large.groupBy("digest").agg(F.min(F.struct(last.alias("o"), "page_id", "url", "n", "body")).alias("r")).select("digest", "r.page_id", "r.url", "r.n", "r.body")
+        whole = stored.unionByName(part.filter(small).select(*stored.columns)) if c == 0 else stored
+        _save(whole.select(F.concat(_response(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n")), "body").alias("value")), f"{path}/payloads/{c}", max(1, FILE_RECORDS >> 3 * c))
 
     owner = narrow.filter(~small).groupBy(F.col("digest").alias("d")).agg(F.min(F.struct(last.alias("o"), "page_id", "url")).alias("first"), F.count(F.lit(1)).alias("copies"))
     several = owner.filter("copies > 1")
-    joined = narrow.filter(~small).groupBy("digest", "page_id", "url", "n").agg(F.count(F.lit(1)).alias("same")).join(several, F.col("digest") == F.col("d"))
+    each = narrow.filter(~small).groupBy("digest", "page_id", "url", "n").agg(F.count(F.lit(1)).alias("same"))
+    joined = join_spread(each, "digest", "page_id", several, "d", "copies")
     own = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
     times = F.col("same") - own.cast("int")
     again = joined.filter(times > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), times.cast("int"))))
@@ -94,6 +108,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ("WARC-Refers-To", _record_id(F.col("first.page_id"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
+        (LENGTH, F.col("n")),
         ("Content-Length", F.lit(0)),
     )
     _save(again.select(revisit.alias("value")), f"{path}/revisits")
@@ -135,23 +150,19 @@ def records(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
                     kind, digest = f["WARC-Type"], f["WARC-Payload-Digest"].removeprefix("sha256:")
                     if kind == "response" and hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"digest of {f['WARC-Record-ID']}")
-                    out.append((_page(f["WARC-Record-ID"]), kind, _page(f.get("WARC-Refers-To")), digest, head.decode(), body if payload else None, len(body)))
+                    out.append((_page(f["WARC-Record-ID"]), kind, _page(f.get("WARC-Refers-To")), digest, head.decode(), body if payload else None, int(f.get(LENGTH, n)) if (n := len(body)) == 0 else n))
                 for at in range(0, max(1, len(out)), 500):
                     part = out[at : at + 500]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], t) for c, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64()))], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, _RECORDS + ", n long")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record."""
-    responses = records(spark, f"{path}/payloads").select("page_id", "n", "digest", "record_type", "refers_to")
-    revisits = records(spark, f"{path}/revisits").select("page_id", "digest", "record_type", "refers_to")
-    # a revisit has the length of the one stored payload of its digest
-    sizes = responses.filter(F.col("n") >= MIN_REVISIT).select(F.col("digest").alias("d"), "n")
-    sized = revisits.join(sizes, F.col("digest") == F.col("d")).select("page_id", "n", "digest", "record_type", "refers_to")
-    return responses.unionByName(sized).select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    both = records(spark, f"{path}/payloads").unionByName(records(spark, f"{path}/revisits"))
+    return both.select("page_id", F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

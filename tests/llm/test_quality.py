@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import quality as q
 
@@ -37,8 +38,11 @@ def test_verdicts(spark):
     counts = q.with_counts(docs)
     got = {r.doc_id: r.kept for r in q.judge(counts, q.fit_thresholds(counts)).collect()}
     assert got == {0: True, 1: True, 2: True, 3: True, 4: True, 5: True, 100: False, 101: False, 102: False, 103: True}
-    kept = q.filter_quality(docs)
-    assert kept.columns == docs.columns and kept.count() == 7
+    names = ["n_words", "kept", "base_failed", "_words", "_lines", "_win", "_at", "_pos", "_all"]
+    clash = docs.select("*", *[F.lit("mine").alias(n) for n in names])
+    kept = q.filter_quality(clash)
+    assert kept.columns == clash.columns and kept.filter("n_words = 'mine' AND _pos = 'mine'").count() == 7
+    assert q.filter_quality(docs).columns == docs.columns
     assert q.filter_quality(docs.limit(0)).count() == 0
 
 
@@ -51,3 +55,15 @@ def test_sql(spark):
     cols = [x[0] for x in rel.description]
     want = sorted(map(repr, rel.fetchall()))
     assert sorted(repr(tuple(r)) for r in q.query(spark, d).select(*cols).collect()) == want
+
+
+def test_fences_follow_the_group(spark):
+    """Where a quarter of a group is rich in symbols its symbols stay; elsewhere they go; repeated words act below the base rule."""
+    def text(i, mark="", again=0):
+        return " ".join(f"w{i:03}x{k:02}{mark}" for k in range(100)) + " " + "same old words " * again
+
+    rows = [(i, text(i, "##" if i % 2 else ""), "en", "code") for i in range(300)]
+    rows += [(1000 + i, text(i, "##" if i < 3 else ""), "en", "prose") for i in range(300)]
+    rows += [(2000, text(0, again=22), "en", "prose"), (2001, text(1, again=10), "en", "prose")]
+    kept = {r.doc_id for r in q.filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept == {i for i in range(300)} | {1000 + i for i in range(3, 300)} | {2001}

@@ -96,3 +96,10 @@ def test_every_candidate_is_weighed(spark):
     assert lex.weights[" scoundrei "] > 0 and lex.weights[" biighter "] > 0
     assert all(lex.weights[f" {w}  biighter "] == 0 for w in plain[:5_200])
     assert not any(w in lex.weights for w in (f" {p} " for p in plain))
+
+
+def test_rejecting_keeps_the_callers_columns(spark, frames):
+    docs, labels = frames
+    clash = docs.selectExpr("*", "'mine' AS _all", "'mine' AS score", "'mine' AS _raw")
+    out = x.reject_toxic(clash, labels)
+    assert out.columns == clash.columns and 0 < out.count() == out.filter("_all = 'mine' AND score = 'mine' AND _raw = 'mine'").count()
