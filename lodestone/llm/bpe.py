@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Encodings kept per worker and generation, the longest chunk (characters) worth keeping, and spans and token pairs kept.
-KEPT, KEPT_CHARS, KEPT_SPANS = 120_000, 24, 200_000
+KEPT, KEPT_CHARS, KEPT_SPANS = 90_000, 24, 150_000
 #: Spans up to LEAF bytes are leaves of the tree, merged directly by rank; spans up to KEPT_PART bytes are kept.
 LEAF, KEPT_PART = 4, 8
 #: The pattern whose matches never cross from visible characters into white space, so that texts may be cut there.
@@ -164,6 +166,7 @@ def _batches(df: DataFrame, columns: list[str], schema: str, make) -> DataFrame:
     """mapInArrow that hands (id, text) columns of each batch to `make` and returns its columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             # few rows at a time, so that long texts and their tokens stay bounded
             for at in range(0, max(1, batch.num_rows), 512):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,16 @@ def join_spread(rows: DataFrame, key: str, by: str, once: DataFrame, once_key: s
     return dealt.join(copies, (F.col(key) == F.col(once_key)) & (F.col("_d") == F.col("_c"))).drop("_hot", "_c", "_d")
 
 
+def give_back() -> None:
+    """Return to the system what this Python worker has freed: workers are reused from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def words_of(text) -> F.Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text column, in order (null: none)."""
     spaced = F.translate(F.coalesce(text, F.lit("")), WHITE, " " * len(WHITE))

@@ -174,7 +174,7 @@ class GrayIndex:
             if not level:
                 _hook(label, i, j)
                 continue
-            step = max(1, STEP)
+            step = max(1, STEP // self.codes.shape[1])
             for k in range(0, len(i), step):
                 a, b = i[k : k + step], j[k : k + step]
                 kids = np.arange(self.fanout)
