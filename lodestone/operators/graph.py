@@ -1,4 +1,7 @@
-"""Graph operators over edge tables (a, b)."""
+"""Graph operators over edge tables (a, b).
+
+Cases: edges with a null end are none; repeated edges count once; an empty table gives an empty result; extra columns are
+ignored."""
 
 from __future__ import annotations
 
@@ -8,22 +11,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session; a folder of our own only where none is set."""
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder of the session; a folder of our own only where none is set and all executors are
+    threads of this process."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (a, b) with a path from a to b, by squaring: each round joins paths that end where others begin and keeps
     the new ones, so rounds grow with the logarithm of the longest shortest path."""
-    paths = _cut(edges.select("a", "b").distinct())
+    paths = cut(edges.select("a", "b").distinct())
     n = paths.count()
     while True:
         left, right = paths.toDF("a", "m"), paths.toDF("m2", "b")
-        grown = _cut(paths.unionByName(left.join(right, F.col("m") == F.col("m2")).select("a", "b")).distinct())
+        grown = cut(paths.unionByName(left.join(right, F.col("m") == F.col("m2")).select("a", "b")).distinct())
         if (k := grown.count()) == n:
             return grown
         paths, n = grown, k
@@ -31,21 +38,62 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Vertices (v) reached from the seeds (v), seeds included: a frontier that only meets edges it hasn't used."""
-    seen = _cut(seeds.select("v").distinct())
+    seen = cut(seeds.select("v").distinct())
     front = seen
     while not front.isEmpty():
         step = front.join(edges, F.col("v") == F.col("a")).select(F.col("b").alias("v")).distinct()
-        front = _cut(step.join(seen, "v", "left_anti"))
-        seen = _cut(seen.unionByName(front))
+        front = cut(step.join(seen, "v", "left_anti"))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges whose start has an edge in and whose end has one out, over and over: what lies on no cycle's way goes."""
+    n = edges.count()
+    while n:
+        into, out = edges.select(F.col("b").alias("x")).distinct(), edges.select(F.col("a").alias("x")).distinct()
+        edges = cut(edges.join(into, F.col("a") == F.col("x"), "left_semi").join(out, F.col("b") == F.col("x"), "left_semi"))
+        if (k := edges.count()) == n:
+            break
+        n = k
+    return edges
+
+
+def _lowest(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(v, c): the smallest colour that reaches each vertex along edges, from start colours (v, c)."""
+    colour, before = start, None
+    while True:
+        state = colour.agg(F.sum(F.xxhash64("v", "c").cast("decimal(20,0)"))).first()[0]
+        if state == before:
+            return colour
+        before = state
+        sent = edges.join(colour, F.col("a") == F.col("v")).select(F.col("b").alias("v"), "c")
+        colour = cut(colour.unionByName(sent).groupBy("v").agg(F.min("c").alias("c")))
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(v, component) of vertices on a cycle; a component is named by its smallest vertex."""
-    reach = closure(edges)
-    back = reach.toDF("b2", "a2")
-    mutual = reach.join(back, (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")))
-    return mutual.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("component"))
+    """(v, component) of vertices on a cycle; a component is named by its smallest vertex. By colouring: the smallest vertex
+    that reaches a vertex colours it; what within a colour also leads back to the vertex of that colour is its component,
+    and goes. No pairs of vertices are made; a round is linear in the edges left."""
+    left = cut(edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct())
+    loops = left.filter("a = b").select(F.col("a").alias("v"))
+    left, found = _trimmed(left.filter("a <> b")), None
+    while not left.isEmpty():
+        own = left.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v"))
+        colour = _lowest(left, own)
+        x, y = colour.toDF("x", "cx"), colour.toDF("y", "cy")
+        same = cut(left.join(x, F.col("a") == F.col("x")).join(y, F.col("b") == F.col("y")).filter("cx = cy").select("a", "b", F.col("cx").alias("c")))
+        back = _lowest(same.select(F.col("b").alias("a"), F.col("a").alias("b")), own)
+        one = cut(colour.join(back.toDF("w", "d"), (F.col("v") == F.col("w")) & (F.col("c") == F.col("d"))).select("v", F.col("c").alias("component")))
+        found = one if found is None else found.unionByName(one)
+        gone = one.select(F.col("v").alias("g"))
+        left = _trimmed(cut(left.join(gone, F.col("a") == F.col("g"), "left_anti").join(gone, F.col("b") == F.col("g"), "left_anti")))
+    alone = loops.withColumn("component", F.col("v"))
+    if found is None:
+        return alone
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("component").alias("_c"))
+    cyclic = found.join(several, F.col("component") == F.col("_c"), "left_semi")
+    return cyclic.unionByName(alone.join(cyclic.select(F.col("v").alias("_v")), F.col("v") == F.col("_v"), "left_anti"))
 
 
 def instability(edges: DataFrame) -> DataFrame:
@@ -88,18 +136,18 @@ def divergent_changes(touched: DataFrame, least: int = 3, max_files: int = 25) -
     commits (five at least) touch, nor registries and files other than code."""
     t = touched.select("o", "f").distinct()
     small = t.groupBy("o").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= max_files).select("o")
-    kept = _cut(t.join(small, "o", "left_semi"))
+    kept = cut(t.join(small, "o", "left_semi"))
     n = kept.agg(F.countDistinct("o")).first()[0]
     common = kept.groupBy("f").agg(F.count(F.lit(1)).alias("c")).filter((F.col("c") >= 5) & (F.col("c") * 5 > n)).select("f")
     partner = kept.filter(F.col("f").rlike(CODE) & ~F.col("f").rlike(REGISTRY)).join(common, "f", "left_anti").select("o", F.col("f").alias("p"))
     judged = kept.filter(F.col("f").rlike(CODE) & ~F.col("f").rlike(REGISTRY) & ~F.col("f").rlike(UNJUDGED))
     # a commit has at most max_files files, so the pairs of a commit are bounded
-    links = _cut(judged.join(partner, "o").filter("f <> p").select("f", "o", "p"))
+    links = cut(judged.join(partner, "o").filter("f <> p").select("f", "o", "p"))
     label = links.select("f", "o", F.col("o").alias("g")).distinct()
     before = None
     while True:
         by_partner = links.join(label, ["f", "o"]).groupBy("f", "p").agg(F.min("g").alias("g"))
-        label = _cut(links.join(by_partner, ["f", "p"]).groupBy("f", "o").agg(F.min("g").alias("g")))
+        label = cut(links.join(by_partner, ["f", "p"]).groupBy("f", "o").agg(F.min("g").alias("g")))
         state = label.agg(F.sum(F.xxhash64("f", "o", "g").cast("decimal(20,0)"))).first()[0]
         if state == before:
             break

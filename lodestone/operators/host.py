@@ -2,6 +2,10 @@
 
 Findings: check_id, severity, confidence, project, file, line, subject, summary, detail, member, positive_control, claim.
 Every function takes and returns DataFrames and builds one lazy plan.
+
+Cases, unless a function says otherwise: an empty table gives an empty result (exit_code() its one row); rows that repeat count as
+often as they stand there; null severities rank lowest; a null check, file or subject equals nothing; extra columns are
+kept where rows pass through and ignored where they are summed up.
 """
 
 from __future__ import annotations
@@ -9,38 +13,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import SEVERITIES, claims_absence, confidence_rank, severity_rank
+from lodestone.operators.graph import cut
+from lodestone.functions.text import ABSENCE_WORDS, SEVERITIES, claims_absence, confidence_rank, severity_rank
 
 FINDING = "check_id string, severity string, confidence string, project string, file string, line int, subject string, summary string, detail string, member string, positive_control string, claim string"
 #: Outcome kinds by precedence, lowest first.
 OUTCOMES = ["Skipped", "Clean", "Findings", "CouldNotRun"]
 
 
-def validate(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, errors): a finding that claims an absence needs a positive control."""
-    absent = F.coalesce((F.col("claim") == "absence") | claims_absence(F.col("summary")), F.lit(False))
+#: The check id of judgements on the allow list itself; files of a conformance fixture.
+ALLOWLIST = "allowlist"
+FIXTURE = r"^(conformance/[^/]+/[^/]+)/."
+#: Entries of one check and file up to which they travel with each finding of it.
+ENTRIES = 1_000
+
+
+def validate(findings: DataFrame, words: list[str] = ABSENCE_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(valid, errors): a finding that claims an absence needs a positive control. A null summary claims nothing."""
+    absent = F.coalesce((F.col("claim") == "absence") | claims_absence(F.col("summary"), words), F.lit(False))
     bad = absent & (F.coalesce(F.trim("positive_control"), F.lit("")) == "")
     return findings.filter(~bad), findings.filter(bad).withColumn("error", F.lit("an absence claim without a positive control"))
 
 
-def waive(findings: DataFrame, entries: DataFrame, key: Column) -> DataFrame:
-    """Findings with the reason of the first entry (by entry_no) that matches: same check and file, the symbol if the entry
-    has one, the line within [lo, hi] if it has lines. `key`: columns that identify a finding, as one struct."""
-    e = entries.select("entry_no", F.col("check").alias("e_check"), F.col("file").alias("e_file"), F.col("symbol").alias("e_symbol"), "lo", "hi", "reason")
-    match = (F.col("check_id") == F.col("e_check")) & (F.col("file") == F.col("e_file"))
-    match &= F.col("e_symbol").isNull() | (F.col("e_symbol") == F.col("subject"))
-    match &= F.col("lo").isNull() | F.col("line").between(F.col("lo"), F.col("hi"))
-    # the first match of every finding by a combined minimum: no window over a crowded check
-    hits = findings.withColumn("_key", key).join(e, match).groupBy("_key").agg(F.min(F.struct("entry_no", "reason")).alias("w"))
-    return findings.withColumn("_key", key).join(hits.withColumnRenamed("_key", "_hit"), F.col("_key").eqNullSafe(F.col("_hit")), "left").select(*findings.columns, F.col("w.entry_no").alias("entry_no"), F.col("w.reason").alias("reason"))
+def outside_fixtures(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings but those in a conformance fixture: a directory of two levels below `conformance` that holds expect.toml.
+    Findings without a file stay."""
+    fixture = lambda c: F.regexp_extract(c, FIXTURE, 1)
+    known = files.filter(F.col("path").rlike(r"^conformance/[^/]+/[^/]+/expect\.toml$")).select(fixture("path").alias("_fixture")).distinct()
+    return findings.join(known, fixture("file") == F.col("_fixture"), "left_anti")
+
+
+def waive(findings: DataFrame, entries: DataFrame) -> DataFrame:
+    """Findings with number and reason of the first entry (by entry_no) that matches: same check and file, the symbol if the
+    entry has one, the line within [lo, hi] if it has lines. A finding without a file matches none. Entries are gathered
+    per (check, file) and meet a finding once; files with over ENTRIES of them meet them by a join."""
+    e = entries.select(F.col("check").alias("_check"), F.col("file").alias("_file"), F.struct("entry_no", "reason", "symbol", "lo", "hi").alias("_e"))
+    per = e.groupBy("_check", "_file").agg(F.count(F.lit(1)).alias("_n"))
+    crowded = not entries.groupBy("check", "file").count().filter(F.col("count") > ENTRIES).isEmpty()
+    own = findings.withColumn("_key", F.monotonically_increasing_id())
+    own = cut(own) if crowded else own  # keys must not change between two uses
+    here = (F.col("check_id") == F.col("_check")) & (F.col("file") == F.col("_file"))
+    fits = lambda x: (x["symbol"].isNull() | F.coalesce(x["symbol"] == F.col("subject"), F.lit(False))) & (x["lo"].isNull() | F.coalesce(F.col("line").between(x["lo"], x["hi"]), F.lit(False)))
+    few = e.join(per.filter(F.col("_n") <= ENTRIES).drop("_n"), ["_check", "_file"], "left_semi").groupBy("_check", "_file").agg(F.sort_array(F.collect_list("_e")).alias("_all"))
+    met = own.join(few, here, "left").withColumn("_w", F.get(F.filter("_all", fits), F.lit(0))).drop("_check", "_file", "_all")
+    found = met
+    if crowded:
+        many = e.join(per.filter(F.col("_n") > ENTRIES).drop("_n"), ["_check", "_file"], "left_semi")
+        hits = own.join(many, here & fits(F.col("_e"))).groupBy("_key").agg(F.min("_e").alias("_m"))
+        found = met.join(hits, "_key", "left").withColumn("_w", F.coalesce("_w", "_m"))
+    return found.select(*findings.columns, F.col("_w.entry_no").alias("entry_no"), F.col("_w.reason").alias("reason"))
 
 
 def stale_entries(entries: DataFrame, findings: DataFrame, completed: DataFrame) -> DataFrame:
-    """Entries of completed checks (column check_id) that match no finding."""
-    done = entries.join(completed.select(F.col("check_id").alias("_done")).distinct(), F.col("check") == F.col("_done"), "left_semi")
-    match = (F.col("check") == F.col("check_id")) & (entries["file"] == findings["file"]) & (entries["symbol"].isNull() | (entries["symbol"] == findings["subject"]))
-    match &= entries["lo"].isNull() | findings["line"].between(entries["lo"], entries["hi"])
-    return done.join(findings, match, "left_anti")
+    """Entries of completed checks (column check_id) that match no finding. Inherited entries (member_prefix) and those of a wide
+    list (source) are never stale, where the table has these columns."""
+    own = entries
+    for column in {"member_prefix", "source"} & set(entries.columns):
+        own = own.filter(F.col(column).isNull())
+    done = own.join(completed.select(F.col("check_id").alias("_done")).distinct(), F.col("check") == F.col("_done"), "left_semi")
+    f = findings.select("check_id", F.col("file").alias("_file"), "subject", "line").distinct()
+    match = (F.col("check") == F.col("check_id")) & (F.col("file") == F.col("_file")) & (F.col("symbol").isNull() | (F.col("symbol") == F.col("subject")))
+    match &= F.col("lo").isNull() | F.col("line").between(F.col("lo"), F.col("hi"))
+    return done.join(f, match, "left_anti")
 
 
 def unknown_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:
@@ -56,16 +90,20 @@ def canonical(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     return joined.withColumn(column, F.coalesce("_id", column)).select(*df.columns)
 
 
-def top_n(findings: DataFrame, n: int, seq: str) -> DataFrame:
-    """The n findings of highest severity, then confidence, then lowest `seq`."""
-    return findings.orderBy(severity_rank(F.col("severity")).desc(), confidence_rank(F.col("confidence")).desc(), F.col(seq)).limit(n)
+def _order(seq: str, by: list[Column] | None) -> list[Column]:
+    return [*(by or [severity_rank(F.col("severity")).desc(), confidence_rank(F.col("confidence")).desc()]), F.col(seq)]
+
+
+def top_n(findings: DataFrame, n: int, seq: str, by: list[Column] | None = None) -> DataFrame:
+    """The n findings of highest severity, then confidence (or in the order `by`), then lowest `seq`."""
+    return findings.orderBy(*_order(seq, by)).limit(n)
 
 
-def omitted(findings: DataFrame, n: int, seq: str) -> DataFrame:
-    """Number of findings per severity that top_n leaves out: counts minus those of the n kept."""
-    kept = top_n(findings, n, seq).groupBy("severity").agg(F.count(F.lit(1)).alias("k"))
-    counts = findings.groupBy("severity").agg(F.count(F.lit(1)).alias("c"))
-    return counts.join(kept, "severity", "left").select("severity", (F.col("c") - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
+def omitted(findings: DataFrame, n: int, seq: str, by: list[Column] | None = None, key: str = "severity") -> DataFrame:
+    """Number of findings per severity (or other key) that top_n leaves out: counts minus those of the n kept."""
+    kept = top_n(findings, n, seq, by).groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("k"))
+    counts = findings.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    return counts.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, (F.col("c") - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
 
 
 def rule_summary(findings: DataFrame, waived: DataFrame) -> DataFrame:
@@ -83,8 +121,10 @@ def combine_outcomes(runs: DataFrame) -> DataFrame:
 
 
 def merge_members(passes: DataFrame) -> DataFrame:
-    """Findings of all passes, those that repeat (project, subject, summary) once."""
-    return passes.dropDuplicates(["project", "subject", "summary"])
+    """Findings of all passes. Judgements on the allow list, which every pass makes, stand once per (project, subject,
+    summary); all others stay, however alike."""
+    own = F.coalesce(F.col("check_id") == ALLOWLIST, F.lit(False))
+    return passes.filter(~own).unionByName(passes.filter(own).dropDuplicates(["project", "subject", "summary"]))
 
 
 def coverage(rules: DataFrame, claims: DataFrame) -> DataFrame:
@@ -99,9 +139,18 @@ def pass_rate(clean: Column, found: Column) -> Column:
     return F.try_divide(clean * 100.0, clean + found)
 
 
-def exit_code(findings: DataFrame, errors: DataFrame, deny: str | None) -> DataFrame:
-    """One row: 2 if something could not run, 1 if a finding reaches the deny floor, else 0."""
-    floor = SEVERITIES.index(deny) if deny else len(SEVERITIES)
-    both = findings.select(severity_rank(F.col("severity")).alias("rank"), F.lit(0).alias("bad")).unionByName(errors.select(F.lit(None).cast("int").alias("rank"), F.lit(1).alias("bad")))
-    worst = both.agg(F.max("rank").alias("worst"), F.coalesce(F.max("bad"), F.lit(0)).alias("bad"))
-    return worst.select(F.when(F.col("bad") > 0, 2).when(F.col("worst") >= floor, 1).otherwise(0).alias("exit_code"))
+def exit_code(findings: DataFrame, errors: DataFrame, deny: str | None, floors: dict[str, str] | None = None, blocking: list[str] = ()) -> DataFrame:
+    """One row: 3 if something could not run, else 1 if a finding reaches the deny floor, else 0 (2 is for wrong usage, which is
+    no finding's). With `floors` (severity by check) each check has its own, those in `blocking` that have none `low`, and
+    others none; without a deny floor no finding fails a run."""
+    rank = severity_rank(F.col("severity"))
+    if floors is None:
+        hit = rank >= (SEVERITIES.index(deny) if deny else len(SEVERITIES))
+    else:
+        least = {**dict.fromkeys(blocking, "low"), **floors} if deny else {}
+        hit = F.lit(False)
+        for level in SEVERITIES:
+            of = [c for c, x in least.items() if x == level]
+            hit = hit | (F.col("check_id").isin(of) & (rank >= SEVERITIES.index(level))) if of else hit
+    both = findings.select(F.coalesce(hit, F.lit(False)).alias("hit"), F.lit(False).alias("bad")).unionByName(errors.select(F.lit(False).alias("hit"), F.lit(True).alias("bad")))
+    return both.agg(F.coalesce(F.max("hit"), F.lit(False)).alias("hit"), F.coalesce(F.max("bad"), F.lit(False)).alias("bad")).select(F.when(F.col("bad"), 3).when(F.col("hit"), 1).otherwise(0).alias("exit_code"))

@@ -140,24 +140,35 @@ ENV_READS = {
     "java|kt|scala": r"System\.getenv\(", "rb": r"ENV(?:\[|\.fetch\()", "cs": r"Environment\.GetEnvironmentVariable\(", "php": r"(?:getenv\(|\$_ENV\[)",
 }
 #: Variables of the platform; directories and names of tooling and tests.
-PLATFORM = "PATH PATHEXT HOME USER USERNAME USERPROFILE LOCALAPPDATA APPDATA PROGRAMDATA ProgramData ProgramFiles ProgramFiles(x86) PROGRAMFILES SystemRoot SYSTEMROOT TEMP TMP TMPDIR PWD SHELL TERM LANG CI CARGO_MANIFEST_DIR OUT_DIR PYTHONPATH PYTHONIOENCODING LD_LIBRARY_PATH".split()
+PLATFORM = [
+    "PATH", "PATHEXT", "HOME", "USER", "USERNAME", "USERPROFILE", "LOCALAPPDATA", "APPDATA", "PROGRAMDATA",
+    "ProgramData", "ProgramFiles", "ProgramFiles(x86)", "PROGRAMFILES", "SystemRoot", "SYSTEMROOT", "TEMP", "TMP", "TMPDIR",
+    "PWD", "SHELL", "TERM", "LANG", "CI", "CARGO_MANIFEST_DIR", "OUT_DIR", "PYTHONPATH", "PYTHONIOENCODING",
+    "LD_LIBRARY_PATH",
+]
 DEV_DIRS = "tools|scripts|script|probe|probes|spike|spikes|xtask|docs|e2e|bench|benches|examples|\\.github|tests|test|__tests__|spec"
 DEV_NAMES = r"(^|/)(build\.rs|tests\.rs|tests_[^/]*|[^/]*_tests\.rs|[^/]*_test\.(go|py)|test_[^/]*|[^/]*\.(test|spec)\.[^/]*|[^/]*\.config\.(js|ts|mjs|cjs))$"
 ANALYSIS_CONFIGS = ["codecov.yml", ".codecov.yml", "codecov.yaml", ".codacy.yml", ".codacy.yaml", "sonar-project.properties", ".eslintignore", ".deepsource.toml"]
 VENDOR = "vendor|vendors|third_party|third-party|node_modules|bower_components"
 ENV_FILES = 3
+#: What opens a line that is a comment.
+COMMENT = r"^\s*(//|#|\*|/\*|--)"
 
 
 def env_reads(files: DataFrame) -> DataFrame:
-    """(repo, path, line, name): named reads of environment variables in product code, platform variables left out."""
+    """(repo, path, line, name): named reads of environment variables in product code. Platform variables and those of the
+    XDG_ family are left out, as are comments and what stands in a string that opened before on the line."""
     found = None
     source = files.filter(~_in_dir(SKIPPED) & ~_in_dir(DEV_DIRS) & ~F.col("path").rlike(DEV_NAMES))
     for ext, opens in ENV_READS.items():
-        of = lines(source.filter(F.col("path").rlike(rf"(?i)\.({ext})$") & F.col("text").rlike(opens)))
-        names = F.explode(F.regexp_extract_all("text", F.lit(opens + r"""\s*["']?([A-Za-z_][A-Za-z0-9_()]*)"""), F.lit(1))).alias("name")
-        rows = of.select("repo", "path", "line", names)
+        of = lines(source.filter(F.col("path").rlike(rf"(?i)\.({ext})$") & F.col("text").rlike(opens))).filter(~F.col("text").rlike(COMMENT))
+        # strings that are whole stay as they are after a read's opening text and are emptied before one
+        bare = F.regexp_replace("text", r"""("(?:[^"\\\\]|\\\\.)*"|`[^`]*`)""".replace("\\\\", "\\"), "$1\n")
+        code = F.array_join(F.transform(F.split(bare, "\n"), lambda x: F.when(x.rlike(opens + r"""\s*["`][^"`]*["`]$"""), x).otherwise(F.regexp_replace(x, r"""["`].*$""", '""'))), "")
+        names = F.explode(F.regexp_extract_all(code, F.lit(opens + r"""\s*(["'][^"']+["']|[A-Za-z_][A-Za-z0-9_]*)"""), F.lit(1))).alias("name")
+        rows = of.select("repo", "path", "line", names).withColumn("name", F.regexp_replace("name", "[\"']", ""))
         found = rows if found is None else found.unionByName(rows)
-    return found.filter(~F.col("name").isin(*PLATFORM))
+    return found.filter(~F.col("name").isin(*PLATFORM) & ~F.col("name").startswith("XDG_"))
 
 
 def scattered_env(files: DataFrame) -> DataFrame:

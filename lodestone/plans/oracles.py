@@ -39,4 +39,12 @@ ORACLES = {
     "t36_adjacent_comment": r"""SELECT a.conv_id, a.turn FROM conversations a WHERE a.role='assistant' AND NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id=a.conv_id AND b.turn BETWEEN a.turn-3 AND a.turn AND contains(b.text,'?'))""",
     "t37_reciprocal_link": r"""WITH p AS (SELECT DISTINCT l_partkey%50 a, l_suppkey%50 b FROM lineitem WHERE l_quantity>=49) SELECT a,b FROM p WHERE a<>b AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a=p.b AND q.b=p.a)""",
     "t38_member_dedup": r"""SELECT o_custkey, o_orderpriority, min(o_orderkey) k FROM orders GROUP BY 1,2""",
+    "t39_reachable_from": r"""WITH RECURSIVE g AS (SELECT c_nationkey a, s_nationkey b, count(*) n FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1,2), e AS (SELECT a,b FROM (SELECT *, percent_rank() OVER (ORDER BY n DESC, a, b) pr FROM g WHERE a<>b) WHERE pr<0.08), r(v) AS (SELECT unnest([0::INT,1::INT]) UNION SELECT e.b FROM r JOIN e ON r.v=e.a) SELECT v FROM r""",
+    "t40_strong_components": r"""WITH RECURSIVE g AS (SELECT c_nationkey a, s_nationkey b, count(*) n FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1,2), e AS (SELECT a,b FROM (SELECT *, percent_rank() OVER (ORDER BY n DESC, a, b) pr FROM g WHERE a<>b) WHERE pr<0.2), r(a,b) AS (SELECT a,b FROM e UNION SELECT r.a,e.b FROM r JOIN e ON r.b=e.a) SELECT x.a v, min(x.b) component FROM r x JOIN r y ON x.a=y.b AND x.b=y.a GROUP BY 1""",
+    "t41_merged_members": r"""SELECT check_id, project, count(*) n FROM (SELECT CASE WHEN o_orderstatus='F' THEN 'allowlist' ELSE 'x' END check_id, o_custkey project, o_orderpriority s, CASE WHEN o_orderstatus='F' THEN 0 ELSE o_orderkey END k FROM orders GROUP BY ALL) GROUP BY 1,2""",
+    "t42_canonical_ids": r"""SELECT event_id, CASE WHEN event_type IN ('view','click') THEN 'OPENED' WHEN event_type='error' THEN 'FAILED' ELSE event_type END event_type FROM events""",
+    "t43_exit_codes": r"""SELECT 'high' run, CASE WHEN max(value)>=50 THEN 1 ELSE 0 END::INT exit_code FROM events UNION ALL SELECT 'critical', 0::INT UNION ALL SELECT 'broken', 3::INT UNION ALL SELECT 'floors', CASE WHEN count(*) FILTER (WHERE event_type='click')>0 THEN 1 ELSE 0 END::INT FROM events""",
+    "t44_fixtures_left_out": r"""SELECT p_partkey FROM part ANTI JOIN (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey%3=0) f USING (p_brand, p_size)""",
+    "t45_set_operators": r"""SELECT 'union' kind, k FROM (SELECT o_custkey k FROM orders UNION SELECT c_custkey FROM customer WHERE c_custkey%2=0) UNION ALL SELECT 'intersect', k FROM (SELECT o_custkey k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_custkey%2=0) UNION ALL SELECT 'except', k FROM ((SELECT c_custkey k FROM customer WHERE c_custkey%2<>0) EXCEPT SELECT o_custkey FROM orders)""",
+    "t46_dated_waivers": r"""SELECT o_orderkey, CASE WHEN 30+o_orderkey%371>365 THEN 'too long' WHEN DATE '1996-01-01' >= CAST(o_orderdate AS DATE)+CAST(30+o_orderkey%371 AS INT) THEN 'expired' ELSE 'live' END state FROM orders""",
 }

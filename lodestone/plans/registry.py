@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import graph, host
+from lodestone.operators import graph, host, rules
 
 from .oracles import ORACLES
 
@@ -23,45 +23,43 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def finding_validate(s, d):
-    words = ["zero", "no", "none", "missing", "the", "0"]
-    ascii_trimmed = F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
-    return table(s, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.arrays_overlap(ascii_trimmed, F.array(*map(F.lit, words)))).alias("claims"))
+    none = F.lit(None).cast("string")
+    f = table(s, d, "documents").select("lang", COL("text").alias("summary"), none.alias("claim"), none.alias("positive_control"))
+    ok, bad = host.validate(f, ["zero", "no", "none", "missing", "the", "0"])
+    both = ok.select("lang", F.lit(0).alias("b")).unionByName(bad.select("lang", F.lit(1).alias("b")))
+    return both.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("b").alias("claims"))
 
 
 def waive_range_join(s, d):
     e = s.createDataFrame([(1, "error", "f", None, 0, 40, "a"), (2, "click", "f", None, 10, 20, "b"), (3, "error", "f", None, 30, 50, "c")], "entry_no int, check string, file string, symbol string, lo int, hi int, reason string")
     f = table(s, d, "events").select("event_id", COL("event_type").alias("check_id"), F.lit("f").alias("file"), F.lit(None).cast("string").alias("subject"), (COL("event_id") % 100).cast("int").alias("line"))
-    return host.waive(f, e, F.struct("event_id")).filter("reason IS NOT NULL").select("event_id", COL("reason").alias("rs"))
+    return host.waive(f, e).filter("reason IS NOT NULL").select("event_id", COL("reason").alias("rs"))
 
 
 def stale_entries(s, d):
-    e = s.createDataFrame([("error", 1), ("click", 999999), ("nosuch", 1)], "ck string, u long")
-    seen = table(s, d, "events").select(COL("event_type").alias("ck"), COL("user_id").alias("u"))
-    return e.join(seen, ["ck", "u"], "left_anti")
+    e = s.createDataFrame([("error", "1"), ("click", "999999"), ("nosuch", "1")], "check string, file string").selectExpr("*", "CAST(NULL AS STRING) symbol", "CAST(NULL AS INT) lo", "CAST(NULL AS INT) hi")
+    f = table(s, d, "events").select(COL("event_type").alias("check_id"), COL("user_id").cast("string").alias("file"), F.lit("x").alias("subject"), F.lit(1).alias("line"))
+    return host.stale_entries(e, f, e.select(COL("check").alias("check_id"))).select(COL("check").alias("ck"), COL("file").cast("long").alias("u"))
 
 
 def top_n(s, d):
-    return table(s, d, "events").orderBy(F.desc("value"), "event_id").limit(10).select("event_id", "event_type", "value")
+    return host.top_n(table(s, d, "events").select("event_id", "event_type", "value"), 10, "event_id", [F.desc("value")])
 
 
 def rule_summary(s, d):
-    v = COL("value")
-    return table(s, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(v >= 50).alias("high"), F.count_if((v < 50) & (v >= 10)).alias("med"), F.count_if(v < 10).alias("low"))
+    v, none = COL("value"), F.lit(None).cast("boolean")
+    f = table(s, d, "events").select(COL("event_type").alias("check_id"), F.when(v >= 50, "high").when(v >= 10, "medium").when(v < 10, "low").alias("severity"))
+    out = host.rule_summary(f, f.limit(0).withColumn("declared_public", none))
+    return out.select(COL("check_id").alias("event_type"), COL("findings").alias("n"), "high", COL("medium").alias("med"), "low")
 
 
 def omitted_by_severity(s, d):
-    e = table(s, d, "events")
-    kept = top_n(s, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("k"))
-    c = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("c")).join(kept, "event_type", "left")
-    return c.select("event_type", (COL("c") - F.coalesce("k", F.lit(0))).alias("n")).filter("n > 0")
+    return host.omitted(table(s, d, "events").select("event_id", "event_type", "value"), 10, "event_id", [F.desc("value")], "event_type")
 
 
 def mode_tiebreak_outliers(s, d):
     o = table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    counts = o.groupBy("o_custkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    # mode with its tie-break as one combined maximum
-    modal = counts.groupBy("o_custkey").agg(F.max(F.struct("n", "o_orderpriority")).alias("m")).select("o_custkey", COL("m.o_orderpriority").alias("modal"))
-    return o.join(modal, "o_custkey").filter("o_orderpriority <> modal").select("o_orderkey", "o_orderpriority", "modal")
+    return rules.mode_outliers(o, "o_custkey", "o_orderkey", "o_orderpriority", COL("o_orderpriority")).select("o_orderkey", "o_orderpriority", "modal")
 
 
 def distinct_over_limit(s, d):
@@ -148,8 +146,9 @@ def two_snapshot_growth(s, d):
 
 
 def coverage_join(s, d):
-    j = table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels").select(COL("doc_id").alias("l")), COL("doc_id") == COL("l"), "left")
-    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count("l").alias("covered")).withColumn("gap", COL("total") - COL("covered"))
+    claims = table(s, d, "labels").select(COL("doc_id").alias("rule"), F.lit(True).alias("proven"))
+    j = host.coverage(table(s, d, "documents").select(COL("doc_id").alias("id"), "lang"), claims)
+    return j.groupBy("lang").agg(F.count(F.lit(1)).alias("total"), F.count_if(COL("state") == "covered").alias("covered")).withColumn("gap", COL("total") - COL("covered"))
 
 
 def pass_rate(s, d):
@@ -158,9 +157,11 @@ def pass_rate(s, d):
 
 
 def outcome_combine(s, d):
-    o = table(s, d, "orders")
-    rank = F.when(COL("o_orderstatus") == "F", 3).when(COL("o_orderstatus") == "O", 2).otherwise(1)
-    return o.groupBy("o_custkey").agg(F.max(rank).alias("prec"), F.count_if(COL("o_orderstatus") == "O").alias("n"))
+    kind = F.when(COL("o_orderstatus") == "F", "Findings").when(COL("o_orderstatus") == "O", "Clean").otherwise("Skipped")
+    o = table(s, d, "orders").select(COL("o_custkey").alias("rule"), kind.alias("kind"), F.lit(1).alias("n"))
+    ranks = F.array(*map(F.lit, host.OUTCOMES))
+    clean = o.groupBy(COL("rule").alias("r")).agg(F.count_if(COL("kind") == "Clean").alias("c"))
+    return host.combine_outcomes(o).join(clean, COL("rule") == COL("r")).select(COL("rule").alias("o_custkey"), F.array_position(ranks, COL("kind")).cast("int").alias("prec"), COL("c").alias("n"))
 
 
 def undocumented_words(s, d):
@@ -243,6 +244,61 @@ def member_dedup(s, d):
     return table(s, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("k"))
 
 
+def reachable_from(s, d):
+    return graph.reachable(nation_edges(s, d, 0.08), s.createDataFrame([(0,), (1,)], "v int"))
+
+
+def strong_components(s, d):
+    return graph.strong_components(nation_edges(s, d, 0.2))
+
+
+def merged_members(s, d):
+    o = table(s, d, "orders").select(F.when(COL("o_orderstatus") == "F", host.ALLOWLIST).otherwise("x").alias("check_id"), COL("o_custkey").alias("project"), COL("o_orderpriority").alias("subject"), COL("o_orderstatus").alias("summary"))
+    return host.merge_members(o).groupBy("check_id", "project").agg(F.count(F.lit(1)).alias("n"))
+
+
+def canonical_ids(s, d):
+    r = s.createDataFrame([("OPENED", ["view", "click"]), ("FAILED", ["error"])], "id string, aliases array<string>")
+    return host.canonical(table(s, d, "events").select("event_id", "event_type"), "event_type", r)
+
+
+def exit_codes(s, d):
+    e = table(s, d, "events").select(COL("event_type").alias("check_id"), F.when(COL("value") >= 50, "high").otherwise("low").alias("severity"))
+    none = e.limit(0)
+    code = lambda name, *a, **k: host.exit_code(*a, **k).select(F.lit(name).alias("run"), "exit_code")
+    runs = [code("high", e, none, "high"), code("critical", e, none, "critical"), code("broken", e, e, "low"), code("floors", e, none, "low", floors={"error": "critical"}, blocking=["click"])]
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def fixtures_left_out(s, d):
+    p = table(s, d, "part")
+    path = F.concat(F.lit("conformance/"), COL("p_brand"), F.lit("/"), COL("p_size").cast("string"), F.lit("/a.rs"))
+    fixture = F.concat(F.lit("conformance/"), COL("p_brand"), F.lit("/"), COL("p_size").cast("string"), F.lit("/expect.toml"))
+    return host.outside_fixtures(p.select("p_partkey", path.alias("file")), p.filter("p_partkey % 3 = 0").select(fixture.alias("path"))).select("p_partkey")
+
+
+def set_operators(s, d):
+    o = table(s, d, "orders").select(COL("o_custkey").alias("k"))
+    c = table(s, d, "customer").select(COL("c_custkey").alias("k"))
+    n = c.filter("k % 2 = 0")
+    kinds = (("union", o.union(n).distinct()), ("intersect", o.intersect(n)), ("except", c.exceptAll(n).subtract(o)))
+    out = None
+    for kind, rows in kinds:
+        part = rows.select(F.lit(kind).alias("kind"), "k")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def dated_waivers(s, d):
+    # a waiver of 30 to 400 days from the order's date: too long, expired or live at a given day
+    o = table(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("from_day"), F.date_add(F.to_date("o_orderdate"), (30 + COL("o_orderkey") % 371).cast("int")).alias("until"))
+    state = F.when(F.datediff("until", "from_day") > 365, "too long").when(F.lit("1996-01-01").cast("date") >= COL("until"), "expired").otherwise("live")
+    return o.select("o_orderkey", state.alias("state"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_summary(spark, sf_dir)
 
@@ -253,6 +309,7 @@ QUERIES = [
     cochange_share, percentile_outliers, repeated_literals, islands, lookahead, secret_scan, redact_text, licence_lines, link_extract, dead_local_links, two_snapshot_growth,
     coverage_join, pass_rate, outcome_combine, undocumented_words, duplicate_definition, advisory_range, settings_unpivot, ignored_vs_total, scope_rollup, position_join,
     nearest_scope, same_block_order, name_convention, json_props, adjacent_comment, reciprocal_link, member_dedup,
+    reachable_from, strong_components, merged_members, canonical_ids, exit_codes, fixtures_left_out, set_operators, dated_waivers,
 ]
 
 

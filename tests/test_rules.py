@@ -34,6 +34,12 @@ def test_defective_and_clean(spark, rule):
     assert rules.audit(f([("x", None)]).limit(0), [rule]).count() == 0
 
 
+def test_env_reads_leave_out(spark):
+    text = """let a = env::var("XDG_HOME");\n// env::var("IN_COMMENT")\nlet s = "env::var(IN_STRING)";\nlet b = f("x", env::var("REAL"));\nlet c = env::var(BARE);\n"""
+    f = spark.createDataFrame([("r", "src/a.rs", text), ("r", "b.rs", None)], "repo string, path string, text string")
+    assert sorted((r.line, r.name) for r in rules.env_reads(f).collect()) == [(4, "REAL"), (5, "BARE")]
+
+
 def test_glossary_terms(spark):
     text = "# G\n## Term\n**Other**: x\n- **term:** again\n## other\n"
     f = spark.createDataFrame([("r", "docs/glossary.md", text)], "repo string, path string, text string")
