@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import give_back
 
 #: Encodings kept per worker and generation, the longest chunk (characters) worth keeping, and spans and token pairs kept.
-KEPT, KEPT_CHARS, KEPT_SPANS = 90_000, 24, 150_000
+KEPT, KEPT_CHARS, KEPT_SPANS = 60_000, 24, 100_000
 #: Spans up to LEAF bytes are leaves of the tree, merged directly by rank; spans up to KEPT_PART bytes are kept.
 LEAF, KEPT_PART = 4, 8
 #: The pattern whose matches never cross from visible characters into white space, so that texts may be cut there.

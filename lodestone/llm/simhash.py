@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread
+from .common import cut, give_back, join_spread
 from .components import connected_components
 
 RADIUS = 4
@@ -87,8 +87,10 @@ def fingerprint_column(text: Column, shingle: int = SHINGLE, words: int = 1) ->
     """The fingerprint as a binary of 8 bytes a word, highest first."""
 
     @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle, words).astype(">u8").tobytes() for t in texts], dtype=object)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([simhash(t, shingle, words).astype(">u8").tobytes() for t in texts], dtype=object)
+        give_back()
 
     return of(text)
 
@@ -237,6 +239,7 @@ def _placer(masks: np.ndarray) -> Callable:
                     names.append(b.view(np.int64))
                 take = pa.array(np.tile(np.arange(len(codes)), len(masks)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), part.column(0).take(take), part.column(1).take(take)], ["b", "id", "fp"])
+        give_back()
 
     return run
 
@@ -277,6 +280,8 @@ def _linker(radius: int) -> Callable:
                 yield out
         if rest is not None and len(rest):
             yield edges(rest, True)[1]
+        rest = None
+        give_back()
 
     return run
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Expected number of labelled training rows at most.
 MAX_TRAIN = 50_000
 #: Least toxic surroundings of a word and of a stem, words of a stem, and pseudo-documents of smoothing.
@@ -193,6 +195,8 @@ def _raw(lexicon: Lexicon):
         auto = lexicon.matcher()
         for texts in batches:
             yield pd.Series([lexicon.raw(auto, t) for t in texts], dtype="float64")
+        del auto
+        give_back()
 
     return raw
 
