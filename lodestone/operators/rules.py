@@ -27,7 +27,7 @@ def finding(df: DataFrame, check: str, severity, confidence: str, file, line, su
     """Rows of the findings schema (with claim `absence` where a control is given)."""
     c = lambda x, t: (x if isinstance(x, Column) else F.lit(x)).cast(t)
     return df.select(
-        c(check, "string").alias("check_id"), c(severity, "string").alias("severity"), c(confidence, "string").alias("confidence"), F.col("repo").alias("project"),
+        c(check, "string").alias("check_id"), c(severity, "string").alias("severity"), c(confidence, "string").alias("confidence"), c(F.col("repo"), "string").alias("project"),
         c(file, "string").alias("file"), c(line, "int").alias("line"), c(subject, "string").alias("subject"), c(summary, "string").alias("summary"), F.lit(None).cast("string").alias("detail"),
         F.lit(None).cast("string").alias("member"), c(control, "string").alias("positive_control"), F.lit("absence" if control is not None else None).cast("string").alias("claim"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import graph, host, rules
 
+from . import fact_queries
 from .oracles import ORACLES
 
 COL = F.col
@@ -314,8 +315,10 @@ QUERIES = [
 
 
 def queries() -> dict:
-    return {f"t{k:02d}_{f.__name__}": f for k, f in enumerate(QUERIES, 1)}
+    own = {f"t{k:02d}_{f.__name__}": f for k, f in enumerate(QUERIES, 1)}
+    return own | {f"f{k:02d}_{f.__name__}": f for k, f in enumerate(fact_queries.QUERIES, 1)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in queries()}
+    known = ORACLES | {f"f{k:02d}_{f.__name__}": fact_queries.SQL[f.__name__] for k, f in enumerate(fact_queries.QUERIES, 1)}
+    return {k: v for k, v in known.items() if k in queries()}
