@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import semver_key
-from lodestone.operators.graph import strong_components
+from lodestone.operators.graph import instability, strong_components
 from lodestone.operators.rules import finding
 
 COL = F.col
@@ -336,3 +336,87 @@ def unused_returns(diags: DataFrame, tags: DataFrame, imports: DataFrame) -> Dat
     calls = d.filter(~inside).join(lines, ["file", "line"], "left").filter("kind = 'ignored' OR _import IS NULL")
     per = calls.groupBy("id", "fn").agg(F.count_if(COL("kind") == "ignored").alias("ignored"), F.count_if(COL("kind") == "used").alias("used"))
     return per.filter("ignored > 0").select("id", "fn", "ignored", F.greatest("used", "ignored").alias("total"))
+
+
+# Surface, size and locks.
+
+#: Code lines, fan-out, fan-in and members from which a file or type stands out; words of a closed enum.
+FILE_LINES, FILE_LINES_HIGH, FAN_OUT, FAN_OUT_COUPLED, FAN_IN_COUPLED, TYPE_MEMBERS = 1035, 2234, 14, 7, 6, 30
+CLOSED = r"(?i)exhaustive|closed|sealed|fixed set"
+UNTYPED = r"^(.*::)?Result<.*,(String|&('\w+)?str|Box<dyn.*>|anyhow::Error|eyre::Report)>$|^(anyhow|eyre)::Result<[^,]*>$"
+#: A comment that excuses slow code, and what links it to a benchmark.
+EXCEPTION = r"^[\s*/!]*PERF-EXCEPTION:"
+BENCHMARK = r"https?://|bench::|(^|[\s,;()`\"'/])(bench|benches|benchmark|benchmarks)/"
+
+
+def size_outliers(files: DataFrame, types: DataFrame) -> DataFrame:
+    """MOD-005: files (repo, path, code_lines, fan_out, fan_in) that are large and coupled (low), large, or widely coupled (info), and
+    types (repo, path, line, type, fields, methods) of many members of which one at least is a method."""
+    coupled = (COL("fan_out") >= FAN_OUT_COUPLED) | (COL("fan_in") >= FAN_IN_COUPLED)
+    kind = F.when((COL("code_lines") >= FILE_LINES_HIGH) & coupled, "size and coupling").when(COL("code_lines") >= FILE_LINES, "size").when(COL("fan_out") >= FAN_OUT, "coupling")
+    big = files.withColumn("_kind", kind).filter("_kind IS NOT NULL")
+    one = finding(big, "MOD-005", F.when(COL("_kind") == "size and coupling", "low").otherwise("info"), "medium", COL("path"), None, COL("path"), COL("_kind"))
+    wide = types.filter((COL("fields") + COL("methods") >= TYPE_MEMBERS) & (COL("methods") > 0))
+    return one.unionByName(finding(wide, "MOD-005", "info", "medium", COL("path"), COL("line"), COL("type"), _text(COL("fields") + COL("methods"), " members")))
+
+
+def unstable_edges(edges: DataFrame, volatile: DataFrame, margin: float = 0.3) -> DataFrame:
+    """ARC-005: edges towards a component that is less stable by `margin` or more, unless that is declared volatile (repo, component), a
+    binding (-sys), or in one cycle with the edge's start."""
+    named = _named(edges.filter("a <> b")).distinct()
+    x, y = instability(named).toDF("xk", "xv"), instability(named).toDF("yk", "yv")
+    scc = strong_components(named)
+    p, q = scc.toDF("pv", "pc"), scc.toDF("qv", "qc")
+    loose = volatile.select(F.concat_ws("\x01", "repo", "component").alias("_v"))
+    gap = named.join(x, COL("a") == COL("xk")).join(y, COL("b") == COL("yk")).filter(COL("yv") - COL("xv") + 1e-9 >= margin)
+    gap = gap.filter(~COL("b").rlike("[-_]sys$")).join(loose, COL("b") == COL("_v"), "left_anti")
+    bad = gap.join(p, COL("a") == COL("pv"), "left").join(q, COL("b") == COL("qv"), "left").filter("pc IS NULL OR qc IS NULL OR pc <> qc")
+    part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
+    bad = bad.withColumn("repo", part("a", 0))
+    return finding(bad, "ARC-005", "info", "low", None, None, _text(part("a", 1), " -> ", part("b", 1)), "depends on a less stable component")
+
+
+def lock_cycles(guards: DataFrame) -> DataFrame:
+    """CON-006: guards (repo, package, path, fn, lock, start, stop): a lock taken while another is held is an edge between them;
+    cycles of two locks or more, and locks taken again while held unless an index tells them apart (their name ends in []). Per
+    function only the guards whose spans meet are paired."""
+    g = guards.select("repo", "package", "path", "fn", "lock", "start", "stop").distinct()
+    later = g.select("repo", "package", "path", "fn", COL("lock").alias("taken"), COL("start").alias("at"))
+    met = g.join(later, ["repo", "package", "path", "fn"]).filter((COL("at") > COL("start")) & (COL("at") < COL("stop"))).select(F.concat_ws("\x01", "repo", "package").alias("repo"), COL("lock").alias("a"), COL("taken").alias("b")).distinct()
+    part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
+    again = met.filter((COL("a") == COL("b")) & ~COL("a").endswith("[]")).select(part("repo", 0).alias("repo"), COL("a").alias("_s"), F.lit("taken again while held").alias("_w"))
+    per = strong_components(_named(met.filter("a <> b"))).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    cycles = per.select(part("component", 0).alias("repo"), part("component", 2).alias("_s"), _text("a cycle of ", COL("n"), " locks").alias("_w"))
+    return finding(cycles.unionByName(again), "CON-006", "high", "low", None, None, COL("_s"), COL("_w"))
+
+
+def bare_deprecations(attrs: DataFrame) -> DataFrame:
+    """API-004: deprecations (repo, path, line, item, is_pub, since, note) of public items that lack one of the two."""
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    bad = attrs.filter(COL("is_pub") & ~(has("since") & has("note")))
+    return finding(bad, "API-004", "low", "medium", COL("path"), COL("line"), COL("item"), F.when(has("since"), "no note").when(has("note"), "no since").otherwise("neither since nor note"))
+
+
+def open_enums(enums: DataFrame) -> DataFrame:
+    """API-009: public enums (repo, path, line, enum, is_pub, non_exhaustive, variants, doc) with variants that may not grow and that
+    no word of their documentation closes."""
+    bad = enums.filter(COL("is_pub") & ~COL("non_exhaustive") & (COL("variants") > 0) & ~F.coalesce(COL("doc").rlike(CLOSED), F.lit(False)))
+    return finding(bad, "API-009", "low", "medium", COL("path"), COL("line"), COL("enum"), "can't grow without breaking callers")
+
+
+def untyped_errors(fns: DataFrame) -> DataFrame:
+    """ERR-004: public functions (repo, path, line, fn, is_pub, ret) that fail with a text or a boxed or dynamic error."""
+    bad = fns.filter(COL("is_pub") & F.regexp_replace("ret", r"\s+", "").rlike(UNTYPED))
+    return finding(bad, "ERR-004", "medium", "medium", COL("path"), COL("line"), COL("fn"), _text("fails with an untyped error: ", COL("ret")))
+
+
+def perf_exceptions(comments: DataFrame) -> DataFrame:
+    """PRF-006: comments (repo, path, line, text) that excuse slow code and link no benchmark, neither themselves nor in comments of
+    the next two lines up to the next such excuse."""
+    w = Window.partitionBy("repo", "path").orderBy("line")
+    near = lambda k: F.when(F.lead("line", k).over(w) <= COL("line") + 2, F.lead("text", k).over(w))
+    c = comments.withColumn("_1", near(1)).withColumn("_2", near(2))
+    free = lambda t: F.coalesce(~COL(t).rlike(EXCEPTION), F.lit(False))
+    says = lambda t: F.coalesce(COL(t).rlike(BENCHMARK), F.lit(False))
+    bad = c.filter(COL("text").rlike(EXCEPTION) & ~(says("text") | (free("_1") & (says("_1") | (free("_2") & says("_2"))))))
+    return finding(bad, "PRF-006", "info", "low", COL("path"), COL("line"), COL("path"), "an excuse for slow code without a benchmark")

@@ -221,7 +221,30 @@ def dead_links(files: DataFrame) -> DataFrame:
     return finding(dead, "DOC-010", "low", "high", F.col("path"), F.col("line"), F.col("link"), F.concat(F.lit("links to an untracked file: "), F.col("to")))
 
 
+#: Lockfiles of npm, yarn, pnpm and bun.
+NODE_LOCKS = ["package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "bun.lock", "bun.lockb"]
+
+
+def missing_locks(files: DataFrame) -> DataFrame:
+    """SUP-001, lockfiles: an application's manifest without a lockfile in its directory or one above: a Cargo package with
+    src/main.rs or a [[bin]], or a private npm package."""
+    name, home = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "^(.*/)?", 0)
+    cargo = files.filter(name == "Cargo.toml").filter(F.col("text").rlike(r"(?m)^\s*\[package\]")).select("repo", "path", home.alias("home"), F.col("text").rlike(r"(?m)^\s*\[\[bin\]\]").alias("bin"))
+    mains = files.filter(F.col("path").rlike("(^|/)src/main[.]rs$")).select("repo", F.regexp_replace("path", "src/main[.]rs$", "").alias("home"), F.lit(True).alias("main")).distinct()
+    apps = cargo.join(mains, ["repo", "home"], "left").filter("bin OR main").select("repo", "path", "home", F.lit("cargo").alias("kind"))
+    node = files.filter((name == "package.json") & (F.get_json_object("text", "$.private") == "true")).select("repo", "path", home.alias("home"), F.lit("node").alias("kind"))
+    kind = F.when(name == "Cargo.lock", "cargo").when(name.isin(*NODE_LOCKS), "node")
+    locks = files.select("repo", home.alias("up"), kind.alias("kind")).filter("kind IS NOT NULL").distinct()
+    steps = F.split("home", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.concat(F.slice(steps, 1, k - 1), F.array(F.lit(""))), "/"))
+    all_apps = apps.unionByName(node)
+    covered = all_apps.select("repo", "path", "kind", F.explode(above).alias("up")).join(locks, ["repo", "up", "kind"], "left_semi")
+    bare = all_apps.join(covered.select("repo", "path").distinct(), ["repo", "path"], "left_anti")
+    return finding(bare, "SUP-001", "medium", "medium", F.col("path"), None, F.col("path"), "an application without a lockfile", "its directory and those above it were searched for one")
+
+
 RULES = {
+    "SUP-001": missing_locks,
     "GOV-011": conflict_markers, "SUP-005": many_versions, "DOC-009": glossary, "WSP-001": code_owners, "SUP-009": release_sbom, "SUP-010": release_signing, "SEC-007": threat_model, "RDB-008": unowned_todos,
     "EFX-003": scattered_env, "OPS-002": undocumented_env, "REL-007": failure_model, "SUP-011": vendored_unexcluded, "DOC-010": dead_links,
 }

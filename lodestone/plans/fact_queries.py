@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import facts
+from lodestone.operators import facts, rules
+
+from .oracles import ORACLES
 
 COL = F.col
 
@@ -155,9 +157,45 @@ def unused_returns(s, d):
     return facts.unused_returns(diags, tags, s.createDataFrame([("f2", 1, 20), ("f2", 15, 30)], "file string, first long, last long"))
 
 
+def size_outliers(s, d):
+    f = rows(table(s, d, "orders"), path="CAST(o_orderkey AS STRING)", code_lines="o_orderkey % 3000", fan_out="o_custkey % 20", fan_in="o_orderkey % 11")
+    t = rows(table(s, d, "part"), path="'a'", line="p_partkey", type="p_brand", fields="p_size", methods="p_partkey % 4")
+    return facts.size_outliers(f, t).select("file", "line", "severity", "summary")
+
+
+def unstable_edges(s, d):
+    volatile = s.createDataFrame([("r", "1"), ("r", "2")], "repo string, component string")
+    return facts.unstable_edges(_edges(s, d, 0.15), volatile, 0.1).select("subject")
+
+
+def lock_cycles(s, d):
+    g = rows(table(s, d, "events").filter("value > 100"), package="user_id % 20", path="'a'", fn="user_id", lock="event_type", start="event_id", stop="event_id + 200")
+    return facts.lock_cycles(g).groupBy("subject", "summary").agg(F.count(F.lit(1)).alias("n"))
+
+
+def perf_exceptions(s, d):
+    text = "CASE event_type WHEN 'error' THEN '! PERF-EXCEPTION: slow' WHEN 'purchase' THEN 'see benches/a.rs' WHEN 'view' THEN 'plain' END"
+    c = rows(table(s, d, "events").filter("event_type IN ('error', 'purchase', 'view')"), path="'a'", line="event_id", text=text)
+    return facts.perf_exceptions(c).select("line")
+
+
+def untyped_errors(s, d):
+    ret = "concat('Result<', p_type, if(p_partkey % 2 = 0, ', ', ','), CASE p_size % 3 WHEN 0 THEN 'String>' WHEN 1 THEN 'Box<dyn Error>>' ELSE 'MyError>' END)"
+    return facts.untyped_errors(rows(table(s, d, "part"), path="'a'", line="p_partkey", fn="p_name", is_pub="p_retailprice > 950", ret=ret)).select("line", "subject")
+
+
+def missing_locks(s, d):
+    p = table(s, d, "part")
+    home = "concat('g', p_partkey % 40, '/m', p_partkey, '/')"
+    files = rows(p, path=f"concat({home}, 'Cargo.toml')", text="if(p_size % 2 = 0, '[package]\\n[[bin]]', '[package]')")
+    files = files.unionByName(rows(p.filter("p_size % 3 = 0"), path=f"concat({home}, 'src/main.rs')", text="''")).unionByName(rows(p.filter("p_partkey < 40 AND p_size > 25"), path="concat('g', p_partkey, '/Cargo.lock')", text="''"))
+    return rules.missing_locks(files).select("file")
+
+
 QUERIES = [
     bool_params, wide_functions, complexity, string_chains, unjustified_sites, unjustified_per_package, guards_across_awaits, late_releases, single_implementations, empty_tests, over_mocked,
-    undeclared_components, drift, bare_suppressions, suppression_ratchet, waiver_ratchet, unused_dependencies, layer_violations, component_cycles, entangled_modules, advisories, unused_returns,
+    undeclared_components, drift, bare_suppressions, suppression_ratchet, waiver_ratchet, unused_dependencies, layer_violations, component_cycles, entangled_modules, advisories, unused_returns, size_outliers, unstable_edges,
+    lock_cycles, perf_exceptions, untyped_errors, missing_locks,
 ]
 
 _EDGES = "g AS (SELECT c_nationkey a, s_nationkey b, count(*) n FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1,2), e AS (SELECT a,b FROM (SELECT *, percent_rank() OVER (ORDER BY n DESC, a, b) pr FROM g WHERE a<>b) WHERE pr<{share})"
@@ -186,4 +224,10 @@ SQL = {
     "entangled_modules": "WITH e AS (SELECT DISTINCT p_brand a, 'Brand#' || (1+p_size%25) b FROM part WHERE p_brand<>'Brand#' || (1+p_size%25)), p AS (SELECT e.a, e.b FROM e JOIN e x ON x.a=e.b AND x.b=e.a WHERE e.a<e.b), c AS (SELECT l_orderkey o FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey)<=25), m AS (SELECT DISTINCT l_orderkey o, p_brand m FROM lineitem JOIN part ON l_partkey=p_partkey WHERE l_orderkey IN (SELECT o FROM c)), t AS (SELECT a, b, o, count(*)=2 both_ FROM p JOIN m ON m.m=a OR m.m=b GROUP BY 1,2,3) SELECT a, b, count(*) FILTER (WHERE both_) \"both\", count(*) \"either\", max(o) FILTER (WHERE both_) newest FROM t GROUP BY 1,2 HAVING count(*) FILTER (WHERE both_)>=3 AND count(*) FILTER (WHERE both_)*100>=count(*)*4",
     "advisories": "WITH k(name,grp,lo,hi,score) AS (VALUES ('A','g1',2,10,9.5),('B','g2',0,30,7.1),('A','g3',9,1000,NULL)), p AS (SELECT p_partkey, CASE WHEN p_partkey%2=0 THEN 'A' ELSE 'B' END name, p_size FROM part) SELECT CAST(p_partkey AS VARCHAR) file, name || '@' || p_size || '.0.0' subject, grp summary, CASE WHEN score>=9 THEN 'critical' ELSE 'high' END severity FROM p JOIN k USING (name) WHERE p_size>=lo AND p_size<hi",
     "unused_returns": "WITH d AS (SELECT DISTINCT l_returnflag='R' ign, l_suppkey id, l_linenumber f, l_partkey l FROM lineitem), c AS (SELECT d.*, s_name fn FROM d JOIN supplier ON id=s_suppkey WHERE NOT (f=1 AND l>s_suppkey*10 AND l<s_suppkey*10+5) AND (ign OR NOT (f=2 AND l BETWEEN 1 AND 30))) SELECT id, fn, count(*) FILTER (WHERE ign) ignored, greatest(count(*) FILTER (WHERE NOT ign), count(*) FILTER (WHERE ign)) total FROM c GROUP BY 1,2 HAVING count(*) FILTER (WHERE ign)>0",
+    "size_outliers": "SELECT * FROM (SELECT CAST(o_orderkey AS VARCHAR) file, CAST(NULL AS INT) line, CASE WHEN o_orderkey%3000>=2234 AND (o_custkey%20>=7 OR o_orderkey%11>=6) THEN 'low' ELSE 'info' END severity, CASE WHEN o_orderkey%3000>=2234 AND (o_custkey%20>=7 OR o_orderkey%11>=6) THEN 'size and coupling' WHEN o_orderkey%3000>=1035 THEN 'size' WHEN o_custkey%20>=14 THEN 'coupling' END summary FROM orders) WHERE summary IS NOT NULL UNION ALL SELECT 'a', CAST(p_partkey AS INT), 'info', (p_size+p_partkey%4) || ' members' FROM part WHERE p_size+p_partkey%4>=30 AND p_partkey%4>0",
+    "unstable_edges": "WITH RECURSIVE " + _EDGES.format(share=0.15) + ", r(a,b) AS (SELECT a,b FROM e UNION SELECT r.a,e.b FROM r JOIN e ON r.b=e.a) SELECT CAST(a AS VARCHAR) || ' -> ' || b subject FROM (" + ORACLES["t09_instability"] + ") t WHERE b NOT IN (1,2) AND NOT EXISTS (SELECT 1 FROM r WHERE r.a=t.b AND r.b=t.a)",
+    "lock_cycles": "WITH RECURSIVE g AS (SELECT user_id%20 p, user_id u, event_type l, event_id s FROM events WHERE value>100), e AS (SELECT DISTINCT x.p, x.l a, y.l b FROM g x JOIN g y ON x.u=y.u AND y.s>x.s AND y.s<x.s+200), r(p,a,b) AS (SELECT p,a,b FROM e WHERE a<>b UNION SELECT r.p,r.a,e.b FROM r JOIN e ON r.p=e.p AND r.b=e.a WHERE e.a<>e.b), c AS (SELECT x.p, x.a v, min(x.b) k FROM r x JOIN r y ON x.p=y.p AND x.a=y.b AND x.b=y.a GROUP BY 1,2), f AS (SELECT k subject, 'a cycle of ' || count(*) || ' locks' summary FROM c GROUP BY p, k UNION ALL SELECT a, 'taken again while held' FROM e WHERE a=b) SELECT subject, summary, count(*) n FROM f GROUP BY 1,2",
+    "perf_exceptions": "SELECT CAST(event_id AS INT) line FROM events x WHERE event_type='error' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type='purchase' AND c.event_id BETWEEN x.event_id+1 AND x.event_id+2 AND NOT EXISTS (SELECT 1 FROM events m WHERE m.event_type='error' AND m.event_id=x.event_id+1 AND c.event_id=x.event_id+2))",
+    "untyped_errors": "SELECT CAST(p_partkey AS INT) line, p_name subject FROM part WHERE p_retailprice>950 AND p_size%3<2",
+    "missing_locks": "SELECT 'g' || (p_partkey%40) || '/m' || p_partkey || '/Cargo.toml' file FROM part WHERE (p_size%2=0 OR p_size%3=0) AND p_partkey%40 NOT IN (SELECT p_partkey FROM part WHERE p_partkey<40 AND p_size>25)",
 }

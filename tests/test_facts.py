@@ -127,3 +127,37 @@ def test_reports(spark):
 @pytest.mark.parametrize("name", ["bool_params", "wide_functions"])
 def test_empty(spark, name):
     assert getattr(facts, name)(table(spark, SIGN, [])).count() == 0
+
+
+def test_size(spark):
+    f = table(spark, "repo string, path string, code_lines int, fan_out int, fan_in int", [("r", "a", 2234, 0, 6), ("r", "b", 2234, 6, 5), ("r", "c", 1034, 14, 0), ("r", "d", 1034, 13, 99), ("r", None, None, None, None)])
+    t = table(spark, "repo string, path string, line int, type string, fields int, methods int", [("r", "a", 1, "T", 29, 1), ("r", "a", 2, "U", 40, 0)])
+    assert got(facts.size_outliers(f, t), "subject", "severity", "summary") == [("T", "info", "30 members"), ("a", "low", "size and coupling"), ("b", "info", "size"), ("c", "info", "coupling")]
+
+
+def test_unstable_edges(spark):
+    # s is used by many and uses one; u is used by s alone and uses many
+    e = [("r", x, "s") for x in "abc"] + [("r", "s", x) for x in ("u", "u_sys", "v", "c2")] + [("r", k, x) for k in ("u", "u_sys", "v") for x in ("p", "q", "z")] + [("r", "s", "s")]
+    r = facts.unstable_edges(table(spark, EDGE, e), table(spark, "repo string, component string", [("r", "v")]), 0.1)
+    assert got(r, "subject") == [("s -> u",)]
+
+
+def test_lock_cycles(spark):
+    g = table(spark, "repo string, package string, path string, fn string, lock string, start int, stop int", [("r", "p", "a", "f", "x", 1, 9), ("r", "p", "a", "f", "y", 2, 8), ("r", "p", "a", "g", "y", 1, 5), ("r", "p", "a", "g", "x", 3, 4), ("r", "q", "a", "f", "x", 1, 5), ("r", "q", "a", "f", "x", 3, 4), ("r", "q", "a", "h", "z[]", 1, 5), ("r", "q", "a", "h", "z[]", 2, 3)])
+    assert got(facts.lock_cycles(g), "subject", "summary") == [("x", "a cycle of 2 locks"), ("x", "taken again while held")]
+
+
+def test_surface(spark):
+    a = table(spark, "repo string, path string, line int, item string, is_pub boolean, since string, note string", [("r", "a", 1, "f", True, "1", None), ("r", "a", 2, "g", False, None, None), ("r", "a", 3, "h", True, "1", "n")])
+    assert got(facts.bare_deprecations(a), "subject", "summary") == [("f", "no note")]
+    e = table(spark, "repo string, path string, line int, enum string, is_pub boolean, non_exhaustive boolean, variants int, doc string", [("r", "a", 1, "E", True, False, 2, None), ("r", "a", 2, "F", True, False, 2, "A Closed set"), ("r", "a", 3, "G", True, False, 0, None), ("r", "a", 4, "H", True, True, 2, None)])
+    assert got(facts.open_enums(e), "subject") == [("E",)]
+    ret = ["Result<u8, String>", "std::result::Result<(), &'static str>", "io::Result<u8>", "Result<Vec<u8>, Box<dyn Error + Send>>", "anyhow::Result<u8>", "anyhow::Result<u8, MyError>", "Result<String, MyError>", "String", None]
+    f = table(spark, "repo string, path string, line int, fn string, is_pub boolean, ret string", [("r", "a", i, "f", True, x) for i, x in enumerate(ret)])
+    assert got(facts.untyped_errors(f), "line") == [(0,), (1,), (3,), (4,)]
+
+
+def test_perf_exceptions(spark):
+    rows = [(1, "PERF-EXCEPTION: slow"), (2, "x"), (3, "see benches/a.rs"), (10, "* PERF-EXCEPTION: slow"), (13, "bench/x"), (20, "PERF-EXCEPTION: a"), (21, "PERF-EXCEPTION: benchmark/b"), (30, "PERF-EXCEPTION: see workbench/x"), (40, "not PERF-EXCEPTION: x"), (50, "PERF-EXCEPTION: c"), (52, "https://x"), (60, None)]
+    c = table(spark, "repo string, path string, line int, text string", [("r", "a", n, t) for n, t in rows])
+    assert got(facts.perf_exceptions(c), "line") == [(10,), (20,), (30,)]
