@@ -55,3 +55,18 @@ def semver_key(version: Column) -> Column:
         (pre == "").alias("is_release"),
         F.when(pre == "", F.array().cast("array<struct<is_word:boolean,num:bigint,word:string>>")).otherwise(F.transform(F.split(pre, r"\."), ident)).alias("pre"),
     )
+
+
+def plain_path(path: Column) -> Column:
+    """A path with forward slashes and without empty and `.` steps; case stays."""
+    steps = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & (x != "."))
+    return F.array_join(steps, "/")
+
+
+def glob_matches(pattern: Column, path: Column) -> Column:
+    """Whether a path matches a glob, step by step: `**` stands for any number of steps, `*` for any characters of one step,
+    `?` for one of them. A null on either side matches nothing."""
+    literal = lambda x: F.regexp_replace(x, r"([\\.+^$()\[\]{}|])", r"\\$1")
+    step = lambda x: F.when(x == "**", "(/[^/]*)*").otherwise(F.concat(F.lit("/"), F.replace(F.replace(literal(x), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]"))))
+    regex = F.concat(F.lit("^"), F.array_join(F.transform(F.split(pattern, "/"), step), ""), F.lit("$"))
+    return F.coalesce(F.regexp_like(F.concat(F.lit("/"), path), regex), F.lit(False))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import cut
-from lodestone.functions.text import ABSENCE_WORDS, SEVERITIES, claims_absence, confidence_rank, severity_rank
+from lodestone.functions.text import ABSENCE_WORDS, SEVERITIES, claims_absence, confidence_rank, glob_matches, plain_path, severity_rank
 
 FINDING = "check_id string, severity string, confidence string, project string, file string, line int, subject string, summary string, detail string, member string, positive_control string, claim string"
 #: Outcome kinds by precedence, lowest first.
@@ -64,6 +64,16 @@ def waive(findings: DataFrame, entries: DataFrame) -> DataFrame:
     return found.select(*findings.columns, F.col("_w.entry_no").alias("entry_no"), F.col("_w.reason").alias("reason"))
 
 
+def expand_globs(entries: DataFrame, findings: DataFrame) -> DataFrame:
+    """Entries for waive() with globs in `file` replaced by the files of their check's findings that they match, and other
+    paths made plain. A glob meets each different file of its check once; one that matches none goes."""
+    e = entries.withColumn("file", plain_path(F.col("file")))
+    is_glob = F.coalesce(F.col("file").rlike(r"[*?]"), F.lit(False))
+    files = findings.select(F.col("check_id").alias("_check"), F.col("file").alias("_file")).filter("_file IS NOT NULL").distinct()
+    met = e.filter(is_glob).join(files, (F.col("check") == F.col("_check")) & glob_matches(F.col("file"), F.col("_file")))
+    return e.filter(~is_glob).unionByName(met.withColumn("file", F.col("_file")).select(*entries.columns))
+
+
 def stale_entries(entries: DataFrame, findings: DataFrame, completed: DataFrame) -> DataFrame:
     """Entries of completed checks (column check_id) that match no finding. Inherited entries (member_prefix) and those of a wide
     list (source) are never stale, where the table has these columns."""

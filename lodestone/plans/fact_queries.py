@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import facts, rules
+from lodestone.operators import facts, host, rules
 
 from .oracles import ORACLES
 
@@ -192,10 +192,16 @@ def missing_locks(s, d):
     return rules.missing_locks(files).select("file")
 
 
+def glob_waivers(s, d):
+    e = s.createDataFrame([(1, "e", "./Brand#1*/**", None, None, None, "wide"), (2, "e", "Brand#2/ECONOMY/?", None, None, None, "one digit"), (3, "x", "**", None, None, None, "other")], "entry_no int, check string, file string, symbol string, lo int, hi int, reason string")
+    f = table(s, d, "part").select("p_partkey", F.lit("e").alias("check_id"), F.concat_ws("/", "p_brand", "p_type", "p_size").alias("file"), F.lit(None).cast("string").alias("subject"), F.lit(1).alias("line"))
+    return host.waive(f, host.expand_globs(e, f)).filter("reason IS NOT NULL").select("p_partkey", "reason")
+
+
 QUERIES = [
     bool_params, wide_functions, complexity, string_chains, unjustified_sites, unjustified_per_package, guards_across_awaits, late_releases, single_implementations, empty_tests, over_mocked,
     undeclared_components, drift, bare_suppressions, suppression_ratchet, waiver_ratchet, unused_dependencies, layer_violations, component_cycles, entangled_modules, advisories, unused_returns, size_outliers, unstable_edges,
-    lock_cycles, perf_exceptions, untyped_errors, missing_locks,
+    lock_cycles, perf_exceptions, untyped_errors, missing_locks, glob_waivers,
 ]
 
 _EDGES = "g AS (SELECT c_nationkey a, s_nationkey b, count(*) n FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN customer ON o_custkey=c_custkey JOIN supplier ON l_suppkey=s_suppkey GROUP BY 1,2), e AS (SELECT a,b FROM (SELECT *, percent_rank() OVER (ORDER BY n DESC, a, b) pr FROM g WHERE a<>b) WHERE pr<{share})"
@@ -230,4 +236,5 @@ SQL = {
     "perf_exceptions": "SELECT CAST(event_id AS INT) line FROM events x WHERE event_type='error' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type='purchase' AND c.event_id BETWEEN x.event_id+1 AND x.event_id+2 AND NOT EXISTS (SELECT 1 FROM events m WHERE m.event_type='error' AND m.event_id=x.event_id+1 AND c.event_id=x.event_id+2))",
     "untyped_errors": "SELECT CAST(p_partkey AS INT) line, p_name subject FROM part WHERE p_retailprice>950 AND p_size%3<2",
     "missing_locks": "SELECT 'g' || (p_partkey%40) || '/m' || p_partkey || '/Cargo.toml' file FROM part WHERE (p_size%2=0 OR p_size%3=0) AND p_partkey%40 NOT IN (SELECT p_partkey FROM part WHERE p_partkey<40 AND p_size>25)",
+    "glob_waivers": "SELECT p_partkey, CASE WHEN p_brand LIKE 'Brand#1%' THEN 'wide' ELSE 'one digit' END reason FROM part WHERE p_brand LIKE 'Brand#1%' OR (p_brand='Brand#2' AND p_type='ECONOMY' AND p_size<10)",
 }
