@@ -45,15 +45,20 @@ def outside_fixtures(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def waive(findings: DataFrame, entries: DataFrame) -> DataFrame:
     """Findings with number and reason of the first entry (by entry_no) that matches: same check and file, the symbol if the
-    entry has one, the line within [lo, hi] if it has lines. A finding without a file matches none. Entries are gathered
-    per (check, file) and meet a finding once; files with over ENTRIES of them meet them by a join."""
-    e = entries.select(F.col("check").alias("_check"), F.col("file").alias("_file"), F.struct("entry_no", "reason", "symbol", "lo", "hi").alias("_e"))
+    entry has one, the line within [lo, hi] if it has lines; where entries have a column crate_scope, those that fill it match the
+    member of that name, or findings without a member of the project of that name. A finding without a file matches none. Entries
+    are gathered per (check, file) and meet a finding once; files with over ENTRIES of them meet them by a join."""
+    scope = ["crate_scope"] if "crate_scope" in entries.columns else []
+    e = entries.select(F.col("check").alias("_check"), F.col("file").alias("_file"), F.struct("entry_no", "reason", "symbol", "lo", "hi", *scope).alias("_e"))
     per = e.groupBy("_check", "_file").agg(F.count(F.lit(1)).alias("_n"))
     crowded = not entries.groupBy("check", "file").count().filter(F.col("count") > ENTRIES).isEmpty()
     own = findings.withColumn("_key", F.monotonically_increasing_id())
     own = cut(own) if crowded else own  # keys must not change between two uses
     here = (F.col("check_id") == F.col("_check")) & (F.col("file") == F.col("_file"))
     fits = lambda x: (x["symbol"].isNull() | F.coalesce(x["symbol"] == F.col("subject"), F.lit(False))) & (x["lo"].isNull() | F.coalesce(F.col("line").between(x["lo"], x["hi"]), F.lit(False)))
+    if scope:
+        plain, owner = fits, F.coalesce("member", "project")
+        fits = lambda x: plain(x) & (x["crate_scope"].isNull() | F.coalesce(x["crate_scope"] == owner, F.lit(False)))
     few = e.join(per.filter(F.col("_n") <= ENTRIES).drop("_n"), ["_check", "_file"], "left_semi").groupBy("_check", "_file").agg(F.sort_array(F.collect_list("_e")).alias("_all"))
     met = own.join(few, here, "left").withColumn("_w", F.get(F.filter("_all", fits), F.lit(0))).drop("_check", "_file", "_all")
     found = met

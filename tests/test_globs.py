@@ -21,3 +21,10 @@ def test_waive_by_globs(spark):
     got = {(r.check_id, r.file, r.reason) for r in host.waive(f, host.expand_globs(e, f)).collect()}
     assert got == {("A", "src/a/b.rs", "tree"), ("A", "lib.rs", "file"), ("B", "src/a.rs", None), ("A", None, None)}
     assert host.expand_globs(e, f.limit(0)).count() == 1
+
+
+def test_waive_by_crate(spark):
+    e = spark.createDataFrame([(1, "A", "f", None, None, None, "of m", "m"), (2, "A", "f", None, None, None, "of p", "p"), (3, "A", "g", None, None, None, "any", None)], "entry_no int, check string, file string, symbol string, lo int, hi int, reason string, crate_scope string")
+    f = spark.createDataFrame([("A", "f", "m", "p"), ("A", "f", None, "p"), ("A", "f", "n", "p"), ("A", "g", None, None)], "check_id string, file string, member string, project string").selectExpr("*", "'s' AS subject", "1 AS line")
+    got = {(r.file, r.member, r.reason) for r in host.waive(f, e).collect()}
+    assert got == {("f", "m", "of m"), ("f", None, "of p"), ("f", "n", None), ("g", None, "any")}
