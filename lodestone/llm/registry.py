@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, html, mixing, periodic, quality, simhash, toxicity, warc, wavelet
+from . import bpe, chat, fingerprint, html, mixing, periodic, quality, repair, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.query,
         "op9_soft_mixing": mixing.query,
         "op10_preference_chat": chat.query,
+        "op11_structure_repair": repair.query,
         "op13_periodic_runs": periodic.query,
     }
 
