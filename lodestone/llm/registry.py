@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fingerprint, html, mixing, periodic, quality, repair, simhash, toxicity, warc, wavelet
+from . import bpe, chat, fingerprint, html, mixing, periodic, quality, repair, rulefit, simhash, toxicity, warc, wavelet
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_soft_mixing": mixing.query,
         "op10_preference_chat": chat.query,
         "op11_structure_repair": repair.query,
+        "op12_rule_ensemble": rulefit.query,
         "op13_periodic_runs": periodic.query,
     }
 
