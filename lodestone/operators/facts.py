@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import semver_key
-from lodestone.operators.graph import instability, strong_components
+from lodestone.operators.graph import cut, dissolving_edges, instability, strong_components
 from lodestone.operators.rules import finding
 
 COL = F.col
@@ -40,6 +40,11 @@ def _text(*parts) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
 
+def _in(name: str) -> Column:
+    """Subject of a site in a function: path:function:name."""
+    return F.concat_ws(":", "path", "fn", name)
+
+
 # Signatures: params (repo, path, line, fn, name, type); line is that of the function.
 
 
@@ -67,7 +72,7 @@ def float_money(names: DataFrame) -> DataFrame:
     forms = F.concat(words, F.transform(words, lambda w: F.regexp_replace(w, "s$", "")))
     named = lambda known: F.arrays_overlap(forms, F.array(*map(F.lit, known)))
     bad = names.filter(named(MONEY) & ~named(NOT_MONEY) & COL("type").rlike(r"(?<![\w:])f(32|64)\b"))
-    return finding(bad, "TYP-005", "medium", "medium", COL("path"), COL("line"), COL("name"), _text(COL("name"), " is money in ", COL("type")))
+    return finding(bad, "TYP-005", "medium", "low", COL("path"), COL("line"), _text(COL("path"), ":", COL("name")), _text(COL("name"), " is money in ", COL("type")))
 
 
 def complexity(increments: DataFrame) -> DataFrame:
@@ -79,14 +84,14 @@ def complexity(increments: DataFrame) -> DataFrame:
 def string_chains(literals: DataFrame, least: int = MIN_LITERALS) -> DataFrame:
     """TYP-002: literals (repo, path, line, literal) of the arms of a match or if-chain, whose line names it."""
     per = literals.groupBy("repo", "path", "line").agg(F.countDistinct("literal").alias("n")).filter(COL("n") >= least)
-    return finding(per, "TYP-002", "low", "medium", COL("path"), COL("line"), COL("path"), _text("branches on string literals: ", COL("n")))
+    return finding(per, "TYP-002", "low", "medium", COL("path"), COL("line"), _text(COL("path"), ":", COL("line")), _text("branches on string literals: ", COL("n")))
 
 
 def missing_sections(fns: DataFrame) -> DataFrame:
     """COR-001: fns (repo, path, line, fn, required, present; both arrays of section names) that lack a required section."""
     lacks = F.array_except("required", F.coalesce("present", F.array().cast("array<string>")))
     bad = fns.withColumn("_lacks", F.sort_array(lacks)).filter(F.size("_lacks") > 0)
-    return finding(bad, "COR-001", "low", "medium", COL("path"), COL("line"), COL("fn"), _text("undocumented: ", F.array_join("_lacks", ", ")))
+    return finding(bad, "COR-001", "low", "medium", COL("path"), COL("line"), F.concat_ws(":", "path", "fn", "line"), _text("undocumented: ", F.array_join("_lacks", ", ")))
 
 
 # Statements.
@@ -99,15 +104,29 @@ def unjustified(sites: DataFrame, comments: DataFrame, above: int = 3) -> DataFr
     return sites.join(excused, ["repo", "path", "line"], "left_anti").select(*sites.columns)
 
 
-def unjustified_sites(sites: DataFrame, comments: DataFrame, check: str, severity: str, confidence: str, above: int = 3) -> DataFrame:
-    """CON-005, ERR-001, ERR-011, EFX-007 (above = 1): sites (repo, path, line, subject) that no comment explains."""
-    return finding(unjustified(sites, comments, above), check, severity, confidence, COL("path"), COL("line"), COL("subject"), "no comment gives a reason")
+#: Fixed values by check: severity, confidence, lines above a site whose comments count, and what names it.
+SITES = {
+    "CON-005": ("medium", "medium", 3, "path:fn:subject"), "ERR-001": ("medium", "medium", 3, "repo"), "ERR-011": ("medium", "medium", 3, "path:fn:subject"),
+    "EFX-007": ("low", "medium", 1, "path:subject"),
+}
+
+
+def unjustified_sites(sites: DataFrame, comments: DataFrame, check: str) -> DataFrame:
+    """CON-005, ERR-001, ERR-011, EFX-007: sites (repo, path, line, fn, subject) that no comment explains."""
+    severity, confidence, above, named = SITES[check]
+    subject = F.concat_ws(":", *named.split(":"))
+    return finding(unjustified(sites, comments, above), check, severity, confidence, COL("path"), COL("line"), subject, "no comment gives a reason")
+
 
+#: Fixed values by check: severity, confidence, key and subject.
+PER = {"CON-010": ("low", "low", "package", "package"), "TYP-006": ("medium", "high", "path", "repo")}
 
-def unjustified_per(sites: DataFrame, comments: DataFrame, check: str, severity: str, confidence: str, key: str) -> DataFrame:
-    """CON-010 (key package), TYP-006 (key path): one finding per key with the number of such sites, at the first."""
+
+def unjustified_per(sites: DataFrame, comments: DataFrame, check: str) -> DataFrame:
+    """CON-010 (per package), TYP-006 (per file): one finding per key with the number of such sites, at the first."""
+    severity, confidence, key, subject = PER[check]
     per = unjustified(sites, comments).groupBy("repo", key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line")).alias("first"))
-    return finding(per, check, severity, confidence, COL("first.path"), COL("first.line"), COL(key), _text("sites without a reason: ", COL("n")))
+    return finding(per, check, severity, confidence, COL("first.path"), COL("first.line"), COL(subject), _text("sites without a reason: ", COL("n")))
 
 
 def guards_across_awaits(guards: DataFrame, awaits: DataFrame) -> DataFrame:
@@ -118,27 +137,27 @@ def guards_across_awaits(guards: DataFrame, awaits: DataFrame) -> DataFrame:
     later = Window.partitionBy("repo", "path", "fn").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
     met = g.unionByName(a, allowMissingColumns=True).withColumn("next", F.min(F.when(~COL("is_guard"), COL("at"))).over(later))
     bad = met.filter(COL("is_guard") & (COL("next") <= COL("stop")))
-    return finding(bad, "CON-002", "medium", "high", COL("path"), COL("line"), COL("fn"), _text("held across an await: ", COL("guard")))
+    return finding(bad, "CON-002", "medium", "medium", COL("path"), COL("line"), _in("guard"), _text("held across an await: ", COL("guard")))
 
 
 def late_releases(stmts: DataFrame) -> DataFrame:
-    """ERR-007: stmts (repo, path, block, seq, line, kind, name) of kinds bind, exit and release: a release with an exit between
+    """ERR-007: stmts (repo, path, fn, block, seq, line, kind, name) of kinds bind, exit and release: a release with an exit between
     it and the last binding of its name before it, in one block."""
     block = Window.partitionBy("repo", "path", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     same = Window.partitionBy("repo", "path", "block", "name").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     w = stmts.withColumn("_exit", F.max(F.when(COL("kind") == "exit", COL("seq"))).over(block))
     w = w.withColumn("_bind", F.max(F.when(COL("kind") == "bind", COL("seq"))).over(same))
     bad = w.filter((COL("kind") == "release") & (COL("_exit") > COL("_bind")))
-    return finding(bad, "ERR-007", "medium", "medium", COL("path"), COL("line"), COL("name"), _text("released after an early exit: ", COL("name")))
+    return finding(bad, "ERR-007", "medium", "low", COL("path"), COL("line"), _in("name"), _text("released after an early exit: ", COL("name")))
 
 
 def absorbing_arms(arms: DataFrame, variants: DataFrame) -> DataFrame:
-    """EXT-001: catch-all arms (repo, path, line, enum, listed array) that absorb a variant (repo, path, enum, variant) which they
+    """EXT-001: catch-all arms (repo, path, line, fn, enum, listed array) that absorb a variant (repo, path, enum, variant) which they
     don't list, outside the file that defines the enum. Enums of equal name in two files aren't judged."""
     known = variants.groupBy("repo", "enum").agg(F.collect_set("variant").alias("_all"), F.min("path").alias("_home"), F.countDistinct("path").alias("_n")).filter("_n = 1")
     left = F.sort_array(F.array_except("_all", F.coalesce("listed", F.array().cast("array<string>"))))
     bad = arms.join(known, ["repo", "enum"]).filter(COL("path") != COL("_home")).withColumn("_left", left).filter(F.size("_left") > 0)
-    return finding(bad, "EXT-001", "medium", "high", COL("path"), COL("line"), COL("enum"), _text("absorbs ", F.array_join("_left", ", ")))
+    return finding(bad, "EXT-001", "medium", "medium", COL("path"), COL("line"), _in("enum"), _text("absorbs ", F.array_join("_left", ", ")))
 
 
 def stubbed_traits(traits: DataFrame, impls: DataFrame) -> DataFrame:
@@ -147,7 +166,7 @@ def stubbed_traits(traits: DataFrame, impls: DataFrame) -> DataFrame:
     most = impls.filter(COL("stubs") >= MIN_STUBS).groupBy("repo", "trait").agg(F.max("stubs").alias("_most"), F.count(F.lit(1)).alias("_n"))
     one = traits.groupBy("repo", "trait").agg(F.count(F.lit(1)).alias("_c"), F.first("path").alias("path"), F.first("line").alias("line"), F.first("methods").alias("methods")).filter(f"_c = 1 AND methods >= {MIN_METHODS}")
     bad = one.join(most, ["repo", "trait"])
-    return finding(bad, "EXT-004", "low", "low", COL("path"), COL("line"), COL("trait"), _text(COL("_most"), " of ", COL("methods"), " methods are stubs; implementers: ", COL("_n")))
+    return finding(bad, "EXT-004", "low", "low", COL("path"), COL("line"), F.concat_ws(":", "path", "trait"), _text(COL("_most"), " of ", COL("methods"), " methods are stubs; implementers: ", COL("_n")))
 
 
 def single_implementations(traits: DataFrame, impls: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -160,9 +179,9 @@ def single_implementations(traits: DataFrame, impls: DataFrame, mentions: DataFr
 
 
 def print_macros(macros: DataFrame, libraries: DataFrame) -> DataFrame:
-    """OPS-003: print macros (repo, package, path, line, name) in a library package (repo, package)."""
+    """OPS-003: print macros (repo, package, path, line, fn, name) in a library package (repo, package)."""
     bad = macros.filter(COL("name").isin(*PRINT_MACROS)).join(libraries, ["repo", "package"], "left_semi")
-    return finding(bad, "OPS-003", "low", "high", COL("path"), COL("line"), COL("package"), _text(COL("name"), "! in a library"))
+    return finding(bad, "OPS-003", "low", "high", COL("path"), COL("line"), _in("name"), _text(COL("name"), "! in a library"))
 
 
 def unsafe_inventory(sites: DataFrame) -> DataFrame:
@@ -184,7 +203,7 @@ def empty_tests(tests: DataFrame) -> DataFrame:
     """TST-003: tests without statements, whose assertions are all tautologies, or that call nothing."""
     why = F.when(COL("n_stmts") == 0, "it is empty").when((COL("n_asserts") > 0) & (COL("n_tautologies") == COL("n_asserts")), "its assertions always hold").when(COL("n_calls") == 0, "it calls nothing")
     bad = tests.withColumn("_why", why).filter("_why IS NOT NULL")
-    return finding(bad, "TST-003", "medium", "medium", COL("path"), COL("line"), COL("test"), COL("_why"))
+    return finding(bad, "TST-003", "medium", F.when(COL("_why") == "it calls nothing", "medium").otherwise("high"), COL("path"), COL("line"), COL("test"), COL("_why"))
 
 
 def over_mocked(tests: DataFrame) -> DataFrame:
@@ -203,7 +222,9 @@ def undeclared_components(components: DataFrame) -> DataFrame:
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     some = components.filter(has("purpose") | has("owner")).select("repo").distinct()
     bad = components.filter(~(has("purpose") & has("owner"))).join(some, "repo", "left_semi")
-    return finding(bad, "DOC-003", "low", "high", COL("path"), None, COL("component"), F.when(has("purpose"), "no owner").when(has("owner"), "no purpose").otherwise("neither purpose nor owner"))
+    lacks = F.concat_ws("+", F.when(~has("purpose"), "purpose"), F.when(~has("owner"), "owner"))
+    read = _text("the declaration of ", COL("component"), " was read for both keys")
+    return finding(bad, "DOC-003", "low", "high", COL("path"), None, F.concat_ws(": ", "path", "component", lacks), _text("no ", F.replace(lacks, F.lit("+"), F.lit(" and no "))), read=read)
 
 
 def drift(base: DataFrame, head: DataFrame, percent: int = GROWN_PERCENT, items: int = GROWN_ITEMS) -> DataFrame:
@@ -212,9 +233,10 @@ def drift(base: DataFrame, head: DataFrame, percent: int = GROWN_PERCENT, items:
     b = base.select("repo", "member", COL("cycles").alias("_c"), COL("surface").alias("_s"))
     j = head.join(b, ["repo", "member"])
     grew = COL("surface") - COL("_s")
-    kind = lambda hit, severity, what, old, new: F.when(hit, F.struct(F.lit(severity).alias("severity"), _text(what, COL(old), " to ", COL(new)).alias("summary")))
-    kinds = F.array(kind(COL("cycles") > COL("_c"), "low", "cycles: ", "_c", "cycles"), kind((grew >= items) & (grew * 100 > COL("_s") * percent), "info", "surface: ", "_s", "surface"))
-    return finding(j.withColumn("_k", F.explode(F.array_compact(kinds))), "ARC-009", COL("_k.severity"), "low", None, None, COL("member"), COL("_k.summary"))
+    kind = lambda hit, severity, what, old, new: F.when(hit, F.struct(F.lit(severity).alias("severity"), F.lit(what).alias("what"), _text(what, ": ", COL(old), " to ", COL(new)).alias("summary")))
+    kinds = F.array(kind(COL("cycles") > COL("_c"), "low", "cycles", "_c", "cycles"), kind((grew >= items) & (grew * 100 > COL("_s") * percent), "info", "surface", "_s", "surface"))
+    read = _text("both revisions were read; the surface was ", COL("_s"), " and is ", COL("surface"))
+    return finding(j.withColumn("_k", F.explode(F.array_compact(kinds))), "ARC-009", COL("_k.severity"), "low", None, None, F.concat_ws(":", "member", "_k.what"), COL("_k.summary"), read=read)
 
 
 def bare_suppressions(attrs: DataFrame) -> DataFrame:
@@ -230,15 +252,17 @@ def suppression_ratchet(base: DataFrame, head: DataFrame) -> DataFrame:
     rows = lambda df, k: df.filter(bare).select("repo", "path", F.lit(k).alias("k"))
     per = rows(base, -1).unionByName(rows(head, 1)).groupBy("repo", "path").agg(F.count_if(COL("k") < 0).alias("b"), F.count_if(COL("k") > 0).alias("h"))
     total = per.groupBy("repo").agg(F.sum("b").alias("b"), F.sum("h").alias("h"), F.min(F.when(COL("h") > COL("b"), COL("path"))).alias("first")).filter("h > b")
-    return finding(total, "GOV-010", "medium", "high", COL("first"), None, COL("repo"), _text("suppressions without a reason: ", COL("b"), " to ", COL("h")))
+    return finding(total, "GOV-010", "medium", "high", COL("first"), None, "suppression-count", _text("suppressions without a reason: ", COL("b"), " to ", COL("h")), read=_text("attributes at both revisions were read; the totals are ", COL("b"), " and ", COL("h")))
 
 
 def waiver_ratchet(base: DataFrame, head: DataFrame) -> DataFrame:
     """architecture-ratchet: repositories with more waivers (repo, path, line) at head than at base, at the first surplus one."""
-    n = base.groupBy("repo").agg(F.count(F.lit(1)).alias("_n"))
+    per = lambda df, n: df.groupBy("repo").agg(F.count(F.lit(1)).alias(n))
+    grown = per(head, "_h").join(per(base, "_n"), "repo", "left").withColumn("_n", F.coalesce("_n", F.lit(0))).filter(COL("_h") > COL("_n"))
     at = F.row_number().over(Window.partitionBy("repo").orderBy("path", "line"))
-    bad = head.withColumn("_at", at).join(n, "repo", "left").filter(COL("_at") == F.coalesce("_n", F.lit(0)) + 1)
-    return finding(bad, "architecture-ratchet", "medium", "high", COL("path"), COL("line"), COL("repo"), _text("more waivers than the base's ", F.coalesce("_n", F.lit(0))))
+    bad = head.join(grown, "repo").withColumn("_at", at).filter(COL("_at") == COL("_n") + 1)
+    read = _text("the declarations at both revisions were read: ", COL("_h"), " waivers now and ", COL("_n"), " before")
+    return finding(bad, "architecture-ratchet", "medium", "high", COL("path"), COL("line"), "architecture-waiver-count", _text("more waivers than the base's ", COL("_n")), read=read)
 
 
 def unused_dependencies(deps: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -246,26 +270,28 @@ def unused_dependencies(deps: DataFrame, tokens: DataFrame) -> DataFrame:
     dashes count as underscores and case doesn't."""
     said = tokens.select("repo", "package", F.lower("token").alias("_ident")).distinct()
     bad = deps.withColumn("_ident", F.lower(F.replace("name", F.lit("-"), F.lit("_")))).join(said, ["repo", "package", "_ident"], "left_anti")
-    return finding(bad, "SUP-006", "low", "medium", COL("path"), COL("line"), COL("name"), _text("declared and never named: ", COL("name")))
+    return finding(bad, "SUP-006", "low", "low", COL("path"), COL("line"), F.concat_ws(":", "package", "name"), _text("declared and never named: ", COL("name")))
 
 
 # Architecture: edges (repo, a, b).
 
 
 def layer_violations(edges: DataFrame, members: DataFrame, allow: DataFrame, waivers: DataFrame, today: Column | None = None) -> DataFrame:
-    """ARC-001: edges from a member (repo, member, component, layer from the bottom) to one of a higher layer, unless allowed
-    (repo, a, b) or waived (repo, a, b, until), both by names of members or components. Members without a component give an
-    info finding; edges at members without a layer aren't judged."""
+    """ARC-001: edges from a member (repo, member, component, layer from the bottom) to one of another component that isn't in
+    the same layer or a lower one, unless allowed (repo, a, b) or waived (repo, a, b, until), both by names of members or components.
+    A component in no layer may use and be used by allowed edges alone. Members without a component give an info finding, and
+    their edges aren't judged."""
     today = F.current_date() if today is None else today
     m = members.dropDuplicates(["repo", "member"])
     x, y = m.select("repo", COL("member").alias("a"), COL("component").alias("_ca"), COL("layer").alias("_la")), m.select("repo", COL("member").alias("b"), COL("component").alias("_cb"), COL("layer").alias("_lb"))
-    up = edges.select("repo", "a", "b").distinct().join(x, ["repo", "a"]).join(y, ["repo", "b"]).filter("_la < _lb")
+    up = edges.select("repo", "a", "b").distinct().join(x, ["repo", "a"]).join(y, ["repo", "b"]).filter((COL("_ca") != COL("_cb")) & F.coalesce(COL("_la") < COL("_lb"), F.lit(True)))
     granted = allow.select("repo", COL("a").alias("_x"), COL("b").alias("_y")).unionByName(waivers.filter(COL("until") >= today).select("repo", COL("a").alias("_x"), COL("b").alias("_y"))).distinct()
     # an edge stands under at most four pairs of names
     named = up.select("repo", "a", "b", F.explode(F.array_compact(F.array("a", "_ca"))).alias("_x"), "_cb").select("repo", "a", "b", "_x", F.explode(F.array_compact(F.array("b", "_cb"))).alias("_y"))
     bad = up.join(named.join(granted, ["repo", "_x", "_y"], "left_semi").select("repo", "a", "b").distinct(), ["repo", "a", "b"], "left_anti")
-    found = finding(bad, "ARC-001", "low", "high", None, None, _text(COL("a"), " -> ", COL("b")), _text("layer ", COL("_la"), " depends on layer ", COL("_lb")))
-    return found.unionByName(finding(m.filter("component IS NULL"), "ARC-001", "info", "high", None, None, COL("member"), "in no component"))
+    why = F.when(COL("_la").isNull(), _text(COL("_ca"), " is outside the layers")).when(COL("_lb").isNull(), _text(COL("_cb"), " is outside the layers")).otherwise(_text("layer ", COL("_la"), " depends on layer ", COL("_lb")))
+    found = finding(bad, "ARC-001", "low", "high", None, None, _text(COL("a"), "->", COL("b")), why)
+    return found.unionByName(finding(m.filter("component IS NULL"), "ARC-001", "info", "high", None, None, _text("unplaced:", COL("member")), "placed outside the declaration"))
 
 
 def _named(edges: DataFrame) -> DataFrame:
@@ -273,19 +299,34 @@ def _named(edges: DataFrame) -> DataFrame:
     return edges.filter("repo IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select(name("a").alias("a"), name("b").alias("b"))
 
 
-def component_cycles(edges: DataFrame) -> DataFrame:
-    """ARC-002: strong components of two members or more, one finding each, named by the smallest member."""
+def _cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components of two members or more: repo, component, n, names; all edges by name; (v, component))."""
     part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
-    per = strong_components(_named(edges)).groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("repo", part("component", 0))
-    return finding(per, "ARC-002", "medium", "medium", None, None, part("component", 1), _text("a cycle of ", COL("n"), " components"))
+    named = _named(edges).filter("a <> b").distinct()
+    scc = cut(strong_components(named))
+    # the names of one component are the finding's own text
+    per = scc.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(part("v", 1))).alias("names")).filter("n > 1").withColumn("repo", part("component", 0))
+    return per, named, scc
+
+
+def component_cycles(edges: DataFrame, modular: bool = False) -> DataFrame:
+    """ARC-002: strong components of two members or more, one finding each, with the edges whose removal dissolves it: each alone
+    where one is enough, else all of a depth-first set. `modular`: the edges come from module references, a lower bound."""
+    part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
+    per, named, scc = _cycles(edges)
+    gone = dissolving_edges(named, scc)
+    arrow = F.concat(part("a", 1), F.lit(" -> "), part("b", 1))
+    gone = gone.groupBy(COL("component").alias("_c")).agg(F.array_join(F.sort_array(F.collect_list(arrow)), ", ").alias("_gone"), F.bool_and("single").alias("_single"))
+    told = per.join(gone, COL("component") == COL("_c"), "left")
+    detail = _text(F.when(COL("_single"), "removing any one of these edges dissolves it: ").otherwise("removing all of these edges dissolves it, but no single one: "), COL("_gone"))
+    return finding(told, "ARC-002", "medium", "medium" if modular else "high", None, None, F.array_join("names", ","), _text("a cycle of ", COL("n"), " components"), detail=detail)
 
 
 def module_cycles(edges: DataFrame) -> DataFrame:
     """MOD-002: strong components of two modules or more: low where several top-level modules take part, else info."""
-    part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
-    scc = strong_components(_named(edges)).withColumn("top", F.get(F.split(part("v", 1), "::"), F.lit(0)))
-    per = scc.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("top").alias("tops")).filter("n > 1").withColumn("repo", part("component", 0))
-    return finding(per, "MOD-002", F.when(COL("tops") > 1, "low").otherwise("info"), "medium", None, None, part("component", 1), _text("a cycle of ", COL("n"), " modules"))
+    per, _, _ = _cycles(edges)
+    tops = F.size(F.array_distinct(F.transform("names", lambda v: F.get(F.split(v, "::"), F.lit(0)))))
+    return finding(per, "MOD-002", F.when(tops > 1, "low").otherwise("info"), "medium", None, None, F.array_join("names", ","), _text("a cycle of ", COL("n"), " modules"))
 
 
 def entangled_modules(edges: DataFrame, files: DataFrame, touched: DataFrame, max_files: int = 25, least: int = 3, share: int = 60) -> DataFrame:
@@ -373,7 +414,7 @@ def unstable_edges(edges: DataFrame, volatile: DataFrame, margin: float = 0.3) -
     bad = gap.join(p, COL("a") == COL("pv"), "left").join(q, COL("b") == COL("qv"), "left").filter("pc IS NULL OR qc IS NULL OR pc <> qc")
     part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
     bad = bad.withColumn("repo", part("a", 0))
-    return finding(bad, "ARC-005", "info", "low", None, None, _text(part("a", 1), " -> ", part("b", 1)), "depends on a less stable component")
+    return finding(bad, "ARC-005", "info", "low", None, None, _text(part("a", 1), "->", part("b", 1)), "depends on a less stable component")
 
 
 def lock_cycles(guards: DataFrame) -> DataFrame:
@@ -385,8 +426,8 @@ def lock_cycles(guards: DataFrame) -> DataFrame:
     met = g.join(later, ["repo", "package", "path", "fn"]).filter((COL("at") > COL("start")) & (COL("at") < COL("stop"))).select(F.concat_ws("\x01", "repo", "package").alias("repo"), COL("lock").alias("a"), COL("taken").alias("b")).distinct()
     part = lambda c, k: F.get(F.split(c, "\x01"), F.lit(k))
     again = met.filter((COL("a") == COL("b")) & ~COL("a").endswith("[]")).select(part("repo", 0).alias("repo"), COL("a").alias("_s"), F.lit("taken again while held").alias("_w"))
-    per = strong_components(_named(met.filter("a <> b"))).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    cycles = per.select(part("component", 0).alias("repo"), part("component", 2).alias("_s"), _text("a cycle of ", COL("n"), " locks").alias("_w"))
+    per = strong_components(_named(met.filter("a <> b"))).groupBy("component").agg(F.sort_array(F.collect_list(part("v", 2))).alias("locks"))
+    cycles = per.select(part("component", 0).alias("repo"), F.array_join("locks", " <-> ").alias("_s"), _text("a cycle of ", F.size("locks"), " locks").alias("_w"))
     return finding(cycles.unionByName(again), "CON-006", "high", "low", None, None, COL("_s"), COL("_w"))
 
 
@@ -394,29 +435,30 @@ def bare_deprecations(attrs: DataFrame) -> DataFrame:
     """API-004: deprecations (repo, path, line, item, is_pub, since, note) of public items that lack one of the two."""
     has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
     bad = attrs.filter(COL("is_pub") & ~(has("since") & has("note")))
-    return finding(bad, "API-004", "low", "medium", COL("path"), COL("line"), COL("item"), F.when(has("since"), "no note").when(has("note"), "no since").otherwise("neither since nor note"))
+    return finding(bad, "API-004", "low", "medium", COL("path"), COL("line"), F.concat_ws(":", "path", "item", "line"), F.when(has("since"), "no note").when(has("note"), "no since").otherwise("neither since nor note"))
 
 
 def open_enums(enums: DataFrame) -> DataFrame:
     """API-009: public enums (repo, path, line, enum, is_pub, non_exhaustive, variants, doc) with variants that may not grow and that
     no word of their documentation closes."""
     bad = enums.filter(COL("is_pub") & ~COL("non_exhaustive") & (COL("variants") > 0) & ~F.coalesce(COL("doc").rlike(CLOSED), F.lit(False)))
-    return finding(bad, "API-009", "low", "medium", COL("path"), COL("line"), COL("enum"), "can't grow without breaking callers")
+    return finding(bad, "API-009", "low", "medium", COL("path"), COL("line"), F.concat_ws(":", "path", "enum", "line"), "can't grow without breaking callers")
 
 
 def untyped_errors(fns: DataFrame) -> DataFrame:
     """ERR-004: public functions (repo, path, line, fn, is_pub, ret) that fail with a text or a boxed or dynamic error."""
     bad = fns.filter(COL("is_pub") & F.regexp_replace("ret", r"\s+", "").rlike(UNTYPED))
-    return finding(bad, "ERR-004", "medium", "medium", COL("path"), COL("line"), COL("fn"), _text("fails with an untyped error: ", COL("ret")))
+    return finding(bad, "ERR-004", "medium", "medium", COL("path"), COL("line"), F.concat_ws(":", "path", "fn", "line"), _text("fails with an untyped error: ", COL("ret")))
 
 
 def perf_exceptions(comments: DataFrame) -> DataFrame:
     """PRF-006: comments (repo, path, line, text) that excuse slow code and link no benchmark, neither themselves nor in comments of
-    the next two lines up to the next such excuse."""
+    the next two lines up to the next such excuse: one finding per file, at the first."""
     w = Window.partitionBy("repo", "path").orderBy("line")
     near = lambda k: F.when(F.lead("line", k).over(w) <= COL("line") + 2, F.lead("text", k).over(w))
     c = comments.withColumn("_1", near(1)).withColumn("_2", near(2))
     free = lambda t: F.coalesce(~COL(t).rlike(EXCEPTION), F.lit(False))
     says = lambda t: F.coalesce(COL(t).rlike(BENCHMARK), F.lit(False))
     bad = c.filter(COL("text").rlike(EXCEPTION) & ~(says("text") | (free("_1") & (says("_1") | (free("_2") & says("_2"))))))
-    return finding(bad, "PRF-006", "info", "low", COL("path"), COL("line"), COL("path"), "an excuse for slow code without a benchmark")
+    per = bad.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+    return finding(per, "PRF-006", "info", "low", COL("path"), COL("line"), COL("path"), _text("excuses for slow code without a benchmark: ", COL("n")))

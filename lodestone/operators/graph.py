@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -96,6 +97,98 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return cyclic.unionByName(alone.join(cyclic.select(F.col("v").alias("_v")), F.col("v") == F.col("_v"), "left_anti"))
 
 
+#: Edges of a component up to which it is walked depth-first, in one task.
+WALKED = 1_000_000
+
+
+def _short_cycles(edges: DataFrame) -> DataFrame:
+    """(c, v, at, k): a cycle through the smallest vertex of each component c (its name), by vertices at 0 to k - 1. Edges (c, a, b) lie
+    within components. Breadth-first from all components' first vertices at once, then back along the parents."""
+    seen = cut(edges.select("c", F.col("c").alias("v"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("at")).distinct())
+    front, closed, depth = seen, None, 0
+    while not front.isEmpty():
+        step = cut(front.select("c", "v").join(edges.withColumnRenamed("c", "_c"), (F.col("c") == F.col("_c")) & (F.col("v") == F.col("a"))).select("c", "a", "b"))
+        # the edge back to the first vertex closes the cycle; that component is done
+        back = step.filter("b = c").groupBy("c").agg(F.min("a").alias("v")).withColumn("k", F.lit(depth + 1))
+        closed = cut(back if closed is None else closed.unionByName(back))
+        new = step.join(closed.select("c"), "c", "left_anti").groupBy("c", "b").agg(F.min("a").alias("parent")).withColumnRenamed("b", "v")
+        depth += 1
+        front = cut(new.join(seen.select("c", "v"), ["c", "v"], "left_anti").withColumn("at", F.lit(depth)).select(*seen.columns))
+        seen = cut(seen.unionByName(front))
+    if closed is None:
+        return seen.select("c", "v", "at", F.lit(0).alias("k"))
+    found = cut(closed.withColumn("at", F.col("k") - 1).select("c", "v", "at", "k"))
+    ends = found
+    while not ends.isEmpty():
+        ends = cut(ends.join(seen.drop("at"), ["c", "v"]).filter("parent IS NOT NULL").select("c", F.col("parent").alias("v"), (F.col("at") - 1).alias("at"), "k"))
+        found = found.unionByName(ends)
+    return cut(found)
+
+
+def dissolving_edges(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+    """(component, a, b, single): edges whose removal leaves a strong component without a cycle. Where one is enough, all such, each
+    `single`; else the edges that a depth-first walk in name order finds leading back, which dissolve it together.
+
+    An edge that is in every cycle is in any one: a short cycle is taken per component. If the other edges hold a cycle of their
+    own, no edge is enough. Else each path of other edges from one place of the cycle to another, and whatever it passes, avoids the
+    edges of the arc between them, and those that no such arc covers are the answer. How far arcs reach is a least or greatest place
+    carried along the other edges, so the work is linear a round, without removal tests or pairs.
+
+    Components of over WALKED edges aren't walked: theirs are all edges against the order of names. `components`: (v, component) of
+    strong_components(edges), where it is known."""
+    plain = edges.select("a", "b").filter("a <> b").distinct()
+    scc = strong_components(plain) if components is None else components
+    x, y = scc.toDF("_x", "c"), scc.toDF("_y", "_d")
+    inner = cut(plain.join(x, F.col("a") == F.col("_x")).join(y, F.col("b") == F.col("_y")).filter("c = _d").select("c", "a", "b"))
+    ring = _short_cycles(inner)
+    nxt = ring.select(F.col("c").alias("_c"), F.col("v").alias("_v"), F.col("at").alias("_at"))
+    on = cut(ring.join(nxt, (F.col("c") == F.col("_c")) & (F.col("_at") == (F.col("at") + 1) % F.col("k"))).select("c", F.col("v").alias("a"), F.col("_v").alias("b"), "at", "k"))
+    rest = cut(inner.join(on, ["c", "a", "b"], "left_anti"))
+    wound = _trimmed(rest).select("c").distinct()  # components whose other edges hold a cycle
+    bound, free = rest.join(wound, "c", "left_anti"), cut(on.join(wound, "c", "left_anti"))
+    # least and greatest place that a vertex reaches, and the greatest that reaches it: three graphs carried at once
+    three = lambda low, high, source: F.explode(F.array(*[F.struct(F.concat(F.lit(k), a).alias("a"), F.concat(F.lit(k), b).alias("b")) for k, (a, b) in zip("lhs", (low, high, source))]))
+    ends, turned = (F.col("a"), F.col("b")), (F.col("b"), F.col("a"))
+    ways = cut(bound.select(three(turned, turned, ends).alias("e")).select("e.*"))
+    starts = free.select(F.explode(F.array(*[F.struct(F.concat(F.lit(k), "a").alias("v"), (sign * F.col("at")).alias("c")) for k, sign in zip("lhs", (1, -1, -1))])).alias("s")).select("s.*")
+    carried = _lowest(ways, starts)
+    of = lambda k, name, sign: carried.filter(F.col("v").startswith(k)).select(F.substring("v", 2, 1 << 30).alias(f"_{name}"), (sign * F.col("c")).alias(name))
+    met = free.join(of("l", "low", 1), F.col("a") == F.col("_low")).join(of("h", "high", -1), F.col("a") == F.col("_high")).join(of("s", "source", -1), F.col("a") == F.col("_source"))
+    arcs = met.groupBy(F.col("c").alias("_c")).agg(F.min(F.when(F.col("low") < F.col("at"), F.col("at"))).alias("suffix"), F.max(F.when(F.col("source") > F.col("at"), F.col("at"))).alias("prefix"))
+    far = F.max("high").over(Window.partitionBy("c").orderBy("at"))
+    open_ = met.withColumn("far", far).join(arcs, F.col("c") == F.col("_c"))
+    covered = (F.col("far") > F.col("at")) | F.coalesce(F.col("at") >= F.col("suffix"), F.lit(False)) | F.coalesce(F.col("at") < F.col("prefix"), F.lit(False))
+    single = cut(open_.filter(~covered).select(F.col("c").alias("component"), "a", "b", F.lit(True).alias("single")))
+    others = inner.withColumnRenamed("c", "component").join(single.select("component").distinct(), "component", "left_anti")
+    size = others.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    walked = others.join(size.filter(F.col("_n") <= WALKED).select("component"), "component", "left_semi")
+    huge = others.join(size.filter(F.col("_n") > WALKED).select("component"), "component", "left_semi").filter("a > b")
+    back = walked.groupBy("component").applyInPandas(_leading_back, "component string, a string, b string").unionByName(huge)
+    return single.unionByName(back.withColumn("single", F.lit(False)))
+
+
+def _leading_back(edges: pd.DataFrame) -> pd.DataFrame:
+    """The edges of one component that a depth-first walk in name order finds leading to a vertex it is still below."""
+    out = {a: sorted(g) for a, g in edges.groupby("a")["b"]}
+    below, left, found = set(), set(), []
+    for root in sorted(out):
+        trail = [] if root in left else [(root, iter(out[root]))]
+        below.update(v for v, _ in trail)
+        while trail:
+            v, ways = trail[-1]
+            w = next(ways, None)
+            if w is None:
+                trail.pop()
+                below.discard(v)
+                left.add(v)
+            elif w in below:
+                found.append((v, w))
+            elif w not in left:
+                below.add(w)
+                trail.append((w, iter(out.get(w, []))))
+    return pd.DataFrame({"component": edges["component"].iloc[0], "a": [a for a, _ in found], "b": [b for _, b in found]})
+
+
 def instability(edges: DataFrame) -> DataFrame:
     """(k, v): outgoing over all edges of each vertex; edges are distinct and without self-loops."""
     ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("ce"), F.lit(0).alias("ca")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("ce"), F.lit(1).alias("ca")))
