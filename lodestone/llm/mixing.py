@@ -5,13 +5,14 @@ A naive Bayes classifier over hashed words and word endings, counted from labell
 tokens (words). Projected-gradient least squares then fits one rate per document, not negative and at most `max_rate`, so
 that the expected token totals of the domains come near `total` x target weight:
 
-    minimise over r:  e' W e,  e_k = sum_d r_d t_d p_dk - T_k,  0 <= r_d <= max_rate,  W the inverse of sum_d t_d p_d p_d'
-
-(t_d: tokens, p_d: posteriors). The gradient is scaled by 1 / t_d per document, so that rates follow posteriors and not
-lengths; in this scale the step 1 is safe (no eigenvalue of the curvature is above 1) and reaches totals that need no
-projection at once. An iteration is one aggregation over the documents to one number per domain. A rate is a fold of its document's
-own numbers over the gradients so far, so no rates are stored between iterations. They end when the totals stop changing;
-if that takes more than MAX_STEPS, a warning says so. Where rates are capped, no domain is aimed at more than all its tokens at
+    minimise over r:  e' W e / EASE + sum_d t_d (r_d - 1)^2,  e_k = sum_d r_d t_d p_dk - T_k,  0 <= r_d <= max_rate,
+    W the inverse of sum_d t_d p_d p_d'
+
+(t_d: tokens, p_d: posteriors). The second term picks, of all rates that meet the totals, those nearest to 1. Gradients are summed
+up before they are projected, so a document's rate is r_d = max(0, min(max_rate, 1 - m p_d)) with one number m_k per domain, and
+documents of equal posteriors have equal rates whatever their length. A step scales the gradient by the curvature of the
+documents whose rates aren't at a bound, and tries several lengths of it in the same pass, which is one aggregation over the
+documents to a few numbers a domain. About ten passes do; if the totals aren't settled after MAX_STEPS, that is an error. Where rates are capped, no domain is aimed at more than all its tokens at
 that rate, and totals come as near as the caps allow, which `totals` reports.
 
 At most about MAX_TRAIN labelled documents, picked by a hash of the id, train the classifier (a documented bound). Of
@@ -26,9 +27,7 @@ gives an empty result; extra columns are kept, whatever their names.
 
 from __future__ import annotations
 
-import json
 import math
-import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +42,9 @@ MAX_TRAIN = 50_000
 BUCKETS, SMOOTH, LEAST_ODDS, SIGMAS = 1 << 24, 2.0, 1.2, 5.0
 #: Rows up to which the model, and the rows whose copies differ from one, are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
-MAX_STEPS, TOLERANCE = 200, 1e-6
+MAX_STEPS, TOLERANCE, EASE = 40, 1e-7, 1e-4
+#: Lengths of a step that one pass tries.
+LENGTHS = (1.0, 0.5, 0.2, 0.05, 0.01)
 #: Where rates have no cap: how much more than the tokens that are there the leading domain is aimed at.
 LEAD = 1.02
 HEAT = 2.0
@@ -169,28 +170,41 @@ def fit_rates(shares: DataFrame, targets: dict[str, float], total: float | None
     goal = [total * s if max_rate is None else min(total * s, max_rate * h) for s, h in zip(share, have)]
     cap = F.lit(float("inf") if max_rate is None else float(max_rate))
     ridge = 1e-9 * max(gram[i][i] for i in k) or 1.0
-    weighted = [[gram[i][j] + (ridge if i == j else 0.0) for j in k] for i in k]
-    # the gradients so far, one small vector per iteration
-    gradients: list[list[float]] = []
-
-    def rate() -> Column:
-        start = F.least(F.lit(1.0), cap)
-        if not gradients:
-            return start
-        moves = F.from_json(F.lit(json.dumps(gradients)), "array<array<double>>")  # folded to one literal
-        down = lambda g: sum((g[i] * F.col("_p")[i] for i in k), F.lit(0.0))
-        return F.aggregate(moves, start, lambda r, g: F.greatest(F.lit(0.0), F.least(cap, r - down(g))))
-
-    last = None
+    eased = [[EASE * gram[i][j] + (ridge if i == j else 0.0) for j in k] for i in k]
+
+    def rate(m: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), F.least(cap, 1.0 - sum((m[i] * F.col("_p")[i] for i in k), F.lit(0.0))))
+
+    def passed(tried: list[list[float]]) -> list[tuple[float, list[float], list[list[float]]]]:
+        """(value, what is left to do, curvature) of each m tried, from one pass: the value is what the best m has the least of."""
+        columns = []
+        for m in tried:
+            r, z = rate(m), 1.0 - sum((m[i] * F.col("_p")[i] for i in k), F.lit(0.0))
+            free = F.when((z >= 0.0) & (z <= cap), 1.0).otherwise(0.0)
+            columns += [F.sum(F.col("_tokens") * (r * z - r * r / 2)), *[F.sum(r * x) for x in part], *[F.sum(free * part[i] * F.col("_p")[j]) for i in k for j in k if i <= j]]
+        row, out = [x or 0.0 for x in shares.agg(*columns).first()], []
+        for m in tried:
+            value, got, upper, row = row[0], row[1 : 1 + len(k)], iter(row[1 + len(k) :]), row[1 + len(k) + len(k) * (len(k) + 1) // 2 :]
+            pull = [sum(eased[i][j] * m[j] for j in k) for i in k]
+            curve = [[0.0] * len(k) for _ in k]
+            for i in k:
+                for j in k[i:]:
+                    curve[i][j] = curve[j][i] = next(upper) + eased[i][j]
+            out.append((value + sum(m[i] * (goal[i] + pull[i] / 2) for i in k), [got[i] - goal[i] - pull[i] for i in k], curve))
+        return out
+
+    m = [0.0] * len(k)
+    value, left, curve = passed([m])[0]
     for _ in range(MAX_STEPS):
-        got = shares.select(rate().alias("_r"), "_tokens", "_p").agg(*[F.coalesce(F.sum(F.col("_r") * x), F.lit(0.0)) for x in part]).first()
-        if last is not None and max(abs(a - b) for a, b in zip(got, last)) <= TOLERANCE * max(total, 1.0):
+        if max(map(abs, left)) <= TOLERANCE * max(total, 1.0):
             break
-        last = got
-        gradients.append(_solved(weighted, [got[i] - goal[i] for i in k]))
+        step = _solved(curve, left)
+        tried = [[x + length * y for x, y in zip(m, step)] for length in LENGTHS]
+        (value, left, curve), m = min(zip(passed(tried), tried), key=lambda t: t[0][0])
     else:
-        warnings.warn(f"rates still change after {MAX_STEPS} steps: totals {list(got)}, targets {goal}", stacklevel=2)
-    return shares.withColumn("rate", rate())
+        if max(map(abs, left)) > TOLERANCE * max(total, 1.0):
+            raise ValueError(f"rates don't settle in {MAX_STEPS} steps: totals miss their goals {goal} by {left}")
+    return shares.withColumn("rate", rate(m))
 
 
 def totals(rates: DataFrame) -> DataFrame:

@@ -27,16 +27,17 @@ def frames(spark):
     return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 0, 1)], "doc_id long, quality int, toxic int")
 
 
-def brute_rates(rows, share, total, cap, steps=400):
-    """Plain projected gradient over Python lists."""
+def brute_rates(rows, share, total, cap, steps=3000):
+    """Small plain gradient steps over Python lists, summed up before they are projected."""
     k = range(len(m.DOMAINS))
     gram = [[sum(t * p[i] * p[j] for t, p in rows) for j in k] for i in k]
-    goal, rate = [min(total * s, cap * sum(t * p[i] for t, p in rows)) for i, s in enumerate(share)], [min(1.0, cap)] * len(rows)
+    goal, at = [min(total * s, cap * sum(t * p[i] for t, p in rows)) for i, s in enumerate(share)], [0.0] * len(k)
+    rates = lambda: [min(cap, max(0.0, 1.0 - sum(x * y for x, y in zip(at, p)))) for _, p in rows]
     for _ in range(steps):
-        got = [sum(r * t * p[i] for r, (t, p) in zip(rate, rows)) for i in k]
+        got = [sum(r * t * p[i] for r, (t, p) in zip(rates(), rows)) for i in k]
         g = m._solved(gram, [a - b for a, b in zip(got, goal)])
-        rate = [min(cap, max(0.0, r - sum(x * y for x, y in zip(g, p)))) for r, (_, p) in zip(rate, rows)]
-    return rate
+        at = [x + y - m.EASE * x for x, y in zip(at, g)]
+    return rates()
 
 
 @pytest.mark.parametrize("cap", [None, 1.0])
@@ -152,12 +153,39 @@ def test_constants_against_their_meaning():
     assert got == pytest.approx([900, 80, 20], rel=2e-2)
 
 
-def test_warns_where_rates_do_not_settle(spark, frames, monkeypatch):
-    monkeypatch.setattr(m, "MAX_STEPS", 1)
-    with pytest.warns(UserWarning, match="after 1 steps"):
+def test_raises_where_rates_do_not_settle(spark, frames, monkeypatch):
+    monkeypatch.setattr(m, "MAX_STEPS", 0)
+    with pytest.raises(ValueError, match="settle in 0 steps"):
         m.mix_rates(*frames, {"clean": 0.8, "junk": 0.15, "toxic": 0.05}, max_rate=1.0)
 
 
+@pytest.mark.parametrize("cap", [None, 1.0, 0.5])
+def test_few_passes_settle_random_mixes(spark, cap):
+    r = random.Random(11)
+    rows = []
+    for _ in range(300):
+        e = [r.random() ** r.choice([1, 6]) for _ in m.DOMAINS]
+        rows.append((float(r.choice([0, 5, 300, 20000])), [x / sum(e) for x in e]))
+    shares = spark.createDataFrame(rows, "_tokens double, _p array<double>").withColumn("_key", F.monotonically_increasing_id()).cache()
+    for share in ([0.97, 0.02, 0.01], [0.1, 0.1, 0.8], [1.0, 0.0, 0.0]):
+        have = [sum(t * p[i] for t, p in rows) for i in range(3)]
+        lead = max(range(3), key=lambda i: share[i])
+        total = (m.LEAD if cap is None else 1.0) * have[lead] / share[lead]
+        got = [x.rate for x in m.fit_rates(shares, dict(zip(m.DOMAINS, share)), None, cap).orderBy("_key").collect()]
+        goal = [total * s if cap is None else min(total * s, cap * h) for s, h in zip(share, have)]
+        gram = [[sum(t * p[i] * p[j] for t, p in rows) for j in range(3)] for i in range(3)]
+
+        def cost(rates):
+            e = [sum(x * t * p[i] for x, (t, p) in zip(rates, rows)) - goal[i] for i in range(3)]
+            return sum(a * b for a, b in zip(e, m._solved(gram, e))) / m.EASE + sum(t * (x - 1) ** 2 for x, (t, _) in zip(rates, rows))
+
+        # no small change of any rates is better
+        best = cost(got)
+        for _ in range(200):
+            other = [min(cap or 99.0, max(0.0, x + r.choice([0, 0, 0, 1e-3, -1e-3]))) for x in got]
+            assert cost(other) >= best - 1e-6 * max(1.0, best)
+
+
 def test_held_out_posteriors(spark, frames):
     docs, labels = frames
     unseen = m.mix_rates(docs, labels).filter("doc_id % 3 = 0").collect()
