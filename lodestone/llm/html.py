@@ -18,7 +18,7 @@ Skeletons (labels and checksums) are dealt by ranges of (host, hash of the page
 a crowded host spreads over as many tasks as its share of all pages, with a chain in each. The html itself moves only where
 wrappers are too large to broadcast.
 
-Cases: null and empty html give an empty text; pages without or with a malformed url belong to no host and are judged by
+Pages of any markup take time in proportion to their length. Cases: null and empty html give an empty text; pages without or with a malformed url belong to no host and are judged by
 themselves; unclosed and stray tags are repaired as browsers do for paragraphs, list items and table cells; elements nested
 deeper than MAX_DEPTH count as part of the element at that depth (their text stays, in blocks of its own); repeated rows
 each return a row; an empty table gives an empty result; extra columns are ignored.
@@ -64,7 +64,9 @@ NO_ROLE = frozenset("navigation banner contentinfo complementary search dialog a
 IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 #: Elements that can be a content root or a record.
 CONTAINERS = frozenset("html body div main article section center td tr li dd ul ol form header".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S | re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)")
+RAW = {"script": re.compile(r"</script\s*+>", re.I), "style": re.compile(r"</style\s*+>", re.I)}
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
@@ -77,6 +79,66 @@ class Node:
         self.tag, self.label, self.path, self.hard, self.soft, self.main, self.article, self.kids = tag, label, path, hard, soft, main, article, []
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, name, rest) of markup in order: kind `<` a start tag with its attributes, `/` an end tag, `!` text of a CDATA
+    section, and empty what is dropped (comments, declarations, scripts and styles with their content). A `<` that opens nothing
+    is text. What isn't found up to the end of the page isn't looked for again, so any page takes time in proportion to its length."""
+    none: dict[str, int] = {}  # from where on what comes no more
+    dead: set[int] = set()  # places of quotes from which no tag ends
+
+    def find(what: str, at: int) -> int:
+        if at >= none.get(what, len(source)):
+            return -1
+        k = source.find(what, at)
+        if k < 0:
+            none[what] = at
+        return k
+
+    def tag_end(at: int) -> int:
+        """The `>` outside quotes that ends a tag, from within it."""
+        passed = []
+        while m := (None if at >= none.get("tag", len(source)) else STOP.search(source, at)):
+            k = m.start()
+            if m[0] == ">":
+                return k
+            if k in dead or (close := find(m[0], k + 1)) < 0:
+                passed.append(k)
+                dead.update(passed)
+                return -1
+            passed.append(k)
+            at = close + 1
+        none["tag"] = min(at, none.get("tag", at))
+        dead.update(passed)
+        return -1
+
+    at = source.find("<")
+    while at >= 0:
+        end = kind = None
+        name = rest = ""
+        if source.startswith("<!--", at):
+            k = find("-->", at + 4)
+            end, kind = (k + 3 if k >= 0 else len(source)), ""
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            if source[at : at + 9].upper() == "<![CDATA[" and (k := find("]]>", at + 9)) >= 0:
+                end, kind, rest = k + 3, "!", source[at + 9 : k]
+            elif (k := find(">", at + 2)) >= 0:
+                end, kind = k + 1, ""
+        elif m := NAME.match(source, at):
+            name = m[2].lower()
+            raw = RAW.get(name) or (RAW.get(name.split("-")[0].split(":")[0]) if not m[1] else None)
+            if raw and not m[1]:
+                if (k := find(">", m.end())) >= 0:
+                    closed = raw.search(source, k + 1)
+                    end, kind = (closed.end() if closed else len(source)), ""
+            elif (k := tag_end(m.end())) >= 0:
+                end, kind, rest = k + 1, m[1] or "<", source[m.end() : k]
+        if end is None:
+            at = source.find("<", at + 1)
+        else:
+            yield at, end, kind, name, rest
+            at = source.find("<", end)
+
+
 class Page:
     """Blocks of a page in order, (node, text, link characters), and the root of its tree."""
 
@@ -86,15 +148,14 @@ class Page:
         self.blocks: list[tuple[Node, str, int]] = []
         self._stack, self._text, self._links, self._in_link = [self.root], [], 0, False
         source, at = source or "", 0
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                self._add(source[at : m.start()])
-            at = m.end()
-            tag = m[4]
-            if tag:
-                (self._end if m[3] else self._start)(tag.lower(), m[5])
-            elif m[2]:
-                self._add(m[2])
+        for start, end, kind, name, rest in tokens(source):
+            if start > at:
+                self._add(source[at:start])
+            at = end
+            if kind in ("<", "/"):
+                (self._end if kind == "/" else self._start)(name, rest)
+            elif kind == "!":
+                self._add(rest)
         if at < len(source):
             self._add(source[at:])
         self._flush()

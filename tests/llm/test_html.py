@@ -1,5 +1,7 @@
 import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -193,3 +195,27 @@ def test_deep_pages_share_a_host(spark):
     deep = "<div>" * 20000 + "deep {}" + "</div>" * 20000
     pages = spark.createDataFrame([(i, "http://deep.example/", deep.format(prose(i, 9))) for i in range(4)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in h.extract(pages).collect()} == {i: f"deep {prose(i, 9)}" for i in range(4)}
+
+
+#: What markup is, as one pattern: right, but of quadratic time on pages whose markup doesn't end.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][\w:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)/?>", re.S | re.I)
+
+
+def test_tokens_against_a_pattern():
+    def plain(s):
+        for m in MARKUP.finditer(s):
+            yield (m.start(), m.end(), *((m[3] or "<", m[4].lower(), m[5]) if m[4] else ("!", "", m[2]) if m[2] is not None else ("", "", "")))
+
+    bits = ["<", "</", ">", "<p ", "<script", "<script>", "</script>", "</script >", "<style-x>", "<!--", "-->", "<![CDATA[", "]]>", "<!", "<?", '"', "'", "a", "=", "x y", "/", "<scripty>", "<b a='1'>", "<![cdata[", " ", '<a href="x>y">', "</style\n>", "<style"]
+    r = random.Random(4)
+    for _ in range(20_000):
+        s = "".join(r.choice(bits) for _ in range(r.randint(1, 12)))
+        assert [t if t[2] else (*t[:3], "", "") for t in h.tokens(s)] == list(plain(s)), s
+
+
+@pytest.mark.parametrize("bit", ["<p ", "<![CDATA[", '<p a="', "<p a='\"", "<script", "<!x", "</script", "<a b='", "<!--"])
+def test_hostile_pages_take_linear_time(bit):
+    for tail in ("", ">"):
+        began = time.time()
+        h.Page(bit * (1_000_000 // len(bit)) + tail)
+        assert time.time() - began < 8  # a second at most on an idle machine
