@@ -1,0 +1,69 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lodestone.functions import redact
+
+TAIL = "aB3dE5fG7h" * 6
+R = "<redacted>"
+
+
+def key(kind="BEGIN", name="RSA PRIVATE KEY"):
+    return f"-----{kind} {name}-----"
+
+
+CASES = [
+    # nothing to do
+    ("", "", 0), ("plain text", "plain text", 0), (f"token={R}", f"token={R}", 0), ("author: someone", "author: someone", 0), ("crate::auth::Claims", "crate::auth::Claims", 0), ("basic implementation", "basic implementation", 0),
+    # invisible characters and escapes
+    ("tok\u200ben=abc", f"token={R}", 1), ("\x1b[31mpassword\x1b[0m=hunter2", f"password={R}", 1), ("a\x1bb", "ab", 0),
+    # private keys
+    (f"a {key()}\nMII\n{key('END')} b", f"a {R} b", 1), (f"a {key()}\nMII", f"a {R}", 1), (f"MII\n{key('END')} b", f"{R} b", 1), (f"x {key(name='PGP PRIVATE KEY BLOCK')} y {key('END', 'PGP PRIVATE KEY BLOCK')}", f"x {R}", 1),
+    (f"MII {key('END')} {key()} z {key('END')} {key('END')}", f"{R} {R} {key('END')}", 2), ("-----BEGIN CERTIFICATE-----", "-----BEGIN CERTIFICATE-----", 0),
+    (f"{key()} password=abc {key('END')}", R, 1),
+    # URLs
+    ("get https://alice:hunter2@reg.example/p now", f"get https://{R}@reg.example/p now", 1), (f"https://{TAIL[:24]}@h.example", f"https://{R}@h.example", 1), ("postgres://u:p/w?x#y@db/z", f"postgres://{R}@db/z", 1),
+    ("http://host:8080/path@x", "http://host:8080/path@x", 0), ("http://@host", "http://@host", 0), ("see a://b and c@d", "see a://b and c@d", 0), ("https://a:b@c@d/e", f"https://{R}@d/e", 1),
+    # headers
+    ("Authorization: Bearer abc.def", f"Authorization: Bearer {R}", 1), ('{"authorization": "token xyz"}', '{"authorization": "token ' + R + '"}', 1), ("authorization: JWT abc def", f"authorization: {R} {R} def", 2),
+    ("Authorization=abc", f"Authorization={R}", 1), (f"Authorization: Bearer {R}", f"Authorization: Bearer {R}", 0), (f"Bearer {TAIL[:20]}", f"Bearer {R}", 1), ("Bearer abcdefghijklmnopqrst", "Bearer abcdefghijklmnopqrst", 0),
+    ("Authorization: Bearer", "Authorization: Bearer", 0),
+    # keys and values
+    ("API_KEY=abc, next", f"API_KEY={R}, next", 1), ('"db-password": "a b c", x', f'"db-password": {R}, x', 1), (r'{\"password\":\"x y\"}', r'{\"password\":' + R + '}', 1), ("pass_word='it s' b", f"pass_word={R} b", 1), ("x-auth: abc.", f"x-auth: {R}.", 1),
+    ('password=""', 'password=""', 0), ("src/auth.rs:12:5", "src/auth.rs:12:5", 0), ("expected token: `;`", "expected token: `;`", 0), ("unknown token: x", "unknown token: x", 0), ("token=x", f"token={R}", 1), ('secret="open', f"secret={R}", 1),
+    ("session: abc)", f"session: {R})", 1), ("cookie=;", "cookie=;", 0), ("token = abc", f"token = {R}", 1), ("a=1 secret=2 b=3", f"a=1 secret={R} b=3", 1), ("token=abc=def", f"token={R}", 1),
+    # words after a key
+    (f"TOKEN {TAIL[:32]} x", f"TOKEN {R} x", 1), (f"hash {TAIL[:32]}", f"hash {TAIL[:32]}", 0), (f"token {'a' * 40}", f"token {'a' * 40}", 0), (f"'secret',\n{TAIL[:40]}", f"'secret',\n{R}", 1),
+    # shapes
+    (f"ghp_{TAIL[:20]}!", f"{R}!", 1), (f"ghp_{TAIL[:19]}", f"ghp_{TAIL[:19]}", 0), ("AKIA" + "A1" * 8, R, 1), ("AKIA" + "A1" * 8 + "b", "AKIA" + "A1" * 8 + "b", 0), ("AKIA" + "A1" * 9, "AKIA" + "A1" * 9, 0), (f"xghp_{TAIL[:20]}", f"xghp_{TAIL[:20]}", 0),
+    (f"xoxb-{TAIL[:10]}", R, 1), (f"github_pat_{TAIL[:22]}", R, 1), (f"npm_{TAIL[:30]}", R, 1), (f"cio{TAIL[:28]}", R, 1),
+    # several passes know one
+    (f"token=ghp_{TAIL[:20]}", f"token={R}", 1), (f"url=https://u:ghp_{TAIL[:20]}@h secret=https://a:b@c", f"url=https://{R}@h secret={R}", 3), (f"TOKEN ghp_{TAIL[:36]}", f"TOKEN {R}", 1),
+]
+
+
+def test_cases(spark):
+    rows = spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(CASES)], "k int, t string").withColumn("r", redact.redacted(F.col("t")))
+    for row in rows.collect():
+        assert (row.r.text, row.r["count"]) == CASES[row.k][1:], CASES[row.k][0]
+
+
+def test_twice_is_once_and_null_is_null(spark):
+    rows = spark.createDataFrame([(t,) for t, out, _ in CASES if key("END") not in out], "t string").select(redact.redacted(F.col("t")).alias("a")).select("a", redact.redacted(F.col("a.text")).alias("b"))
+    assert all(r.b.text == r.a.text and r.b["count"] == 0 for r in rows.collect())
+    assert spark.createDataFrame([(None,)], "t string").select(redact.redacted(F.col("t")).alias("a")).first().a is None
+
+
+@pytest.mark.parametrize("bit", ["token ", "password=", "a://b ", "Authorization: ", "-----BEGIN ", "-----END X ", "auth_", "bearer a", 'secret="'])
+def test_long_texts_end(spark, bit):
+    n = 200_000 // len(bit)
+    assert spark.createDataFrame([(bit * n,)], "t string").select(redact.redacted(F.col("t"))["count"]).first()[0] >= 0
+
+
+def test_joined_cases_keep_their_secrets_out(spark):
+    r = random.Random(2)
+    texts = ["\n".join(r.choice(CASES)[0] for _ in range(6)) for _ in range(60)]
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select("t", redact.redacted(F.col("t")).alias("r")).collect():
+        for secret in ("hunter2", f"ghp_{TAIL[:20]}!", f"TOKEN {TAIL[:32]}"):
+            assert secret not in row.r.text or secret not in row.t
