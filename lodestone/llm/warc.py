@@ -10,8 +10,9 @@ by size class, so that none holds more than about FILE_BYTES of payloads, or one
 `read_archive` parses the WARC files by Content-Length, verifies every stored payload against its digest and returns the
 rows; `reconstruct` joins headers to payloads and gives the original records byte for byte.
 
-Payloads never move with the decision: the owner of a digest comes from an aggregate over ids and digests alone, revisits
-carry no payload, and payload copies collapse map-side. Rows of a payload that many pages share are dealt over several tasks to
+The pages are read twice: for the headers, and for the payloads. A distinct payload is shuffled once (copies collapse on the map side),
+since only where all pages of a digest meet is it known which of them owns it. Revisits and their owners come from the written
+headers, without payloads. Rows of a payload that many pages share are dealt over several tasks to
 meet its owner, so it is no hot key.
 
 Cases: a null payload is empty; null urls give no target header; page ids are unique keys: of rows that repeat an id and
@@ -81,11 +82,11 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     marked = page.withColumn("digest", F.sha2(F.encode("body", "utf-8"), 256)).withColumn("n", F.octet_length("body").cast("long"))
     small = F.col("n") < MIN_REVISIT
     last = F.coalesce("page_id", F.lit((1 << 63) - 1))
-    narrow = marked.select("page_id", "url", "digest", "n")
-    narrow.select("page_id", "digest", "n", _response(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n")).alias("header")).write.parquet(f"{path}/headers")
+    marked.select("page_id", "url", "digest", "n", _response(F.col("page_id"), F.col("url"), F.col("digest"), F.col("n")).alias("header")).write.parquet(f"{path}/headers")
+    narrow = pages.sparkSession.read.schema("page_id long, url string, digest string, n long").parquet(f"{path}/headers")
 
-    # payload store: copies of a payload collapse on the map side; as a rule there is one size class
-    classes = sorted(r[0] for r in marked.select(_size_class(F.col("n")).alias("c")).distinct().collect()) or [0]
+    # payload store: as a rule there is one size class
+    classes = sorted(r[0] for r in narrow.select(_size_class(F.col("n")).alias("c")).distinct().collect()) or [0]
     for c in classes:
         part = marked.filter(_size_class(F.col("n")) == c)
         large = part.filter(~small)
