@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as T
 from lodestone.operators import graph, host, rules
 
-from . import fact_queries
+from . import fact_queries, text_queries
 from .oracles import ORACLES
 
+FACT_QUERIES = [*fact_queries.QUERIES, *text_queries.QUERIES]
+FACT_SQL = fact_queries.SQL | text_queries.SQL
+
 COL = F.col
 
 
@@ -316,9 +319,9 @@ QUERIES = [
 
 def queries() -> dict:
     own = {f"t{k:02d}_{f.__name__}": f for k, f in enumerate(QUERIES, 1)}
-    return own | {f"f{k:02d}_{f.__name__}": f for k, f in enumerate(fact_queries.QUERIES, 1)}
+    return own | {f"f{k:02d}_{f.__name__}": f for k, f in enumerate(FACT_QUERIES, 1)}
 
 
 def oracle_sql() -> dict[str, str]:
-    known = ORACLES | {f"f{k:02d}_{f.__name__}": fact_queries.SQL[f.__name__] for k, f in enumerate(fact_queries.QUERIES, 1)}
+    known = ORACLES | {f"f{k:02d}_{f.__name__}": FACT_SQL[f.__name__] for k, f in enumerate(FACT_QUERIES, 1)}
     return {k: v for k, v in known.items() if k in queries()}
