@@ -189,6 +189,23 @@ def _leading_back(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"component": edges["component"].iloc[0], "a": [a for a, _ in found], "b": [b for _, b in found]})
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """(v, g): the smallest vertex of each vertex's connected component; direction doesn't matter. Each round a vertex takes the least label
+    beside it and then that label's own, so rounds grow with the logarithm of a component's width. A hub's labels are folded on the
+    map side."""
+    e = edges.filter("a IS NOT NULL AND b IS NOT NULL")
+    both = cut(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("g")).select("v", F.least("v", "g").alias("g")))
+    while True:
+        beside = both.join(label, F.col("b") == F.col("v")).groupBy("a").agg(F.min("g").alias("m"))
+        near = label.join(beside, F.col("v") == F.col("a")).select("v", F.col("g").alias("old"), F.least("g", "m").alias("g"))
+        far = label.select(F.col("v").alias("w"), F.col("g").alias("far"))
+        step = cut(near.join(far, F.col("g") == F.col("w"), "left").select("v", F.least("g", F.coalesce("far", "g")).alias("g"), "old"))
+        label = step.drop("old")
+        if step.filter("g <> old").isEmpty():
+            return label
+
+
 def instability(edges: DataFrame) -> DataFrame:
     """(k, v): outgoing over all edges of each vertex; edges are distinct and without self-loops."""
     ends = edges.select(F.col("a").alias("k"), F.lit(1).alias("ce"), F.lit(0).alias("ca")).unionByName(edges.select(F.col("b").alias("k"), F.lit(0).alias("ce"), F.lit(1).alias("ca")))
@@ -236,14 +253,9 @@ def divergent_changes(touched: DataFrame, least: int = 3, max_files: int = 25) -
     judged = kept.filter(F.col("f").rlike(CODE) & ~F.col("f").rlike(REGISTRY) & ~F.col("f").rlike(UNJUDGED))
     # a commit has at most max_files files, so the pairs of a commit are bounded
     links = cut(judged.join(partner, "o").filter("f <> p").select("f", "o", "p"))
-    label = links.select("f", "o", F.col("o").alias("g")).distinct()
-    before = None
-    while True:
-        by_partner = links.join(label, ["f", "o"]).groupBy("f", "p").agg(F.min("g").alias("g"))
-        label = cut(links.join(by_partner, ["f", "p"]).groupBy("f", "o").agg(F.min("g").alias("g")))
-        state = label.agg(F.sum(F.xxhash64("f", "o", "g").cast("decimal(20,0)"))).first()[0]
-        if state == before:
-            break
-        before = state
+    # per file, commits that share a partner hang together
+    end = lambda k, c: F.concat_ws("\x01", "f", F.lit(k), c)
+    group = connected(links.select(end("o", "o").alias("a"), end("p", "p").alias("b")).distinct())
+    label = links.select("f", "o", end("o", "o").alias("_v")).distinct().join(group, F.col("_v") == F.col("v")).select("f", "o", "g")
     groups = label.groupBy("f", "g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= least)
     return groups.groupBy("f").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("commits")).filter("groups >= 2")
