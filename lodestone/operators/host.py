@@ -80,16 +80,23 @@ def expand_globs(entries: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def stale_entries(entries: DataFrame, findings: DataFrame, completed: DataFrame) -> DataFrame:
-    """Entries of completed checks (column check_id) that match no finding. Inherited entries (member_prefix) and those of a wide
-    list (source) are never stale, where the table has these columns."""
+    """Entries of completed checks (column check_id) that match no finding, as waive() matches: by globs in `file` too, and by crate_scope.
+    Inherited entries (member_prefix) and those of a wide list (source) are never stale, where the table has these columns."""
     own = entries
     for column in {"member_prefix", "source"} & set(entries.columns):
         own = own.filter(F.col(column).isNull())
     done = own.join(completed.select(F.col("check_id").alias("_done")).distinct(), F.col("check") == F.col("_done"), "left_semi")
-    f = findings.select("check_id", F.col("file").alias("_file"), "subject", "line").distinct()
-    match = (F.col("check") == F.col("check_id")) & (F.col("file") == F.col("_file")) & (F.col("symbol").isNull() | (F.col("symbol") == F.col("subject")))
-    match &= F.col("lo").isNull() | F.col("line").between(F.col("lo"), F.col("hi"))
-    return done.join(f, match, "left_anti")
+    scope = "crate_scope" in entries.columns
+    f = findings.select("check_id", F.col("file").alias("_file"), F.col("subject").alias("_subject"), F.col("line").alias("_line"), *([F.coalesce("member", "project").alias("_owner")] if scope else [])).distinct()
+    path = plain_path(F.col("file"))
+    match = (F.col("check") == F.col("check_id")) & (F.col("symbol").isNull() | (F.col("symbol") == F.col("_subject")))
+    match &= F.col("lo").isNull() | F.col("_line").between(F.col("lo"), F.col("hi"))
+    if scope:
+        match &= F.col("crate_scope").isNull() | (F.col("crate_scope") == F.col("_owner"))
+    # entries without a glob meet the findings of their file alone
+    glob = F.coalesce(path.rlike(r"[*?]"), F.lit(False))
+    left = done.filter(~glob).join(f, match & (path == F.col("_file")), "left_anti")
+    return left.unionByName(done.filter(glob).join(f, match & glob_matches(path, F.col("_file")), "left_anti"))
 
 
 def unknown_entries(entries: DataFrame, rules: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.redact import redacted
-from lodestone.operators import facts, scopes, secrets, settings_rules
+from lodestone.operators import facts, host, scopes, secrets, settings_rules, structure
 
 from .fact_queries import rows, table, valid
 
@@ -150,9 +150,47 @@ def grave_advisories(s, d):
     return valid(facts.grave_advisories(p, k))
 
 
+# Structure.
+
+
+def newest_commits(s, d):
+    t = table(s, d, "lineitem").join(table(s, d, "orders"), COL("l_orderkey") == COL("o_orderkey"))
+    touched = t.select((COL("o_custkey") % 3).alias("repo"), COL("l_orderkey").alias("o"), COL("o_orderdate").alias("at"), COL("l_partkey").alias("f"))
+    kept = structure.newest_commits(touched, 50)
+    return structure.at_head(kept, rows(table(s, d, "part").filter("p_size > 25"), repo="p_partkey % 3", f="p_partkey")).groupBy("repo", "o").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mixed_types(s, d):
+    li = table(s, d, "lineitem")
+    at = dict(package="'p'", type="l_orderkey", method="l_suppkey % 8")
+    uses = rows(li.filter("l_quantity > 10"), field="concat('f', l_partkey % 12)", **at)
+    calls = rows(li.filter("l_quantity <= 10"), callee="l_partkey % 8", **at)
+    methods = rows(li, thin="l_suppkey % 8 = 7", **at).distinct()
+    return valid(structure.mixed_types(rows(table(s, d, "orders"), package="'p'", type="o_orderkey", path="'a'", line="o_orderkey"), methods, uses, calls))
+
+
+def resolved_paths(s, d):
+    p = table(s, d, "part").filter("p_partkey % 4 > 0")
+    aliases = rows(p, alias="concat('m::k', p_partkey)", target="concat('m::k', p_partkey + p_size % 3 + 1, if(p_size % 7 = 0, '::s', ''))")
+    return structure.resolved_paths(rows(table(s, d, "part"), path="concat('m::k', p_partkey, '::tail')"), aliases).select("path", "resolved")
+
+
+def stale_dependencies(s, d):
+    locked = rows(table(s, d, "lineitem").filter("l_quantity >= 40"), path="l_orderkey", name="l_suppkey", version="concat(l_linenumber, '.', l_partkey % 5, '.0')", direct="l_returnflag = 'R'")
+    releases = rows(table(s, d, "lineitem").filter("l_quantity < 40"), name="l_suppkey", version="concat(l_linenumber, '.', l_partkey % 9, if(l_tax > 0.06, '.0-rc.1', '.0'))", yanked="l_discount > 0.08").drop("repo")
+    return valid(structure.stale_dependencies(locked, releases))
+
+
+def stale_globs(s, d):
+    e = s.createDataFrame([(1, "e", "Brand#1*/**", None, None, None), (2, "e", "Brand#99/**", None, None, None), (3, "e", "./Brand#2/?", "ECONOMY", None, None), (4, "e", "Brand#3/*", None, 2000000, None), (5, "x", "nowhere", None, None, None), (6, "e", "Brand#2/1", None, None, None)], "entry_no int, check string, file string, symbol string, lo int, hi int")
+    f = rows(table(s, d, "part"), check_id="'e'", file="concat_ws('/', p_brand, p_size)", subject="p_type", line="p_partkey")
+    return host.stale_entries(e.fillna(3000000, ["hi"]), f, s.createDataFrame([("e",)], "check_id string")).select("entry_no")
+
+
 QUERIES = [
     redaction, redaction_forms, enclosing_scopes, stray_catchers, pass_throughs, workflow_exposure, unpinned_actions, alerts_without_runbook, flags_without_owner, unpublished_dependencies, history_secrets,
     open_enums, missing_sections, unjustified_unsafe, absorbing_arms, stubbed_traits, print_macros, float_money, unjustified_unwraps, module_cycles, grave_advisories,
+    newest_commits, mixed_types, resolved_paths, stale_dependencies, stale_globs,
 ]
 
 _V = "'{c}' check_id, {p} project, {f} file, {l} line, '{s}' severity, '{o}' confidence, {u} subject, {m} summary"
@@ -183,4 +221,9 @@ SQL = {
     "unjustified_unwraps": "SELECT " + _v("TYP-006", "medium", "high", "'r'", "'sites without a reason: ' || count(*)", f="CAST(user_id AS VARCHAR)", l="CAST(min(event_id) AS INT)") + " FROM events s WHERE event_type='error' AND NOT EXISTS (SELECT 1 FROM events c WHERE c.event_type='view' AND c.user_id=s.user_id AND c.event_id BETWEEN s.event_id-3 AND s.event_id) GROUP BY user_id",
     "module_cycles": "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey r, 'v' || (l_suppkey%3) || '::' || (l_suppkey%7) a, 'v' || (l_linenumber%3) || '::' || l_linenumber b FROM lineitem WHERE l_quantity>=40), t(r,a,b) AS (SELECT * FROM e WHERE a<>b UNION SELECT t.r,t.a,e.b FROM t JOIN e ON t.r=e.r AND t.b=e.a WHERE e.a<>e.b), s AS (SELECT x.r, x.a v, min(x.b) c FROM t x JOIN t y ON x.r=y.r AND x.a=y.b AND x.b=y.a GROUP BY 1,2) SELECT CAST(r AS VARCHAR) project, string_agg(v, ',' ORDER BY v) subject, CASE WHEN count(DISTINCT split_part(v,'::',1))>1 THEN 'low' ELSE 'info' END severity, 'a cycle of ' || count(*) || ' modules' summary FROM s GROUP BY r, c HAVING count(*)>1",
     "grave_advisories": "WITH k AS (SELECT p_brand b, 'g' || p_partkey g, p_size z, CASE WHEN p_partkey%4=0 THEN NULL ELSE p_partkey%11 END sc FROM part WHERE p_size%5=0) SELECT DISTINCT 'SEC-006' check_id, 'r' project, CAST(p_partkey AS VARCHAR) file, CAST(NULL AS INT) line, CASE WHEN sc>=9 THEN 'critical' ELSE 'high' END severity, 'high' confidence, p_brand || '@' || p_size || '.1.0' subject, g summary FROM part JOIN k ON b=p_brand AND p_size>=z AND p_size<z+2 WHERE sc IS NULL OR sc>=7",
+    "newest_commits": "WITH c AS (SELECT DISTINCT o_custkey%3 repo, l_orderkey o, o_orderdate at_ FROM lineitem JOIN orders ON l_orderkey=o_orderkey), k AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY at_ DESC, o) rn FROM c) SELECT repo, o, count(*) n FROM k JOIN lineitem ON l_orderkey=o JOIN part ON p_partkey=l_partkey AND p_partkey%3=repo AND p_size>25 WHERE rn<=50 GROUP BY 1,2",
+    "mixed_types": "WITH RECURSIVE u AS (SELECT DISTINCT l_orderkey t, l_suppkey%8 m, 'f' || (l_partkey%12) f FROM lineitem WHERE l_quantity>10), c AS (SELECT DISTINCT l_orderkey t, l_suppkey%8 m, l_partkey%8 k FROM lineitem WHERE l_quantity<=10), r(t,m,f) AS (SELECT * FROM u UNION SELECT c.t, c.m, r.f FROM c JOIN r ON c.t=r.t AND c.k=r.m), n AS (SELECT * FROM r WHERE m<>7 AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey=r.t AND l_suppkey%8=r.m)), z AS (SELECT t, count(DISTINCT m) n FROM n GROUP BY t), h AS (SELECT t, f FROM n JOIN z USING (t) GROUP BY t, f, z.n HAVING z.n>=8 AND 2*count(*)>z.n), l AS (SELECT n.* FROM n ANTI JOIN h ON h.t=n.t AND h.f=n.f), g(t,a,b) AS (SELECT t, m, m FROM l UNION SELECT g.t, g.a, y.m FROM g JOIN l x ON x.t=g.t AND x.m=g.b JOIN l y ON y.t=x.t AND y.f=x.f), q AS (SELECT t, a m, min(b) c FROM g GROUP BY 1,2), p AS (SELECT t, c, string_agg(m, '+' ORDER BY m) s FROM q JOIN z USING (t) WHERE z.n>=4 GROUP BY t, c HAVING count(*)>=2) SELECT " + _v("MOD-004", "info", "low", "CAST(t AS VARCHAR)", "'clusters of methods that share fields: ' || string_agg(s, ', ' ORDER BY s)", l="CAST(t AS INT)") + " FROM p GROUP BY t HAVING count(*)>=2",
+    "resolved_paths": "WITH RECURSIVE a AS (SELECT p_partkey k, p_partkey+p_size%3+1 t, CASE WHEN p_size%7=0 THEN '::s' ELSE '' END x FROM part WHERE p_partkey%4>0), r(k, c, x) AS (SELECT p_partkey, p_partkey, '' FROM part UNION ALL SELECT r.k, a.t, a.x || r.x FROM r JOIN a ON a.k=r.c) SELECT 'm::k' || k || '::tail' AS path, 'm::k' || max(c) || max_by(x, c) || '::tail' resolved FROM r GROUP BY k",
+    "stale_dependencies": "WITH rel AS (SELECT l_suppkey nm, l_linenumber mj, max(l_partkey%9) mn FROM lineitem WHERE l_quantity<40 AND l_tax<=0.06 AND l_discount<=0.08 GROUP BY 1,2), top AS (SELECT nm, max(mj*100+mn) t FROM rel GROUP BY 1), lk AS (SELECT l_orderkey o, l_suppkey nm, l_linenumber mj, l_partkey%5 mn, l_returnflag='R' d FROM lineitem WHERE l_quantity>=40), b AS (SELECT lk.*, t, rel.mn nr FROM lk JOIN top USING (nm) LEFT JOIN rel ON rel.nm=lk.nm AND rel.mj=lk.mj WHERE lk.mj*100+lk.mn<t), f AS (SELECT o, nm, bool_or(d) d, min(mj*100+mn) v, max(t) t FROM b GROUP BY 1,2) SELECT 'SUP-015' check_id, 'r' project, CAST(f.o AS VARCHAR) file, CAST(NULL AS INT) line, CASE WHEN f.d THEN 'medium' ELSE 'low' END severity, 'high' confidence, CAST(f.nm AS VARCHAR) subject, (f.v//100) || '.' || (f.v%100) || '.0 is locked, newest ' || (f.t//100) || '.' || (f.t%100) || '.0' || CASE WHEN rel.mn>f.v%100 THEN ', compatible ' || rel.mj || '.' || rel.mn || '.0' ELSE '' END summary FROM f LEFT JOIN rel ON rel.nm=f.nm AND rel.mj=f.v//100",
+    "stale_globs": "SELECT * FROM (SELECT 2 entry_no UNION ALL SELECT 3 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand='Brand#2' AND p_size<10 AND p_type='ECONOMY') UNION ALL SELECT 4 UNION ALL SELECT 6 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand='Brand#2' AND p_size=1) UNION ALL SELECT 1 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand LIKE 'Brand#1%'))",
 }

@@ -28,3 +28,11 @@ def test_waive_by_crate(spark):
     f = spark.createDataFrame([("A", "f", "m", "p"), ("A", "f", None, "p"), ("A", "f", "n", "p"), ("A", "g", None, None)], "check_id string, file string, member string, project string").selectExpr("*", "'s' AS subject", "1 AS line")
     got = {(r.file, r.member, r.reason) for r in host.waive(f, e).collect()}
     assert got == {("f", "m", "of m"), ("f", None, "of p"), ("f", "n", None), ("g", None, "any")}
+
+
+def test_stale_globs_and_scopes(spark):
+    e = spark.createDataFrame([(1, "A", "src/*.rs", None, None, None, None), (2, "A", "lib/**", None, None, None, None), (3, "A", "./src/a.rs", "f", None, None, "core"), (4, "A", "src/a.rs", "f", None, None, "other"), (5, "A", "src/?.rs", None, 9, 9, None), (6, "B", "x", None, None, None, None)], "entry_no int, check string, file string, symbol string, lo int, hi int, crate_scope string")
+    f = spark.createDataFrame([("A", "src/a.rs", "f", 3, "core", "ws"), ("A", None, "f", 3, None, None)], "check_id string, file string, subject string, line int, member string, project string")
+    done = spark.createDataFrame([("A",)], "check_id string")
+    assert sorted(r.entry_no for r in host.stale_entries(e, f, done).collect()) == [2, 4, 5]
+    assert host.stale_entries(e.limit(0), f, done).count() == 0 and host.stale_entries(e, f.limit(0), done).count() == 5
