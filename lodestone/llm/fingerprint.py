@@ -9,7 +9,9 @@ A fingerprint keeps n, and the prefix residues at anchors: places where the resi
 enough zero bits (its level). Levels nest, and the lowest level with at most ANCHORS places is kept, so anchors follow the text
 wherever it is shifted. Two texts are compared at the higher of their levels: blocks between anchors match where their residues
 do, and runs of matched blocks are grown to either side by common extensions over the prefix arrays (as are the two
-beginnings and the two ends), up to the next matched block. Likeness is the share of the longer text that is covered; 1 exactly for
+beginnings and the two ends), up to the next matched block. What is left between them is taken up again past each edit: windows at
+anchors of lower levels, read from the prefix arrays, that stand once in both gaps and in one order start extensions of
+their own. The bound on stored anchors so bounds a fingerprint's size and not what is matched. Likeness is the share of the longer text that is covered; 1 exactly for
 equal texts. From two stored fingerprints alone, blocks can be matched but not grown.
 
 Cases: null and empty texts are one text (two of them have likeness 1, one and another text 0); repeated rows each return
@@ -20,6 +22,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -35,8 +38,8 @@ from .common import shuffle_partitions
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Code points that make an anchor, the least level (a block has two to its power code points on average), and most anchors of
-#: a fingerprint. The likeness covers the whole text whatever their number: they only start extensions.
-WINDOW, LEAST_LEVEL, ANCHORS = 16, 5, 128
+#: a fingerprint; and the levels at which gaps between matched blocks are taken up again.
+WINDOW, LEAST_LEVEL, ANCHORS, FINER = 16, 5, 128, (5, 2)
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -116,7 +119,7 @@ class Joined:
             return self.left.one(k, i)
         return (self.left.one(k, self.cut) + int(powers(self.n)[k][0][self.cut]) * self.right.one(k, i - self.cut)) % PRIMES[k]
 
-    @property
+    @cached_property
     def levels(self) -> np.ndarray:
         a = max(0, min(self.cut, self.cut - WINDOW + 1))
         b = max(a, min(self.cut, self.n - WINDOW + 1))
@@ -222,8 +225,70 @@ class Fingerprint:
             next_k = k + 1
         if text is not None and other_text is not None:
             spans = _grown(spans, text, other_text)
+            more = sum(_between(text, other_text, *gap, FINER) for gap in _gaps(spans, text.n, other_text.n))
+        else:
+            more = 0
         whole = max(self.n, other.n)
-        return min(sum(b - a for a, b, _, _ in spans), whole - 1) / whole
+        return min(sum(b - a for a, b, _, _ in spans) + more, whole - 1) / whole
+
+
+def _gaps(spans: list[list[int]], n: int, other_n: int) -> Iterator[tuple[int, int, int, int]]:
+    """What lies between matched spans in both texts: after each span, up to the next one of either text."""
+    other = sorted(range(len(spans)), key=lambda k: (spans[k][2], spans[k][3]))
+    after = {k: spans[other[i + 1]][2] if i + 1 < len(other) else other_n for i, k in enumerate(other)}
+    for k, s in enumerate(spans):
+        stop = spans[k + 1][0] if k + 1 < len(spans) else n
+        if stop - s[1] >= WINDOW and after[k] - s[3] >= WINDOW:
+            yield s[1], stop, s[3], after[k]
+
+
+def _once(text: PrefixHash | Joined, start: int, stop: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Residues of the windows at anchors of a level in a span that stand there once, and their places."""
+    places = start + np.flatnonzero(text.levels[start : stop - WINDOW + 1] >= level)
+    p, (_, down) = np.uint64(PRIMES[0]), powers(text.n)[0]
+    low, high = text.at(places)[0], text.at(places + WINDOW)[0]
+    values, first, times = np.unique((high + p - low) % p * down[places] % p, return_index=True, return_counts=True)
+    return values[times == 1], places[first[times == 1]]
+
+
+def _in_order(places: list[int]) -> list[int]:
+    """Indices of a longest increasing subsequence."""
+    tails, ends, before = [], [], []
+    for k, v in enumerate(places):
+        i = bisect_left(tails, v)
+        before.append(ends[i - 1] if i else -1)
+        if i == len(tails):
+            tails.append(v)
+            ends.append(k)
+        else:
+            tails[i], ends[i] = v, k
+    out, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _between(x: PrefixHash | Joined, y: PrefixHash | Joined, a: int, b: int, c: int, d: int, levels: tuple[int, ...]) -> int:
+    """How much of x[a:b] stands in y[c:d] in the same order, by extensions from windows that both hold once."""
+    if not levels or min(b - a, d - c) < WINDOW:
+        return 0
+    (mine, at), (theirs, there) = _once(x, a, b, levels[0]), _once(y, c, d, levels[0])
+    _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
+    order = np.argsort(at[i])
+    at, there = at[i][order].tolist(), there[j][order].tolist()
+    total = 0
+    for k in _in_order(there):
+        p, q = at[k], there[k]
+        if p < a or q < c:
+            continue  # within the last extension
+        forward = extension(x, p, y, q, min(b - p, d - q))
+        if forward < WINDOW:
+            continue  # equal residues of different windows
+        back = extension(x, p, y, q, min(p - a, q - c), True)
+        total += forward + back + _between(x, y, a, p - back, c, q - back, levels[1:])
+        a, c = p + forward, q + forward
+    return total + _between(x, y, a, b, c, d, levels[1:])
 
 
 def _grown(spans: list[list[int]], x: PrefixHash | Joined, y: PrefixHash | Joined) -> list[list[int]]:

@@ -126,3 +126,30 @@ def test_frames(spark):
     one = spark.createDataFrame([(3, "abcd")], "doc_id long, text string")
     assert [(x.near_next, x.n_chars) for x in f.compare_with_edits(one).collect()] == [(1.0, 4)]
     assert {(x.doc_id, x.fingerprint) for x in f.fingerprints(docs).collect()} == {(i, brute_print(t or "")) for i, t in rows}
+
+
+@pytest.mark.parametrize("n", [300, 3_000, 30_000])
+@pytest.mark.parametrize("share", [0.01, 0.02, 0.05])
+def test_scattered_edits_whatever_the_length(n, share):
+    r = random.Random(n)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    a = [word() for _ in range(n)]
+    b = [word() if r.random() < share else w for w in a]
+    true = 1 - 6 * sum(x != y for x, y in zip(a, b)) / (7 * n - 1)
+    x, y = f.PrefixHash(" ".join(a)), f.PrefixHash(" ".join(b))
+    got = f.Fingerprint.of(x).likeness(f.Fingerprint.of(y), x, y)
+    assert true - 0.05 < got <= true + 0.005
+    other = f.PrefixHash(" ".join(word() for _ in range(n)))
+    assert f.Fingerprint.of(x).likeness(f.Fingerprint.of(other), x, other) < 0.02
+
+
+def test_edits_beside_moves_and_repeats():
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    first, second = [word() for _ in range(2_000)], [word() for _ in range(2_000)]
+    first[500:500] = ["again"] * 300
+    moved = f.PrefixHash(" ".join(second + ["new"] * 3 + first))
+    whole = f.PrefixHash(" ".join(first + second))
+    got = f.Fingerprint.of(whole).likeness(f.Fingerprint.of(moved), whole, moved)
+    assert 0.45 < got < 1
+    assert f._in_order([5, 1, 2, 9, 3]) == [1, 2, 4] and f._in_order([]) == []
