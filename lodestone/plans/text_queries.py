@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.redact import redacted
-from lodestone.operators import facts, host, scopes, secrets, settings_rules, structure
+from lodestone.operators import facts, host, licences, scopes, secrets, settings_rules, structure
 
 from .fact_queries import rows, table, valid
 
@@ -187,10 +187,24 @@ def stale_globs(s, d):
     return host.stale_entries(e.fillna(3000000, ["hi"]), f, s.createDataFrame([("e",)], "check_id string")).select("entry_no")
 
 
+def licence_alternatives(s, d):
+    e = "CASE p_size % 4 WHEN 0 THEN concat(p_brand, ' AND (', p_type, ' OR MIT)') WHEN 1 THEN concat('(', p_brand, ' or X) AND (Y OR ', p_type, '+)') WHEN 2 THEN concat(p_type, '/', p_brand, ' WITH E') ELSE concat('((', p_brand, ') AND Z) OR Z') END"
+    alts = licences.disjunctive(F.expr(e))
+    return table(s, d, "part").select("p_partkey", F.array_join(F.transform(alts, lambda a: F.array_join(a, "+")), "|").alias("alternatives"))
+
+
+def licence_state(s, d):
+    p = table(s, d, "part")
+    at = lambda cond, path, text: rows(p.filter(cond), repo="p_partkey", path=path, text=text)
+    f = at("p_size % 3 > 0", "'LICENSE-MIT'", "'x'").unionByName(at("p_size % 2 = 0", "'Cargo.toml'", "'[package]\nlicense = \"MIT OR Apache-2.0\"\n'")).unionByName(at("p_size % 7 = 0", "'NOTICE'", "'x'"))
+    f = f.unionByName(at("true", "concat('src/', p_brand, '.rs')", "CASE p_partkey % 3 WHEN 0 THEN '// SPDX-License-Identifier: MIT' WHEN 1 THEN 'fn' ELSE '// SPDX-License-Identifier: GPL-3.0 ' END"))
+    return valid(licences.licence_state(f))
+
+
 QUERIES = [
     redaction, redaction_forms, enclosing_scopes, stray_catchers, pass_throughs, workflow_exposure, unpinned_actions, alerts_without_runbook, flags_without_owner, unpublished_dependencies, history_secrets,
     open_enums, missing_sections, unjustified_unsafe, absorbing_arms, stubbed_traits, print_macros, float_money, unjustified_unwraps, module_cycles, grave_advisories,
-    newest_commits, mixed_types, resolved_paths, stale_dependencies, stale_globs,
+    newest_commits, mixed_types, resolved_paths, stale_dependencies, stale_globs, licence_alternatives, licence_state,
 ]
 
 _V = "'{c}' check_id, {p} project, {f} file, {l} line, '{s}' severity, '{o}' confidence, {u} subject, {m} summary"
@@ -226,4 +240,6 @@ SQL = {
     "resolved_paths": "WITH RECURSIVE a AS (SELECT p_partkey k, p_partkey+p_size%3+1 t, CASE WHEN p_size%7=0 THEN '::s' ELSE '' END x FROM part WHERE p_partkey%4>0), r(k, c, x) AS (SELECT p_partkey, p_partkey, '' FROM part UNION ALL SELECT r.k, a.t, a.x || r.x FROM r JOIN a ON a.k=r.c) SELECT 'm::k' || k || '::tail' AS path, 'm::k' || max(c) || max_by(x, c) || '::tail' resolved FROM r GROUP BY k",
     "stale_dependencies": "WITH rel AS (SELECT l_suppkey nm, l_linenumber mj, max(l_partkey%9) mn FROM lineitem WHERE l_quantity<40 AND l_tax<=0.06 AND l_discount<=0.08 GROUP BY 1,2), top AS (SELECT nm, max(mj*100+mn) t FROM rel GROUP BY 1), lk AS (SELECT l_orderkey o, l_suppkey nm, l_linenumber mj, l_partkey%5 mn, l_returnflag='R' d FROM lineitem WHERE l_quantity>=40), b AS (SELECT lk.*, t, rel.mn nr FROM lk JOIN top USING (nm) LEFT JOIN rel ON rel.nm=lk.nm AND rel.mj=lk.mj WHERE lk.mj*100+lk.mn<t), f AS (SELECT o, nm, bool_or(d) d, min(mj*100+mn) v, max(t) t FROM b GROUP BY 1,2) SELECT 'SUP-015' check_id, 'r' project, CAST(f.o AS VARCHAR) file, CAST(NULL AS INT) line, CASE WHEN f.d THEN 'medium' ELSE 'low' END severity, 'high' confidence, CAST(f.nm AS VARCHAR) subject, (f.v//100) || '.' || (f.v%100) || '.0 is locked, newest ' || (f.t//100) || '.' || (f.t%100) || '.0' || CASE WHEN rel.mn>f.v%100 THEN ', compatible ' || rel.mj || '.' || rel.mn || '.0' ELSE '' END summary FROM f LEFT JOIN rel ON rel.nm=f.nm AND rel.mj=f.v//100",
     "stale_globs": "SELECT * FROM (SELECT 2 entry_no UNION ALL SELECT 3 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand='Brand#2' AND p_size<10 AND p_type='ECONOMY') UNION ALL SELECT 4 UNION ALL SELECT 6 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand='Brand#2' AND p_size=1) UNION ALL SELECT 1 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_brand LIKE 'Brand#1%'))",
+    "licence_alternatives": "SELECT p_partkey, CASE p_size%4 WHEN 0 THEN p_brand || '+' || p_type || '|' || p_brand || '+MIT' WHEN 1 THEN p_brand || '+Y|' || p_brand || '+' || p_type || '|X+Y|X+' || p_type WHEN 2 THEN p_type || '|' || p_brand ELSE p_brand || '+Z|Z' END alternatives FROM part",
+    "licence_state": "SELECT 'SUP-016' check_id, CAST(p_partkey AS VARCHAR) project, f file, CAST(n AS INT) line, sv severity, cf confidence, u subject, m summary FROM (SELECT p_partkey, NULL f, NULL n, 'high' sv, 'high' cf, 'licence file' u, 'no licence file at the root' m FROM part WHERE p_size%3=0 UNION ALL SELECT p_partkey, 'Cargo.toml', NULL, 'medium', 'medium', 'Apache-2.0', 'declared, but no licence file is named for Apache-2.0' FROM part WHERE p_size%3>0 AND p_size%2=0 UNION ALL SELECT p_partkey, 'src/' || p_brand || '.rs', 1, 'medium', 'high', 'SPDX-License-Identifier', '1 of 1 sources carry no SPDX header' FROM part WHERE p_size%3>0 AND p_partkey%3=1 UNION ALL SELECT p_partkey, 'src/' || p_brand || '.rs', 1, 'medium', 'medium', 'licence mismatch', '1 sources are under another licence with no origin record' FROM part WHERE p_size%3>0 AND p_size%2=0 AND p_size%7>0 AND p_partkey%3=2)",
 }
