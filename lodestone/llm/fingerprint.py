@@ -40,6 +40,8 @@ BASES = (911382323, 972663749)
 #: Code points that make an anchor, the least level (a block has two to its power code points on average), and most anchors of
 #: a fingerprint; and the levels at which gaps between matched blocks are taken up again.
 WINDOW, LEAST_LEVEL, ANCHORS, FINER = 16, 5, 128, (5, 2)
+#: Code points of a gap below which the lowest level alone is taken.
+SHORT = 4096
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -85,6 +87,10 @@ class PrefixHash:
         """Prefix residues at some places."""
         return [s[places] for s in self.sums]
 
+    def first(self, places: np.ndarray) -> np.ndarray:
+        """Prefix residues modulo the first prime."""
+        return self.sums[0][places]
+
     def one(self, k: int, i: int) -> int:
         """Prefix residue modulo the k-th prime."""
         return int(self.sums[k][i])
@@ -114,6 +120,10 @@ class Joined:
             out.append((a[inside] + up[self.cut] * b[np.maximum(places - self.cut, 0)] % np.uint64(p)) % np.uint64(p))
         return out
 
+    def first(self, places: np.ndarray) -> np.ndarray:
+        p, up = np.uint64(PRIMES[0]), powers(self.n)[0][0]
+        return (self.left.sums[0][np.minimum(places, self.cut)] + up[self.cut] * self.right.sums[0][np.maximum(places - self.cut, 0)] % p) % p
+
     def one(self, k: int, i: int) -> int:
         if i <= self.cut:
             return self.left.one(k, i)
@@ -132,12 +142,19 @@ def span(text: PrefixHash | Joined, i: int, j: int) -> tuple[int, ...]:
 
 
 def extension(a: PrefixHash | Joined, i: int, b: PrefixHash | Joined, j: int, most: int, back: bool = False) -> int:
-    """Length of the longest common extension of a[i:] and b[j:] (back: of a[:i] and b[:j]), `most` at most."""
-    low, high = 0, most
+    """Length of the longest common extension of a[i:] and b[j:] (back: of a[:i] and b[:j]), `most` at most: lengths grow fourfold while
+    the spans agree, and the rest is a binary search."""
+    same = (lambda m: span(a, i - m, i) == span(b, j - m, j)) if back else (lambda m: span(a, i, i + m) == span(b, j, j + m))
+    low, high, m = 0, most, 1
+    while low < most:
+        m = min(most, m)
+        if not same(m):
+            high = m - 1
+            break
+        low, m = m, 4 * m
     while low < high:
         m = (low + high + 1) // 2
-        same = span(a, i - m, i) == span(b, j - m, j) if back else span(a, i, i + m) == span(b, j, j + m)
-        low, high = (m, high) if same else (low, m - 1)
+        low, high = (m, high) if same(m) else (low, m - 1)
     return low
 
 
@@ -242,13 +259,29 @@ def _gaps(spans: list[list[int]], n: int, other_n: int) -> Iterator[tuple[int, i
             yield s[1], stop, s[3], after[k]
 
 
-def _once(text: PrefixHash | Joined, start: int, stop: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Residues of the windows at anchors of a level in a span that stand there once, and their places."""
+def _windows(text: PrefixHash | Joined, start: int, stop: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and residues of the windows at anchors of a level in a span."""
     places = start + np.flatnonzero(text.levels[start : stop - WINDOW + 1] >= level)
-    p, (_, down) = np.uint64(PRIMES[0]), powers(text.n)[0]
-    low, high = text.at(places)[0], text.at(places + WINDOW)[0]
-    values, first, times = np.unique((high + p - low) % p * down[places] % p, return_index=True, return_counts=True)
-    return values[times == 1], places[first[times == 1]]
+    p = np.uint64(PRIMES[0])
+    return places, (text.first(places + WINDOW) + p - text.first(places)) % p * powers(text.n)[0][1][places] % p
+
+
+def _common(x: PrefixHash | Joined, y: PrefixHash | Joined, a: int, b: int, c: int, d: int, level: int) -> tuple[list[int], list[int]]:
+    """Places in x[a:b], ascending, and in y[c:d] of windows that stand once in each."""
+    (at, mine), (there, theirs) = _windows(x, a, b, level), _windows(y, c, d, level)
+    both = np.concatenate([mine, theirs])
+    order = np.argsort(both, kind="stable")
+    values = both[order]
+    same = values[1:] == values[:-1]
+    if not same.any():
+        return [], []
+    edge = np.concatenate([[False], same, [False]])
+    pairs = np.flatnonzero(same & ~edge[:-2] & ~edge[2:])
+    i, j = order[pairs], order[pairs + 1] - len(mine)
+    sound = (i < len(mine)) & (j >= 0)
+    i, j = i[sound], j[sound]
+    order = np.argsort(i)
+    return at[i[order]].tolist(), there[j[order]].tolist()
 
 
 def _in_order(places: list[int]) -> list[int]:
@@ -273,10 +306,9 @@ def _between(x: PrefixHash | Joined, y: PrefixHash | Joined, a: int, b: int, c:
     """How much of x[a:b] stands in y[c:d] in the same order, by extensions from windows that both hold once."""
     if not levels or min(b - a, d - c) < WINDOW:
         return 0
-    (mine, at), (theirs, there) = _once(x, a, b, levels[0]), _once(y, c, d, levels[0])
-    _, i, j = np.intersect1d(mine, theirs, assume_unique=True, return_indices=True)
-    order = np.argsort(at[i])
-    at, there = at[i][order].tolist(), there[j][order].tolist()
+    if min(b - a, d - c) < SHORT:
+        levels = levels[-1:]
+    at, there = _common(x, y, a, b, c, d, levels[0])
     total = 0
     for k in _in_order(there):
         p, q = at[k], there[k]
