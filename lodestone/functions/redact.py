@@ -113,7 +113,7 @@ def redacted(text: Column) -> Column:
         replaced(rf"{_BEGIN}[\s\S]*?(?:{_END}|\z)", r),
         replaced(URL, r),
         replaced(KNOWN, "$1" + r), replaced(OTHER_TWO, "$1" + r + "$2" + r, 2), replaced(OTHER_ONE, "$1" + r), replaced(ALONE, "$1" + r),
-        replaced(KEYED_QUOTED, "$1" + r), replaced(KEYED_PLAIN, "$1" + r),
+        replaced(f"{KEYED_QUOTED}|{KEYED_PLAIN}", "$1$2" + r),  # one of the two groups is there
         spaced,
         replaced(TOKENS, r),
     ]
