@@ -1,31 +1,39 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Each step is one aggregation and one join; nothing is gathered per vertex, so a hub with any number of links stays spread:
-its minimum comes from a map-side combined aggregate, and its links are dealt over several tasks to meet it.
+Each step shuffles its edges once, by vertex, and nothing is gathered per vertex: the few hubs with more links than a task's
+part get their smallest neighbour from a map-side combined aggregate and their links are dealt over several tasks. The number
+of edges, which says what a task's part is, is known from the round before, so no step is made twice to count it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_spread
+from .common import HOT, cut, shuffle_partitions
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a vertex to the smallest vertex of its neighbourhood."""
+def _with_least(edges: DataFrame, total: int) -> DataFrame:
+    """Append `m`, the smallest v of each row's u. `total`: number of edges or more. A u with over `most` rows is a hub; such are
+    fewer than four to a shuffle partition, which is what is broadcast, and their rows are dealt in parts of about `most`."""
+    most = max(HOT, total // (4 * shuffle_partitions(edges.sparkSession)))
+    hubs = edges.groupBy(F.col("u").alias("_hub")).agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    dealt = edges.join(F.broadcast(hubs), F.col("u") == F.col("_hub"), "left")
+    part = F.when(F.col("_hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("v"), F.ceil(F.col("_n") / most))).cast("int")
+    least = F.min("v").over(Window.partitionBy("u", "_d"))
+    return dealt.withColumn("_d", part).select("u", "v", F.coalesce("_m", least).alias("m"))
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Link every larger neighbour of a vertex to the smallest vertex of its neighbourhood; as many edges, repeats included."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_spread(both, "u", "v", low, "x", "n")
-    return joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return _with_least(both, 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a vertex and its smaller neighbours to the smallest of them. Edges have u > v."""
-    low = edges.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_spread(edges, "u", "v", low, "x", "n")
-    moved = joined.filter(F.col("v") > F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
+    """Link a vertex and its smaller neighbours to the smallest of them. Edges have u > v and may repeat."""
+    # the row of the smallest neighbour becomes the vertex's own link
+    return _with_least(edges, total).select(F.when(F.col("v") > F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -41,4 +49,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return e.select("u", F.col("v").alias("root"))
         before = state
-        e = cut(_small_star(_large_star(e)))
+        e = cut(_small_star(_large_star(e, state[0]), state[0]))
