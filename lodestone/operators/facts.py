@@ -354,9 +354,19 @@ def advisories(packages: DataFrame, known: DataFrame) -> DataFrame:
     """SUP-002: packages (repo, path, ecosystem, name, version) within the range [introduced, fixed) of an advisory group (ecosystem,
     name, group, introduced, fixed, score); a null bound is open. One finding per lockfile, package, version and group, by its
     highest score; without a score it is high."""
-    at = semver_key(COL("version"))
-    hit = packages.join(known, ["ecosystem", "name"]).filter((COL("introduced").isNull() | (at >= semver_key(COL("introduced")))) & (COL("fixed").isNull() | (at < semver_key(COL("fixed")))))
-    per = hit.groupBy("repo", "path", "ecosystem", "name", "version", "group").agg(F.max("score").alias("score"))
+    found = packages.select("repo", "path", "ecosystem", "name", "version").distinct()
+    # every version meets every range of its package once, then the groups of that range, and only then the lockfiles
+    span = ["ecosystem", "name", "introduced", "fixed"]
+    groups = known.groupBy(*span, "group").agg(F.max("score").alias("score"))
+    key = lambda c: F.when(COL(c).isNotNull(), semver_key(COL(c)))
+    at = found.select("ecosystem", "name", "version").distinct().withColumn("_at", semver_key(COL("version")))
+    spans = known.select(*span).distinct().withColumn("_lo", key("introduced")).withColumn("_hi", key("fixed"))
+    met = at.join(spans, ["ecosystem", "name"]).filter((COL("_lo").isNull() | (COL("_at") >= COL("_lo"))) & (COL("_hi").isNull() | (COL("_at") < COL("_hi"))))
+    met = met.select(*(COL(c).alias("_" + c) for c in span), "version")
+    same = (COL("_ecosystem") == COL("ecosystem")) & (COL("_name") == COL("name"))
+    hit = met.join(groups, same & COL("_introduced").eqNullSafe(COL("introduced")) & COL("_fixed").eqNullSafe(COL("fixed")))
+    hit = hit.groupBy("_ecosystem", "_name", COL("version").alias("_version"), "group").agg(F.max("score").alias("score"))
+    per = found.join(hit, same & COL("version").eqNullSafe(COL("_version")))
     tier = F.when(COL("score") >= 9, "critical").when(COL("score") >= 7, "high").when(COL("score") >= 4, "medium").when(COL("score").isNotNull(), "low").otherwise("high")
     return finding(per, "SUP-002", tier, "high", COL("path"), None, _text(COL("name"), "@", COL("version")), COL("group"))
 

@@ -1,6 +1,7 @@
 """Rules over fact tables, on hand-made rows: defective and clean ones together."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +145,16 @@ def test_reports(spark):
     assert got(facts.unused_returns(diags, tags, imports), "fn", "ignored", "total") == [("f", 2, 2)]
 
 
+def test_advisories_meet_versions_once(spark):
+    # 6,000 lockfiles and 6,000 groups of one package: 36 million pairs, but three versions and two ranges
+    p = spark.range(6000).selectExpr("'r' repo", "CAST(id AS STRING) path", "'e' ecosystem", "'x' name", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat(id % 3, '.0.0') END version")
+    k = spark.range(6000).selectExpr("'e' ecosystem", "'x' name", "concat('g', id) `group`", "CASE WHEN id = 7 THEN NULL ELSE '5.0.0' END introduced", "CASE WHEN id = 7 THEN NULL ELSE '9.0.0' END fixed", "5.0D score")
+    began = time.monotonic()
+    rows = facts.advisories(p, k.unionByName(k.filter("`group` = 'g7'").withColumn("score", F.lit(9.5)))).groupBy("subject", "summary", "severity").count().collect()
+    assert time.monotonic() - began < 25
+    assert sorted((r.subject or "", *r[1:]) for r in rows) == [("", "g7", "critical", 2000), ("x@1.0.0", "g7", "critical", 2000), ("x@2.0.0", "g7", "critical", 2000)]
+
+
 @pytest.mark.parametrize("name", ["bool_params", "wide_functions"])
 def test_empty(spark, name):
     assert getattr(facts, name)(table(spark, SIGN, [])).count() == 0
