@@ -6,8 +6,10 @@ said otherwise.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import semver_key
 from lodestone.operators.graph import connected, cut
@@ -17,6 +19,8 @@ COL = F.col
 #: What makes a split of a type worth telling, methods from which a type can have hub fields, and commits that are read.
 MIN_CLUSTERS, MIN_CLUSTER_METHODS, MIN_METHODS, HUB_MIN_METHODS, WINDOW = 2, 2, 4, 8, 500
 TYPE = ["repo", "package", "type"]
+#: Rows of a type up to which a task holds them; larger types are joined.
+HELD = 50_000
 
 
 # Histories.
@@ -39,11 +43,8 @@ def at_head(touched: DataFrame, files: DataFrame) -> DataFrame:
 # Types.
 
 
-def method_clusters(methods: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
-    """(repo, package, type, cluster, methods, fields, n): groups of a type's methods that share fields, their own or those of the siblings they
-    call. methods (repo, package, type, method, thin), uses (..., method, field), calls (..., method, callee). Thin methods and those
-    that reach no field are in no group; nor are fields that over half of a large type's methods reach. n: methods of the type
-    that reach a field. Every type of every repository is worked on at once."""
+def _joined_clusters(methods: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
+    """method_clusters() by joins: fields move up the calls of all types at once, and clusters are connected components."""
     key = [*TYPE, "method"]
     reach = cut(uses.select(*key, "field").dropna().distinct())
     named = calls.select(*key, "callee").dropna().filter(COL("method") != COL("callee")).distinct()
@@ -64,12 +65,122 @@ def method_clusters(methods: DataFrame, uses: DataFrame, calls: DataFrame) -> Da
     return told.join(sizes, TYPE)
 
 
+def _clusters(thick: set, uses: list, calls: list, least: int, size: int) -> list:
+    """[(methods, fields, n)] of one type: fields move up to callers until none is new, hubs go, methods that share a field unite."""
+    reach, callers = {}, {}
+    for m, f in uses:
+        reach.setdefault(m, set()).add(f)
+    for m, k in calls:
+        callers.setdefault(k, set()).add(m)
+    moved = list(reach)
+    while moved:
+        k = moved.pop()
+        for m in callers.get(k, ()):
+            own = reach.setdefault(m, set())
+            if not reach[k] <= own:
+                own |= reach[k]
+                moved.append(m)
+    nodes = {m: reach[m] for m in reach if m in thick}
+    n = len(nodes)
+    if n < least:
+        return []
+    of = {}
+    for m, fields in nodes.items():
+        for f in fields:
+            of.setdefault(f, []).append(m)
+    left = {f: ms for f, ms in of.items() if n < HUB_MIN_METHODS or 2 * len(ms) <= n}
+    home, groups = {}, {}
+    for f, ms in left.items():
+        met = {home[m] for m in ms if m in home}
+        to = max(met, key=lambda g: len(groups[g][0]), default=f)
+        inside, shared = groups.setdefault(to, (set(), []))
+        shared.append(f)
+        for g in met - {to}:
+            more = groups.pop(g)
+            inside |= more[0]
+            shared += more[1]
+            home.update(dict.fromkeys(more[0], to))
+        inside.update(ms)
+        home.update(dict.fromkeys(ms, to))
+    return [(sorted(ms), sorted(fs), n) for ms, fs in groups.values() if len(ms) >= size]
+
+
+def _held_clusters(least: int, size: int, held: int):
+    """Clusters of types whose rows follow each other; a type of over `held` rows is only named, with `large`."""
+
+    def run(batches):
+        key, rows, found = None, [], []
+
+        def close():
+            if len(rows) > held:
+                found.append((key, (None, None, None), True))
+                return
+            thick = {m for m, f, k in rows if f is None and k is None}
+            if len(thick) >= least:
+                uses, calls = [(m, f) for m, f, _ in rows if f is not None], [(m, k) for m, _, k in rows if k is not None]
+                found.extend((key, c, False) for c in _clusters(thick, uses, calls, least, size))
+
+        def told(schema):
+            kind = {c: schema.field(c).type for c in (*TYPE, "method", "field")}
+            columns = [pa.array([k[i] for k, _, _ in found], kind[c]) for i, c in enumerate(TYPE)]
+            columns += [pa.array([c[i] for _, c, _ in found], pa.list_(kind[x])) for i, x in enumerate(("method", "field"))]
+            columns += [pa.array([c[2] for _, c, _ in found], pa.int64()), pa.array([x for _, _, x in found], pa.bool_())]
+            found.clear()
+            return pa.RecordBatch.from_arrays(columns, [*TYPE, "methods", "fields", "n", "large"])
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            for k, row in zip(zip(*columns[:3]), zip(*columns[3:])):
+                if k != key:
+                    if rows:
+                        close()
+                    key, rows = k, []
+                if len(rows) <= held:
+                    rows.append(row)
+            if found:
+                yield told(schema)
+        if rows:
+            close()
+        if found:
+            yield told(schema)
+
+    return run
+
+
+def method_clusters(methods: DataFrame, uses: DataFrame, calls: DataFrame, least: int = 1, size: int = 1, held: int = HELD) -> DataFrame:
+    """(repo, package, type, cluster, methods, fields, n): groups of a type's methods that share fields, their own or those of the siblings they
+    call. methods (repo, package, type, method, thin), uses (..., method, field), calls (..., method, callee). Thin methods and those
+    that reach no field are in no group; nor are fields that over half of a large type's methods reach. n: methods of the type
+    that reach a field. Every type of every repository is worked on at once. Only
+    clusters of `size` methods or more in types of `least` such methods are told. A type's rows meet in one shuffle and are worked on
+    as they pass; types of over `held` rows, repeats included, are joined."""
+    key = [*TYPE, "method"]
+    kind = methods.schema["method"].dataType
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    thick = methods.filter(~F.coalesce("thin", F.lit(False))).select(*key).dropna().select(*key, none(uses, "field"), F.lit(None).cast(kind).alias("callee"))
+    used = uses.select(*key, "field").dropna().select(*key, "field", F.lit(None).cast(kind).alias("callee"))
+    called = calls.select(*key, "callee").dropna().filter(COL("method") != COL("callee")).select(*key, none(uses, "field"), COL("callee").cast(kind).alias("callee"))
+    rows = thick.unionByName(used).unionByName(called).repartition(*TYPE).sortWithinPartitions(*TYPE)
+    name = T.StructType([rows.schema[c] for c in TYPE])
+    schema = name.add("methods", T.ArrayType(rows.schema["method"].dataType)).add("fields", T.ArrayType(rows.schema["field"].dataType)).add("n", "long").add("large", "boolean")
+    told = cut(rows.mapInArrow(_held_clusters(least, size, held), schema))
+    strings = lambda c: COL(c).cast("array<string>")
+    near = told.filter("NOT large").select(*TYPE, F.concat_ws("\x01", *TYPE, F.lit("f"), F.array_min(strings("fields"))).alias("cluster"), F.array_sort("methods").alias("methods"), F.array_sort("fields").alias("fields"), "n")
+    large = told.filter("large").select(*TYPE)
+    if large.isEmpty():
+        return near
+    of = lambda df: df.join(large, TYPE, "left_semi")
+    return near.unionByName(_joined_clusters(of(methods), of(uses), of(calls)).filter((COL("n") >= least) & (F.size("methods") >= size)))
+
+
 def mixed_types(types: DataFrame, methods: DataFrame, uses: DataFrame, calls: DataFrame) -> DataFrame:
     """MOD-004: types (repo, package, type, path, line) whose methods fall into several clusters of several methods each. Types of equal name in
     one package aren't judged."""
-    large = method_clusters(methods, uses, calls).filter((F.size("methods") >= MIN_CLUSTER_METHODS) & (COL("n") >= MIN_METHODS))
+    large = method_clusters(methods, uses, calls, MIN_METHODS, MIN_CLUSTER_METHODS)
     several = large.groupBy(*TYPE).agg(F.count(F.lit(1)).alias("k"), F.array_sort(F.collect_list(F.array_join("methods", "+"))).alias("names")).filter(COL("k") >= MIN_CLUSTERS)
-    one = types.groupBy(*TYPE).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("path", "line")).alias("at")).filter("_n = 1")
+    one = types.join(several.select(*TYPE), TYPE, "left_semi").groupBy(*TYPE).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("path", "line")).alias("at")).filter("_n = 1")
     bad = several.join(one, TYPE)
     return finding(bad, "MOD-004", "info", "low", COL("at.path"), COL("at.line"), COL("type"), F.concat(F.lit("clusters of methods that share fields: "), F.array_join("names", ", ")))
 

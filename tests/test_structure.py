@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import graph, host
 from lodestone.operators import structure as S
 
@@ -52,6 +54,30 @@ def test_mixed_types(spark):
     assert S.mixed_types(types, methods, uses.limit(0), calls).count() == 0
 
 
+def test_clusters_held_and_joined(spark):
+    r = random.Random(9)
+    pick = lambda n, k: [(("r", "q")[t % 2], "p", f"T{t}", f"m{r.randrange(k):02d}", r.randrange(k)) for t in range(25) for _ in range(r.randrange(n))]
+    u, c = [(*x[:4], f"f{x[4] % 14}") for x in pick(16, 18)], [(*x[:4], f"m{x[4]:02d}") for x in pick(8, 18)]
+    m = [(*x[:3], f"m{k:02d}", k % 5 == 0 or None) for x in {x[:3] for x in u + c} for k in range(18)]
+    args = spark.createDataFrame(m + m, M + ", thin boolean"), spark.createDataFrame(u + u + [("r", None, "T0", "m01", "f0")], M + ", field string"), spark.createDataFrame(c + c, M + ", callee string")
+    told = lambda df: rows(df, "repo", "type", "cluster", "methods", "fields", "n")
+    joined = told(S._joined_clusters(*args))
+    assert told(S.method_clusters(*args)) == joined and len(joined) > 25
+    assert told(S.method_clusters(*args, held=70)) == joined  # some types of either kind
+    assert told(S.method_clusters(*args, 4, 2, 60)) == [x for x in joined if x[5] >= 4 and len(x[3]) >= 2]
+
+
+def test_mixed_types_shuffle_little(spark):
+    # 40,000 types of three methods that call each other in a row
+    n = spark.range(120_000).selectExpr("'r' repo", "'p' package", "id div 3 type", "id % 3 method")
+    uses, calls = n.filter("method = 0").withColumn("field", F.lit("f")), n.filter("method > 0").withColumn("callee", F.expr("method - 1"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("clusters", "")
+    assert S.method_clusters(n.withColumn("thin", F.lit(False)), uses, calls, 3, 3).count() == 40_000
+    assert len(tracker.getJobIdsForGroup("clusters")) <= 6
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 ALIAS = "repo string, alias string, target string"
 
 
