@@ -8,7 +8,7 @@ Cases: an empty table gives an empty result; null values are keys without one; k
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.rules import finding
@@ -53,66 +53,75 @@ def _secrets(values: Column) -> Column:
     return F.array_distinct(F.filter(named, lambda s: F.lower(s) != "github_token"))
 
 
-def _workflow_jobs(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(workflows, jobs), each one aggregation."""
+def _workflow_jobs(facts: DataFrame) -> DataFrame:
+    """A row per job and, with a null job, one for what a file says outside its jobs: one aggregation. Columns of the other kind are empty."""
     top, texts = F.size("keys") == 1, lambda c: F.collect_list(F.when(c, COL("value")))
     event = F.when((KEY(0) == "on") & (F.size("keys") == 1), COL("value")).when((KEY(0) == "on") & (F.size("keys") == 2), F.when(KEY(1).startswith("#"), COL("value")).otherwise(KEY(1)))
     branch = lambda k: F.collect_set(F.when((KEY(0) == "on") & (KEY(1) == "pull_request") & (KEY(2) == k), COL("value")))
-    flows = facts.groupBy("repo", "path").agg(
-        F.array_sort(F.collect_set(event)).alias("events"), F.max(top & (KEY(0) == "permissions")).alias("has_permissions"), F.max(F.when(top & (KEY(0) == "name"), COL("value"))).alias("title"),
-        texts(KEY(0) == "env").alias("env"), branch("branches").alias("branches"), branch("branches-ignore").alias("ignored"), F.min(F.when((KEY(0) == "on") & (LAST() == "pull_request"), COL("line"))).alias("trigger"),
-    )
     at = lambda *k: (F.size("keys") >= 2 + len(k)) & (F.slice("keys", 3, len(k)) == F.array(*map(F.lit, k)))
     step = F.when(at("steps") & (F.size("keys") >= 4), F.get("keys", F.lit(3)))
-    inside = facts.filter((KEY(0) == "jobs") & (F.size("keys") >= 2)).withColumn("_step", step)
-    jobs = inside.groupBy("repo", "path", F.get("keys", F.lit(1)).alias("job")).agg(
-        F.min("line").alias("line"), F.collect_list("value").alias("texts"), F.collect_list(F.when(at("runs-on") & ((F.size("keys") == 3) | (F.size("keys") == 4) & KEY(3).startswith("#") | (KEY(3) == "labels")), COL("value"))).alias("labels"),
-        F.array_join(F.collect_list(F.when(at("if") & (F.size("keys") == 3), COL("value"))), "").alias("cond"), F.coalesce(F.max(at("environment")), F.lit(False)).alias("gated"),
-        F.coalesce(F.max(at("secrets") & (F.size("keys") == 3) & (COL("value") == "inherit")), F.lit(False)).alias("inherits"),
+    inside = facts.withColumn("job", F.when((KEY(0) == "jobs") & (F.size("keys") >= 2), KEY(1))).withColumn("_step", step)
+    of = lambda c: F.when(COL("job").isNotNull(), c)
+    return inside.groupBy("repo", "path", "job").agg(
+        F.array_sort(F.collect_set(event)).alias("events"), F.max(top & (KEY(0) == "permissions")).alias("has_permissions"), F.max(F.when(top & (KEY(0) == "name"), COL("value"))).alias("title"),
+        texts(KEY(0) == "env").alias("env"), branch("branches").alias("branches"), branch("branches-ignore").alias("ignored"), F.min(F.when((KEY(0) == "on") & (LAST() == "pull_request"), COL("line"))).alias("trigger"),
+        F.min("line").alias("line"), F.collect_list(of(COL("value"))).alias("texts"), F.collect_list(of(F.when(at("runs-on") & ((F.size("keys") == 3) | (F.size("keys") == 4) & KEY(3).startswith("#") | (KEY(3) == "labels")), COL("value")))).alias("labels"),
+        F.array_join(F.collect_list(of(F.when(at("if") & (F.size("keys") == 3), COL("value")))), "").alias("cond"), F.coalesce(F.max(of(at("environment"))), F.lit(False)).alias("gated"),
+        F.coalesce(F.max(of(at("secrets") & (F.size("keys") == 3) & (COL("value") == "inherit"))), F.lit(False)).alias("inherits"),
         F.array_intersect(
-            F.collect_set(F.when((KEY(4) == "uses") & COL("value").startswith("actions/checkout"), COL("_step"))),
-            F.collect_set(F.when((KEY(4) == "with") & KEY(5).isin("ref", "repository") & COL("value").rlike(r"pull_request\.head|github\.head_ref"), COL("_step"))),
+            F.collect_set(of(F.when((KEY(4) == "uses") & COL("value").startswith("actions/checkout"), COL("_step")))),
+            F.collect_set(of(F.when((KEY(4) == "with") & KEY(5).isin("ref", "repository") & COL("value").rlike(r"pull_request\.head|github\.head_ref"), COL("_step")))),
         ).alias("head_steps"),
     )
-    return flows, jobs
 
 
 def workflow_exposure(files: DataFrame) -> DataFrame:
     """SUP-017: what workflows give a pull request from outside: secrets, the contributor's code with the base's token, runners of one's
     own without the same-repository condition or a reviewer; runners of one's own that name no hardware; a trigger that leaves the
-    default branch out; and workflows without permissions of their own."""
-    flows, jobs = _workflow_jobs(workflow_facts(files))
-    read = F.concat(COL("path"), F.lit(" was read whole"))
-    found = lambda df, severity, confidence, line, subject, summary, control=None: finding(df, "SUP-017", severity, confidence, COL("path"), line, subject, summary, control)
-    bare = found(flows.filter(~F.coalesce("has_permissions", F.lit(False))), "low", "high", F.lit(1), "permissions", "no top-level permissions block", read)
-    default = ["main", "master", "**", "*"]
-    leaves = F.when(F.size("branches") > 0, ~F.arrays_overlap("branches", F.array(*map(F.lit, default)))).otherwise(F.arrays_overlap("ignored", F.array(*map(F.lit, default))))
-    out = found(flows.filter(leaves & (F.size("branches") + F.size("ignored") > 0)), "medium", "medium", COL("trigger"), "on:branches", "the pull_request trigger's branch filter leaves out main and master")
-    j = jobs.join(flows.select("repo", "path", "events", "env", "title"), ["repo", "path"])
+    default branch out; and workflows without permissions of their own. Files are parsed and gathered once for all of them."""
+    flow, job = COL("job").isNull(), COL("job").isNotNull()
     # an `if` that names another event or a branch keeps pull requests out
     named = COL("cond").contains("github.event_name ==") | COL("cond").rlike(r"(github\.ref == |startsWith\(github\.ref, )'refs/(heads|tags)/")
     never = named & ~COL("cond").rlike(r"pull_request|\|\||!=")
-    exposed = F.arrays_overlap("events", F.array(*map(F.lit, OUTSIDE))) & ~never
-    secrets = _secrets(F.concat("texts", "env"))
-    reads = F.when(COL("inherits"), F.lit("all repository secrets")).when(F.size(secrets) > 0, F.concat(F.lit("the secrets "), F.array_join(F.array_sort(secrets), ", ")))
     own = F.when(~F.exists("labels", lambda x: x.contains("${{")), F.filter("labels", lambda x: ~x.rlike(HOSTED)))
     squeezed = F.regexp_replace("cond", r"\s", "")
     guarded = squeezed.contains(SAME_REPO[0]) | squeezed.contains(SAME_REPO[1])
-    hardware = F.lower(F.concat_ws(" ", "path", "title", "job", F.array_join("texts", " "))).rlike("|".join(GPU_WORDS))
-    j = j.select("repo", "path", "line", "job", exposed.alias("exposed"), reads.alias("reads"), own.alias("own"), guarded.alias("guarded"), "gated", hardware.alias("hardware"), ((F.size("head_steps") > 0) & F.array_contains("events", "pull_request_target")).alias("head"))
-    k = lambda hit, severity, what, summary, absent: F.when(hit, F.struct(F.lit(severity).alias("severity"), F.lit(what).alias("what"), summary.alias("summary"), F.lit(absent).alias("absent")))
-    has_own = F.coalesce(F.size("own") > 0, F.lit(False))
+    # words of hardware hold no blank, so each text may be searched by itself
+    hardware = lambda c: F.coalesce(F.lower(c).rlike("|".join(GPU_WORDS)), F.lit(False))
+    default = F.array(*map(F.lit, ["main", "master", "**", "*"]))
+    leaves = F.when(F.size("branches") > 0, ~F.arrays_overlap("branches", default)).otherwise(F.arrays_overlap("ignored", default)) & (F.size("branches") + F.size("ignored") > 0)
+    each = _workflow_jobs(workflow_facts(files)).select(
+        "repo", "path", "job", "line", "trigger", "gated", "inherits", (~F.coalesce("has_permissions", F.lit(False))).alias("bare"), leaves.alias("leaves"), (~never).alias("may_run"), _secrets(F.concat("texts", "env")).alias("secrets"),
+        F.when(job, own).alias("own"), guarded.alias("guarded"), (F.size("head_steps") > 0).alias("at_head"), (hardware(COL("title")) | hardware(COL("job")) | hardware(F.array_join("texts", " "))).alias("hardware"),
+        F.when(flow, F.struct("events", _secrets(COL("env")).alias("secrets"), hardware(COL("title")).alias("hardware"))).alias("flow"),
+    )
+    w = Window.partitionBy("repo", "path")
+    j = each.withColumn("flow", F.first("flow", ignorenulls=True).over(w))
+    exposed = F.arrays_overlap("flow.events", F.array(*map(F.lit, OUTSIDE))) & COL("may_run")
+    secrets = F.array_distinct(F.concat("secrets", "flow.secrets"))
+    reads = F.when(COL("inherits"), F.lit("all repository secrets")).when(F.size(secrets) > 0, F.concat(F.lit("the secrets "), F.array_join(F.array_sort(secrets), ", ")))
+    j = j.withColumn("exposed", exposed).withColumn("reads", reads).withColumn("head", COL("at_head") & F.array_contains("flow.events", "pull_request_target"))
+    sound = COL("hardware") | COL("flow.hardware") | hardware(COL("path"))
+    whole = F.concat(COL("path"), F.lit(" was read whole"))
+    one = F.concat(COL("path"), F.lit(" job "), COL("job"), F.lit(" was read whole"))
+    none = F.lit(None).cast("string")
+    k = lambda hit, severity, what, summary, control, line=COL("line"), confidence=None: F.when(hit, F.struct(F.lit(severity).alias("severity"), F.lit(confidence or severity).alias("confidence"), line.alias("line"), F.concat_ws(":", "job", F.lit(what)).alias("subject"), summary.alias("summary"), control.alias("control")))
+    # a row of a null repo meets no file's, as it would in a join
+    told = job & COL("repo").isNotNull()
+    has_own = told & F.coalesce(F.size("own") > 0, F.lit(False))
     on = F.concat(F.lit("runs on "), _joined(COL("own")))
     kinds = F.array(
-        k(COL("exposed") & COL("reads").isNotNull(), "high", "secrets", F.concat(F.lit("a pull request's job reads "), COL("reads")), False),
-        k(COL("head"), "high", "checkout", F.lit("a pull_request_target job checks out the pull request's head"), False),
-        k(has_own & COL("exposed") & ~COL("guarded"), "high", "same-repo", F.concat(on, F.lit(" without the same-repo condition")), True),
-        k(has_own & COL("exposed") & COL("guarded") & ~COL("gated"), "medium", "environment", F.concat(on, F.lit(" with no environment gate")), True),
-        k(has_own & ~COL("hardware"), "medium", "runner", F.concat(on, F.lit(" and names no hardware it needs")), True),
+        k(flow & COL("bare"), "low", "permissions", F.lit("no top-level permissions block"), whole, F.lit(1), "high"),
+        k(flow & COL("leaves"), "medium", "on:branches", F.lit("the pull_request trigger's branch filter leaves out main and master"), none, COL("trigger")),
+        k(told & COL("exposed") & COL("reads").isNotNull(), "high", "secrets", F.concat(F.lit("a pull request's job reads "), COL("reads")), none),
+        k(told & COL("head"), "high", "checkout", F.lit("a pull_request_target job checks out the pull request's head"), none),
+        k(has_own & COL("exposed") & ~COL("guarded"), "high", "same-repo", F.concat(on, F.lit(" without the same-repo condition")), one),
+        k(has_own & COL("exposed") & COL("guarded") & ~COL("gated"), "medium", "environment", F.concat(on, F.lit(" with no environment gate")), one),
+        k(has_own & ~sound, "medium", "runner", F.concat(on, F.lit(" and names no hardware it needs")), one),
     )
-    each = j.withColumn("k", F.explode(F.array_compact(kinds)))
-    told = lambda df, control: found(df, COL("k.severity"), COL("k.severity"), COL("line"), F.concat_ws(":", "job", "k.what"), COL("k.summary"), control)
-    return bare.unionByName(out).unionByName(told(each.filter("NOT k.absent"), None)).unionByName(told(each.filter("k.absent"), F.concat(COL("path"), F.lit(" job "), COL("job"), F.lit(" was read whole"))))
+    found = j.select("repo", "path", F.explode(F.array_compact(kinds)).alias("k"))
+    read = F.coalesce("k.control", F.concat(F.lit("read "), F.concat_ws(":", "path", COL("k.line").cast("string"))))
+    return finding(found, "SUP-017", COL("k.severity"), COL("k.confidence"), COL("path"), COL("k.line"), COL("k.subject"), COL("k.summary"), read=read, claim=F.when(COL("k.control").isNotNull(), "absence"))
 
 
 def unpinned_actions(files: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 `keys` is the path of names from the root of the file; an item of a list is `#` and its line, so that two items never share a path.
 A key that opens a map or a list has a null value; an item of a list in brackets has its own row below its key. The path of a
-line comes from a stack of indentations folded over the lines of its file in column functions; files are taken up to the
-readers' 2 MiB, which bounds a fold.
+line comes from a stack of indentations folded over the lines of its file, YAML's in Arrow batches and TOML's in column functions; files
+are taken up to the readers' 2 MiB, which bounds a fold.
 
 YAML: block maps and lists, quoted keys and scalars, comments, block scalars (a row per line), bracket lists of one line, several
 documents. Not read: anchors, tags, maps in braces (their text is the value), escapes within quotes. TOML: tables, arrays of tables, dotted and
@@ -13,8 +13,12 @@ key nor item continue the value before them; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FACT = "array<struct<line:int,keys:array<string>,value:string>>"
 _KEY = r"""^("[^"]*"|'[^']*'|[^\s"'#\[\]{},][^#]*?)\s*:(?:\s+(.*)|)$"""
@@ -54,40 +58,94 @@ def _facts(line: Column, keys: Column, value: Column) -> Column:
     return F.concat(F.array(own), F.coalesce(more, F.array().cast(FACT)))
 
 
-def yaml_facts(files: DataFrame) -> DataFrame:
-    """Facts of YAML files (repo, path, text)."""
-    pushed = "array<struct<at:int,key:string>>"
-    dash = F.transform(_lines(F.col("text")), lambda x: F.struct(x["line"].alias("line"), x["indent"].alias("indent"), x["body"].alias("body"), F.regexp_extract(x["body"], r"^((?:-\s+)*(?:-$)?)", 1).alias("dash")))
-    rest = F.transform(dash, lambda x: F.struct(x["line"].alias("line"), x["indent"].alias("indent"), x["body"].alias("body"), x["dash"].alias("dash"), F.substring(x["body"], F.length(x["dash"]) + 1, F.lit(1 << 30)).alias("rest")))
-
-    def parsed(x: Column) -> Column:
-        key, name = x["rest"].rlike(_KEY), F.regexp_extract(x["rest"], _KEY, 1)
-        places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(x["dash"]), F.lit(1))), lambda p: F.substring(x["dash"], p, F.lit(1)) == "-")
+def _yaml_lines(text: str):
+    """(line, keys, value) of one YAML text: a stack of (place, name) folded over its lines."""
+    stack, block = [], -1
+    for line, t in enumerate(_BREAK.split(text), 1):
+        body = t.strip(" ")
+        if not body:
+            continue
+        indent = len(t) - len(t.lstrip(" "))
+        inside = 0 <= block < indent
+        if body[0] == "#" and not inside:
+            continue
+        if inside:
+            yield line, [k for _, k in stack], body
+            continue
+        if _FRESH.match(body):
+            stack, block = [], -1
+            continue
+        dash = _DASH.match(body).group() if body[0] == "-" else ""
+        rest = body[len(dash) :]
         # an item may stand where its list's key does, so items come half a column after
-        items = F.transform(places, lambda p, i: F.struct((2 * (x["indent"] + p - 1) + 1).cast("int").alias("at"), F.concat(F.lit("#"), x["line"].cast("string"), F.when(i > 0, F.concat(F.lit("-"), i.cast("string"))).otherwise("")).alias("key")))
-        own = F.when(key, F.array(F.struct((2 * (x["indent"] + F.length(x["dash"]))).cast("int").alias("at"), F.regexp_replace(name, r"""^["']|["']$""", "").alias("key")))).otherwise(F.array().cast(pushed))
-        raw = F.when(key, F.regexp_extract(x["rest"], _KEY, 2)).otherwise(x["rest"])
-        value = _bare(raw)
-        column = F.when(key, x["indent"] + F.length(x["dash"])).otherwise(x["indent"])
-        return F.struct(
-            x["line"].alias("line"), x["indent"].alias("indent"), x["body"].alias("body"), ((x["body"] == "") | x["body"].startswith("#")).alias("blank"), x["body"].rlike(r"^(---|\.\.\.)(\s|$)").alias("fresh"),
-            F.concat(items.cast(pushed), own).alias("push"), F.coalesce(value.rlike(_BLOCK) & ~raw.rlike("""^["']"""), F.lit(False)).alias("opens"), column.cast("int").alias("column"), value.alias("value"),
-        )
+        places = [p for p, x in enumerate(dash) if x == "-"]
+        push = [(2 * (indent + p) + 1, f"#{line}-{i}" if i else f"#{line}") for i, p in enumerate(places)]
+        key = _PAIR.match(rest)
+        if key:
+            push.append((2 * (indent + len(dash)), _QUOTES.sub("", key.group(1))))
+        if not push:
+            yield line, [k for _, k in stack], body
+            continue
+        raw = (key.group(2) or "") if key else rest
+        value = _scalar(raw)
+        stack = [x for x in stack if x[0] < push[0][0]] + push
+        keys = [k for _, k in stack]
+        opens = value is not None and raw[:1] not in ("'", '"') and bool(_OPENS.match(value))
+        block = (indent + len(dash) if key else indent) if opens else -1
+        listed = None if opens or value is None else _LIST.match(value)
+        yield line, keys, None if opens or listed else value
+        if listed:
+            items = [x for x in (_scalar(x.strip(" ")) for x in _COMMA.split(listed.group(1))) if x is not None]
+            for i, x in enumerate(items):
+                yield line, [*keys, f"#{line}.{i}"], x
+
+
+#: The patterns above for Python, where white space is ASCII's and a line's end is what it is to Spark's functions.
+_DOT, _END = "[^\n\r\x85\u2028\u2029]", "(?=[\r\x85\u2028\u2029]?\\Z)"
+_python = lambda pattern: re.compile(pattern.replace("(.*)", f"({_DOT}*)").replace("#.*", f"#{_DOT}*").replace("\\\\.", "\\\\" + _DOT).replace("$", _END), re.ASCII)
+_BREAK, _FRESH, _DASH, _COMMA = re.compile("\r?\n"), _python(r"(?:---|\.\.\.)(?:\s|$)"), _python(r"(?:-\s+)*(?:-$)?"), re.compile(r"\s*,\s*", re.ASCII)
+_PAIR, _OPENS, _LIST, _QUOTES, _COMMENT = _python(_KEY), _python(_BLOCK), _python(r"^\[(.*)\]$"), _python(r"""^["']|["']$"""), _python(r"(^|\s)#.*$")
+_QUOTED = _python(r"""^(?:"((?:[^"\\]|\\.)*+)"|'([^']*)')""")
+
+
+def _scalar(text: str) -> str | None:
+    """_bare() of one text."""
+    if text[:1] in ("'", '"') and text:
+        found = _QUOTED.match(text)
+        return (found.group(1 if text[0] == '"' else 2) or "") if found else ""
+    return (_COMMENT.sub("", text) if "#" in text else text).strip(" ") or None
+
+
+#: Facts that a task gathers before it hands them on.
+HANDED = 50_000
+
+
+def _yaml_batches(batches):
+    for batch in batches:
+        at, found = [], ([], [], [])
+        texts = batch.column("text")
+
+        def told():
+            rows = batch.select(["repo", "path"]).take(pa.array(at, pa.int64()))
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(found[0], pa.int32()), pa.array(found[1], pa.list_(pa.string())), pa.array(found[2], pa.string())], ["repo", "path", "line", "keys", "value"])
+
+        for i in range(len(texts)):
+            for fact in _yaml_lines(texts[i].as_py()):
+                at.append(i)
+                for column, x in zip(found, fact):
+                    column.append(x)
+            if len(at) >= HANDED:
+                yield told()
+                at, found = [], ([], [], [])
+        if at:
+            yield told()
 
-    start = F.struct(F.array().cast(pushed).alias("stack"), F.lit(-1).alias("block"), F.array().cast(FACT).alias("out"))
-    names = lambda stack: F.transform(stack, lambda s: s["key"])
 
-    def step(a: Column, x: Column) -> Column:
-        same = lambda out: F.struct(a["stack"].alias("stack"), a["block"].alias("block"), out.alias("out"))
-        text = same(F.concat(a["out"], F.array(F.struct(x["line"].alias("line"), names(a["stack"]).alias("keys"), x["body"].alias("value")))))
-        stack = F.concat(F.filter(a["stack"], lambda s: s["at"] < F.get(x["push"], F.lit(0))["at"]), x["push"])
-        block = F.when(x["opens"], x["column"]).otherwise(-1)
-        next_ = F.struct(stack.alias("stack"), block.alias("block"), F.concat(a["out"], _facts(x["line"], names(stack), F.when(~x["opens"], x["value"]))).alias("out"))
-        empty = F.struct(F.array().cast(pushed).alias("stack"), F.lit(-1).alias("block"), a["out"].alias("out"))
-        inside = (a["block"] >= 0) & (x["indent"] > a["block"])
-        return F.when((x["body"] == "") | (x["blank"] & ~inside), same(a["out"])).when(inside, text).when(x["fresh"], empty).when(F.size(x["push"]) == 0, text).otherwise(next_)
-
-    return _rows(files, F.aggregate(F.transform(rest, parsed), start, step, lambda a: a["out"]))
+def yaml_facts(files: DataFrame) -> DataFrame:
+    """Facts of YAML files (repo, path, text)."""
+    some = files.filter("text IS NOT NULL AND text <> ''").select("repo", "path", "text")
+    schema = T.StructType([some.schema["repo"], some.schema["path"]]).add("line", T.IntegerType()).add("keys", T.ArrayType(T.StringType())).add("value", T.StringType())
+    return some.mapInArrow(_yaml_batches, schema)
 
 
 def toml_facts(files: DataFrame) -> DataFrame:

@@ -126,3 +126,9 @@ def test_history(spark):
     got = found(secrets.history_secrets(commits, blobs, waivers, F.lit(day)), "file", "severity", "summary")
     assert got == [("f0", "info", "reviewed by x: a fixture"), ("f1", "medium", "a secret in history whose waiver has expired"), ("f2", "high", "a secret in history"), ("f2", "high", "a secret in history"), ("f9", "medium", "a waiver that matches nothing")]
     assert secrets.history_secrets(commits.limit(0), blobs, waivers).count() == 0
+
+
+def test_exposure_parses_and_gathers_once(spark):
+    told = rules.workflow_exposure(files(spark, **{W + "a.yml": BAD, W + "b.yml": GOOD}))
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("\nAggregate") + plan.count(" Aggregate") == 1 and "Join" not in plan
