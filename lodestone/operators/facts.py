@@ -26,6 +26,8 @@ MIN_LITERALS = 3
 MIN_METHODS, MIN_STUBS = 6, 3
 MIN_EXPECTATIONS, MIN_TIMES = 4, 3
 GROWN_ITEMS, GROWN_PERCENT = 10, 25
+#: Parts of a pair's commits of which each gives its newest one.
+PARTS = 64
 #: Macros that print.
 PRINT_MACROS = ["println", "print", "eprintln", "eprint", "dbg"]
 #: Words of names that hold money, and words of names that do not although one of the former is in them.
@@ -336,17 +338,38 @@ def entangled_modules(edges: DataFrame, files: DataFrame, touched: DataFrame, ma
     top = lambda c: F.get(F.split(c, "::"), F.lit(0))
     e = edges.select("repo", top("a").alias("a"), top("b").alias("b")).filter("a <> b").distinct()
     pairs = e.filter("a < b").join(e.select("repo", COL("b").alias("a"), COL("a").alias("b")), ["repo", "a", "b"], "left_semi")
-    t = touched.select("repo", "o", "at", "f").distinct()
-    small = t.groupBy("repo", "o").agg(F.count(F.lit(1)).alias("_k")).filter(COL("_k") <= max_files).select("repo", "o")
-    mods = t.join(small, ["repo", "o"], "left_semi").join(files.select("repo", top("m").alias("m"), "f").distinct(), ["repo", "f"]).select("repo", "o", "at", "m").distinct()
-    side = lambda c: pairs.join(mods.withColumnRenamed("m", c), ["repo", c]).select("repo", "a", "b", "o", "at", F.lit(c).alias("side"))
-    per = side("a").unionByName(side("b")).groupBy("repo", "a", "b", "o", "at").agg((F.count(F.lit(1)) == 2).alias("both"))
+    named = pairs.select("repo", F.explode(F.array("a", "b")).alias("m")).distinct()
+    owned = files.select("repo", top("m").alias("m"), "f").distinct().join(named, ["repo", "m"], "left_semi")
+    given = touched.select("repo", "o", "at", "f").filter("repo IS NOT NULL AND o IS NOT NULL")
+    each = _changed(given, owned, max_files)
+    # of the newest commits of PARTS parts, the third newest is no newer than the third newest of all
+    part = F.when(COL("b").isNotNull(), F.pmod(F.xxhash64("o", "at"), F.lit(PARTS)))
+    counts = each.groupBy("repo", "a", "b", part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"))
+    counts = cut(counts.groupBy("repo", "a", "b").agg(F.sum("n").alias("n"), F.get(F.sort_array(F.collect_list("at"), False), F.lit(2)).alias("third")))
+    of = lambda c: counts.filter("b IS NULL").select("repo", COL("a").alias(c), COL("n").alias("_" + c))
+    met = pairs.join(counts.filter("b IS NOT NULL"), ["repo", "a", "b"]).join(of("a"), ["repo", "a"]).join(of("b"), ["repo", "b"])
+    n = met.select("repo", "a", "b", COL("n").alias("both"), (COL("_a") + COL("_b") - COL("n")).alias("either"), "third").filter((COL("both") >= least) & (COL("both") * 100 >= COL("either") * share))
+    n = cut(n)
+    if n.filter("third IS NULL").isEmpty():  # only commits from there on can be in a sample; they are read again whole
+        late = given.join(F.broadcast(n.agg(F.min("third").alias("_least"))), COL("at") >= COL("_least")).select("repo", "o").distinct()
+        given = given.join(late, ["repo", "o"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("repo", "a", "b").orderBy(F.desc("at"), "o"))
-    newest = per.filter("both").withColumn("k", rank).filter("k <= 3").groupBy("repo", "a", "b").agg(F.sort_array(F.collect_list(F.struct("k", "o"))).alias("s"))
-    n = per.groupBy("repo", "a", "b").agg(F.count_if("both").alias("both"), F.count(F.lit(1)).alias("either")).filter((COL("both") >= least) & (COL("both") * 100 >= COL("either") * share))
+    newest = _changed(given, owned, max_files).join(n.select("repo", "a", "b", "third"), ["repo", "a", "b"]).filter("third IS NULL OR at >= third")
+    newest = newest.withColumn("k", rank).filter("k <= 3").groupBy("repo", "a", "b").agg(F.sort_array(F.collect_list(F.struct("k", "o"))).alias("s"))
     return n.join(newest, ["repo", "a", "b"]).select("repo", "a", "b", "both", "either", F.transform("s", lambda x: x["o"]).alias("sample"))
 
 
+def _changed(touched: DataFrame, owned: DataFrame, max_files: int) -> DataFrame:
+    """(repo, a, b, o, at): modules a, b being null, and pairs a < b of them, that commits of max_files files or fewer change. A commit's
+    files are counted where they meet, and its modules paired within it; owned (repo, m, f) are the modules' files."""
+    t = touched.repartition("repo", "o").distinct()
+    small = t.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("repo", "o"))).filter(COL("_k") <= max_files).drop("_k")
+    sets = small.join(owned, ["repo", "f"]).groupBy("repo", "o", "at").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    placed = sets.select("*", F.posexplode("ms").alias("_i", "a"))
+    others = F.concat(F.array(F.lit(None).cast("string")), F.slice("ms", COL("_i") + 2, F.size("ms")))
+    return placed.select("repo", "a", F.explode(others).alias("b"), "o", "at")
+
+
 # Reports of tools.
 
 

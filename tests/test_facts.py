@@ -1,6 +1,8 @@
 """Rules over fact tables, on hand-made rows: defective and clean ones together."""
 
 import datetime
+import itertools
+import random
 import time
 
 import pytest
@@ -133,6 +135,43 @@ def test_entangled(spark):
     assert [(x.a, x.b, x.both, x.either, x["sample"]) for x in r] == [("a", "b", 4, 5, ["n", "m", "l"])]
 
 
+def test_entangled_against_sets(spark):
+    r = random.Random(3)
+    mods, commits = [f"m{k}" for k in range(7)], [(o, o // 3 if o % 5 else None) for o in range(300)]
+    f = [(r.choice("rq"), r.choice(mods), k) for k in range(40) for _ in range(r.randrange(3))]
+    e = [(repo, a + "::x", b) for repo in "rq" for a in mods for b in mods if r.random() < 0.8]
+    t = [(r.choice("rq"), o, at, r.randrange(40)) for o, at in commits for _ in range(r.randrange(9))]
+    t += t[:50] + [("r", None, 1, 1), (None, 1, 1, 1)] + [("r", 5, 9, 3), ("r", 6, 9, 3)]  # two times of one commit
+    want = []
+    for repo in "rq":
+        files = {}
+        for x in set(t):
+            if x[0] == repo and x[1] is not None:
+                files.setdefault(x[1], set()).add(x[2:])
+        per = {}
+        for o, fs in files.items():
+            if len(fs) <= 6:
+                for at, g in fs:
+                    per.setdefault((o, at), set()).update(m for q, m, k in f if q == repo and k == g)
+        named = {(a.split("::")[0], b) for q, a, b in e if q == repo}
+        for a, b in itertools.combinations(mods, 2):
+            both, either = [c for c, ms in per.items() if a in ms and b in ms], [c for c, ms in per.items() if a in ms or b in ms]
+            if {(a, b), (b, a)} <= named and len(both) >= 2 and len(both) * 100 >= len(either) * 5:
+                want.append((repo, a, b, len(both), len(either), [o for o, _ in sorted(both, key=lambda c: (c[1] is None, -(c[1] or 0), c[0]))[:3]]))
+    args = table(spark, EDGE, e), table(spark, "repo string, m string, f int", f), table(spark, "repo string, o int, at int, f int", t)
+    got_ = facts.entangled_modules(*args, max_files=6, least=2, share=5)
+    assert sorted(map(tuple, got_.collect())) == sorted(want) and len(want) > 15
+
+
+def test_entangled_rows_are_pairs_within_commits(spark):
+    # 60 modules that all name each other: a commit of two makes three rows, not one for each of the 118 pairs that hold either
+    m = spark.range(60).selectExpr("'r' repo", "concat('m', id) m", "id f")
+    e = m.select("repo", F.col("m").alias("a")).crossJoin(m.select(F.col("m").alias("b"))).filter("a <> b")
+    t = spark.range(20_000).selectExpr("'r' repo", "id div 2 o", "id div 2 at", "(id * 7) % 60 f")
+    made = facts._changed(t, m, 25)
+    assert made.count() == 30_000 and facts.entangled_modules(e, m, t).count() > 0
+
+
 def test_reports(spark):
     p = table(spark, "repo string, path string, ecosystem string, name string, version string", [("r", "l", "e", "x", v) for v in ("1.2.0", "1.10.0", "2.0.0")] + [("r", "l", "f", "x", "1.2.0")])
     k = table(spark, "ecosystem string, name string, group string, introduced string, fixed string, score double", [("e", "x", "g1", "1.3.0", "2.0.0", 9.8), ("e", "x", "g1", "1.3.0", "2.0.0", 5.0), ("e", "x", "g2", None, "1.2.1", 4.0), ("e", "x", "g3", "2.0.0", None, None)])
